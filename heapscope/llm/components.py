@@ -21,8 +21,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges: a, b (64-bit integers). Returns id, label for every id on an edge between two different ids: equal labels
     just where ids are connected. Null ends and loops are passed over; repeated edges count once. An empty
     table gives an empty one."""
-    keys = edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).where("a <> b and a is not null and b is not null")
-    ids = edges.where("a <> b").select("a").union(edges.where("a <> b").select("b")).distinct()
+    edges = edges.where("a <> b")  # neither end is null then
+    keys = edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    ids = edges.select("a").union(edges.select("b")).distinct()
     now = staged(ordered(keys), f"{name}-edges")
     pointers: list[DataFrame] = []
     while not now.isEmpty():

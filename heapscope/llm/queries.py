@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe
+from . import bpe, minhash, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_bpe_encoding": bpe.op6_bpe_encoding,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
         "pipeline": pipeline,
     }
 
