@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     several = of_doc.where("node < other")
     ties = of_class.join(several.select("doc_id", F.col("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
     label = components(reduce(DataFrame.union, links, ties), "minhash-all")
+    unstage(members, sets, *links)
     smallest = label.groupBy("label").agg(F.min("id").alias("component"))
     part = label.join(smallest, "label").select(F.col("id").alias("node"), "component")
     of_part = of_doc.select("doc_id", "node").join(part, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))

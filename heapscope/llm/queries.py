@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, minhash, mixing, pii, toxicity
+from . import bpe, embeddings, minhash, mixing, pii, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii_pseudonyms": pii.op5_pii_pseudonyms,
         "op6_bpe_encoding": bpe.op6_bpe_encoding,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
         "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
         "op10_mixing": mixing.op10_mixing,
         "pipeline": pipeline,
