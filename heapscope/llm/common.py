@@ -12,8 +12,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch sent to Python. Small, since one text may have megabytes.
-BATCH_ROWS = 256
+#: Most rows and about the most bytes of one Arrow batch sent to Python.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 #: Python operators give their output on in batches of about this many bytes.
 FLUSH_BYTES = 4 << 20
 #: ASCII white space: the complement of the word pattern ``[^\x20\x09-\x0D]+``.
@@ -47,11 +47,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_ROWS rows, which bounds a Python worker's memory."""
+    """mapInArrow over batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, which bounds a Python worker's memory."""
     ship(df.sparkSession)
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

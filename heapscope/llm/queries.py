@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, embeddings, minhash, mixing, pii, toxicity
+from . import bpe, brown, embeddings, minhash, mixing, pii, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_class_lm_scoring": brown.op4_class_lm_scoring,
         "op5_pii_pseudonyms": pii.op5_pii_pseudonyms,
         "op6_bpe_encoding": bpe.op6_bpe_encoding,
         "op7_toxicity": toxicity.op7_toxicity,

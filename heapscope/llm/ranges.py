@@ -1,0 +1,62 @@
+"""Dealing rows into blocks of near equal size by ranges of an id, without sorting."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Equal parts of the id's range that are weighed to find the blocks; their table is all that the driver gets.
+PARTS = 1 << 14
+
+
+@dataclass
+class Ranges:
+    low: int
+    width: int
+    first: list[int]
+    split: list[int]
+
+    @property
+    def count(self) -> int:
+        return max(f + s for f, s in zip(self.first, self.split, strict=True))
+
+    def assigned(self, rows: DataFrame, key: str, salt: Column, as_name: str = "block") -> DataFrame:
+        """rows with the block of each: from its id and, where one part of the range makes several blocks, a hash. The
+        table of parts has at most PARTS rows, a proven bound for a broadcast."""
+        parts = rows.sparkSession.createDataFrame(list(zip(range(len(self.first)), self.first, self.split, strict=True)), "__part int, __first int, __split int")
+        dealt = rows.withColumn("__part", part_of(key, self.low, self.width)).join(F.broadcast(parts), "__part")
+        return dealt.withColumn(as_name, F.col("__first") + F.pmod(salt, F.col("__split")).cast("int")).drop("__part", "__first", "__split")
+
+
+def part_of(key: str, low: int, width: int) -> Column:
+    """The number of the part; null ids are in the first. Decimals, since a difference of ids can exceed 64 bits."""
+    return F.when(F.col(key).isNull(), 0).otherwise(F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("int"))
+
+
+def ranges(rows: DataFrame, key: str, weight: Column, size: float) -> Ranges:
+    """Blocks of about `size` in the sum of `weight`. Neighbouring ids share a block unless their part alone is heavier."""
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    low, high = (ends["low"] or 0), (ends["high"] or 0)
+    width = max(1, -(-(high - low + 1) // PARTS))
+    weights = np.zeros((high - low) // width + 1)
+    for r in rows.groupBy(part_of(key, low, width).alias("part")).agg(F.sum(weight).alias("w")).collect():
+        weights[r["part"]] = r["w"] or 0
+    first, split, block, held = [], [], 0, 0.0
+    for w in weights.tolist():
+        if w > size:
+            if held:
+                block += 1
+            pieces = int(-(-w // size))
+            first.append(block)
+            split.append(pieces)
+            block, held = block + pieces, 0.0
+        else:
+            if held and held + w > size:
+                block, held = block + 1, 0.0
+            first.append(block)
+            split.append(1)
+            held += w
+    return Ranges(low, width, first, split)
