@@ -7,10 +7,10 @@ documents that agree in a band share a bucket.
 
 Documents of equal shingle sets are one class, compared once. In a bucket, candidate edges are a star from one
 centre, the member met most often in buckets, so a bucket of k classes gives k-1 pairs and not k*k/2. Every pair is
-confirmed on the full sets. After a round, classes linked so far are one component; buckets that still hold several components get another
-star, from other centres (twice as many each round) to the members of other components. When the pairs still open (different
-components, a bucket in common, sizes that allow the similarity) are fewer than LINEAR times the rows, they are all
-confirmed; so no pair that shares a bucket goes unchecked unless its ends are connected already.
+confirmed on the full sets. What a star's links connect is one component; a pair of members of a star that they do not connect has an
+end outside the centre's component. Those ends are gathered in blocks with an inverted list of their shingles, which the star's
+other members visit in chunks: their intersections with all the block's sets are counted at once, and only edges that connect something are given on. So no pair that
+shares a bucket goes unchecked unless its ends are connected already, and no task lists pairs.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^6)^42 = 3e-6; at 0.1 it shares one with
 probability 4e-5.
@@ -29,18 +29,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sink, map_arrow, staged, table, unstage
+from .common import Sink, map_arrow, shuffle_partitions, staged, table, unstage
 from .components import components
 
 BITS = 8
 BINS = 1 << BITS
 ROWS = 6
 BANDS = BINS // ROWS
-#: The rest of the pairs is confirmed at once when there are at most so many a bucket row.
-LINEAR = 4
+#: Shingles of a block of members outside the centre's component, and visitors of a block in one task.
+BLOCK_SHINGLES, CHUNK_MEMBERS = 1 << 20, 1 << 11
 #: Distinct words of which a Python worker remembers the hash.
 CACHE = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -156,59 +156,126 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.expr(f"100L * i >= {percent}L * u")).select("a", "b").distinct()
 
 
-def candidate_pairs(open_rows: DataFrame, percent: int, centres: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs a, b of different components that share a bucket and whose sizes allow the similarity: from `centres`
-    members of each bucket to all others (None: all pairs), and the (bucket, node) spent as centres."""
-    fits = F.expr(f"100 * least(n, cn) >= {percent} * greatest(n, cn) and part <> cp")
-    spent = None
-    if centres is None:
-        at = open_rows.select("bucket", F.col("node").alias("a"), F.col("n").alias("cn"), F.col("part").alias("cp"))
-        fits = fits & (F.col("a") < F.col("node"))
-    else:
-        weight = open_rows.groupBy("node").agg(F.count("*").alias("w"))
-        weighed = open_rows.join(weight, "node")
-        if centres == 1:
-            one = weighed.groupBy("bucket").agg(F.max(F.struct("w", "node", "n", "part")).alias("c"))
-            at = one.select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("cn"), F.col("c.part").alias("cp"))
-        else:
-            order = Window.partitionBy("bucket").orderBy(F.desc("w"), F.desc("node"))
-            at = weighed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= centres)
-            at = at.select("bucket", F.col("node").alias("a"), F.col("n").alias("cn"), F.col("part").alias("cp"))
-        spent = at.select("bucket", F.col("a").alias("node"))
-    pairs = open_rows.join(at, "bucket").where(fits)
-    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), spent
-
-
-def open_pairs(open_rows: DataFrame) -> tuple[float, int]:
-    """How many pairs of different components share a bucket, and how many bucket rows there are; nothing is listed."""
-    by_part = open_rows.groupBy("bucket", "part").agg(F.count("*").cast("double").alias("k"))
-    by_bucket = by_part.groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-    total = by_bucket.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.sum("k")).first()
-    return total[0] or 0.0, int(total[1] or 0)
+def stars(members: DataFrame) -> DataFrame:
+    """centre, node, n, cn: for each bucket its centre, the member met in most buckets, with every other member."""
+    weight = members.groupBy("node").agg(F.count("*").alias("w"))
+    centre = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("w", "node", "n")).alias("c"))
+    at = centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
+    return members.join(at, "bucket").where("node <> centre").select("centre", "node", "n", "cn").distinct()
+
+
+class Roots:
+    """Connectivity of the members of a block."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, found: np.ndarray) -> int:
+        """The members given are connected; returns their root."""
+        labels = np.unique(self.label[found])
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels[1:])] = labels[0]
+        return int(labels[0])
+
+
+class Block:
+    """Members of one star outside the centre's component, with an inverted list of their shingles."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]], percent: int):
+        self.ids, self.parts, self.percent = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), percent
+        self.sizes = np.array([len(r[2]) for r in rows])
+        every, owner = np.concatenate([r[2] for r in rows]), np.repeat(np.arange(len(rows)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.shingles, self.first = np.unique(every[order], return_index=True)
+        self.first = np.append(self.first, len(every))
+        self.roots = Roots(len(rows))
+
+    def visit(self, node: int, part: int, shingles: np.ndarray) -> int | None:
+        """Links a set with the members similar to it; the id of one of them, if there are any in other components."""
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        at = at[self.shingles[at] == shingles]
+        lengths = self.first[at + 1] - self.first[at]
+        places = np.repeat(self.first[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        common = np.bincount(self.owner[places], minlength=len(self.ids))
+        similar = 100 * common >= self.percent * (self.sizes + len(shingles) - common)
+        found = np.nonzero(similar & (self.parts != part) & (self.ids != node))[0]
+        return int(self.ids[self.roots.join(found)]) if len(found) else None
+
+
+def compare(percent: int):
+    """Rows come sorted by centre, block, chunk, members before visitors. Gives on one edge for each visitor and member that has links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = Sink(a=pa.int64(), b=pa.int64())
+        now, rows, block = None, [], None
+
+        def settle():
+            made = Block(rows, percent)
+            if now[2] == 0:
+                for node, part, shingles in rows:
+                    other = made.visit(node, part, shingles)
+                    if other is not None:
+                        made.roots.join(np.nonzero((made.ids == node) | (made.ids == other))[0])
+            return made
+
+        def close(made: Block):
+            for i, root in enumerate(made.roots.label):
+                if root != i and sink.add(int(made.ids[i]), int(made.ids[root])):
+                    yield from sink.drain()
+
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+            sets = batch.column(6)
+            for i, (centre, number, chunk, visitor, node, part) in enumerate(keys):
+                shingles = sets[i].values.to_numpy(zero_copy_only=False)
+                if (centre, number, chunk) != now:
+                    if rows:
+                        yield from close(block or settle())
+                    now, rows, block = (centre, number, chunk), [], None
+                if not visitor:
+                    rows.append((node, part, shingles))
+                elif rows:
+                    block = block or settle()
+                    other = block.visit(node, part, shingles)
+                    if other is not None and sink.add(node, other):
+                        yield from sink.drain()
+        if rows:
+            yield from close(block or settle())
+        yield from sink.drain()
+
+    return run
+
+
+def rest_of_stars(star: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b that connect what links of two members of one star connect, where the star's links have not. Such a
+    pair has an end outside the centre's component: those members form blocks, which all others visit, in chunks."""
+    part = label.withColumnRenamed("id", "node")
+    of_centre = label.select(F.col("id").alias("centre"), F.col("label").alias("centre_part"))
+    sided = star.select("centre", "node", "n").join(part, "node", "left").join(of_centre, "centre", "left")
+    sided = sided.select("centre", "node", "n", F.coalesce("label", F.xxhash64("node")).alias("part"), F.coalesce("centre_part", F.xxhash64("centre")).alias("centre_part"))
+    sided = sided.withColumn("outside", F.col("part") != F.col("centre_part"))
+    per = sided.groupBy("centre").agg(F.sum(F.expr("if(outside, n, 0)")).alias("words"), F.count_if("outside").alias("k"), F.count("*").alias("all"))
+    shape = per.where("k > 0 and all > 1").select("centre", F.ceil(F.col("words") / BLOCK_SHINGLES).alias("blocks"), F.ceil(F.col("all") / CHUNK_MEMBERS).alias("chunks"))
+    placed = sided.join(shape, "centre").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")))
+    one = ["node", "part"]
+    homes = placed.where("outside").select("centre", "block", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), F.lit(False).alias("visitor"), *one)
+    within = placed.where("outside and block > 0").select("centre", F.explode(F.expr("sequence(0L, block - 1)")).alias("block"), "chunk", F.lit(True).alias("visitor"), *one)
+    others = placed.where("not outside").select("centre", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "chunk", F.lit(True).alias("visitor"), *one)
+    met = homes.union(within).union(others).join(sets, "node").select("centre", "block", "chunk", "visitor", "node", "part", "set")
+    met = met.repartition(shuffle_partitions(star.sparkSession), "centre", "block", "chunk").sortWithinPartitions("centre", "block", "chunk", "visitor")
+    return map_arrow(met, compare(percent), "a long, b long")
 
 
 def linked(members: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
-    """Staged tables of confirmed links a, b that connect all nodes connected by links of nodes with a bucket in common."""
-    found: list[DataFrame] = []
-    open_rows = staged(members.withColumn("part", F.xxhash64("node")), "minhash-open")
-    centres = 1
-    while not open_rows.isEmpty():
-        pairs, rows = open_pairs(open_rows)
-        last = bool(found) and pairs <= LINEAR * rows
-        candidates, spent = candidate_pairs(open_rows, percent, None if last else centres)
-        found.append(staged(confirmed(candidates, sets, percent), "minhash-links"))
-        if last:
-            break
-        # open again: what is left of buckets that still hold several components
-        label = components(reduce(DataFrame.union, found), "minhash-parts")
-        left = open_rows.drop("part").join(spent, ["bucket", "node"], "left_anti").join(label.withColumnRenamed("id", "node"), "node", "left")
-        parted = left.select("bucket", "node", "n", F.coalesce("label", F.xxhash64("node")).alias("part"))
-        several = parted.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("bucket")
-        following = staged(parted.join(several, "bucket"), "minhash-open")
-        unstage(open_rows, label)
-        open_rows, centres = following, centres * 2
-    unstage(open_rows)
-    return found
+    """Staged tables of edges a, b that connect all nodes connected by links of nodes with a bucket in common."""
+    star = staged(stars(members), "minhash-stars")
+    fits = star.where(F.expr(f"100 * least(n, cn) >= {percent} * greatest(n, cn)"))
+    links = staged(confirmed(fits.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets, percent), "minhash-links")
+    label = components(links, "minhash-parts")
+    rest = staged(rest_of_stars(star, label, sets, percent), "minhash-rest")
+    unstage(star, label)
+    return [links, rest]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
