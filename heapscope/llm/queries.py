@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, brown, embeddings, minhash, mixing, pii, toxicity
+from . import attribution, bpe, brown, chat, embeddings, minhash, mixing, pii, syncmers, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_syncmer_fingerprints": syncmers.op1_syncmer_fingerprints,
+        "op2_chat_formatting": chat.op2_chat_formatting,
+        "op3_token_attribution": attribution.op3_token_attribution,
         "op4_class_lm_scoring": brown.op4_class_lm_scoring,
         "op5_pii_pseudonyms": pii.op5_pii_pseudonyms,
         "op6_bpe_encoding": bpe.op6_bpe_encoding,
