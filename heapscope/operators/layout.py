@@ -7,6 +7,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import ship
 from ..functions.text import align
 
 #: Bytes of the basic types by HPROF tag; 2 is a reference (fixed values).
@@ -33,6 +34,7 @@ def object_alignment(addresses: DataFrame) -> int:
         if first is not None:
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([out], pa.int64())], names=["first", "step"])
 
+    ship(addresses.sparkSession)
     parts = addresses.select("address").where("address is not null").mapInArrow(run, "first long, step long").collect()
     step = 0
     for r in parts:

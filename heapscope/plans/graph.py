@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import staged
+from ..functions.staging import ship, staged
 from ..operators import aggregates, dominators, edges, ids, reach
 from ..schemas import RawHeap
 
@@ -18,6 +18,7 @@ JAVA_CLASS = "java.lang.Class"
 class Graph:
     def __init__(self, raw: RawHeap, keep_unreachable: bool = False):
         self.raw, self.keep_unreachable = raw, keep_unreachable
+        ship(raw.objects.sparkSession)
 
     # before pruning
 
