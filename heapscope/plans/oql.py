@@ -374,7 +374,7 @@ def source_of(graph: Graph, q: Query) -> DataFrame:
     if kind == "ids":
         return graph.objects.where(F.col("object_id").isin(what))
     inner = lower(graph, what)
-    return graph.objects.join(inner.select(F.col(inner.columns[0]).alias("object_id")).distinct(), "object_id", "left_semi")
+    return graph.objects.join(inner.select(F.col(f"`{inner.columns[0]}`").alias("object_id")).distinct(), "object_id", "left_semi")
 
 
 def lower(graph: Graph, q: Query) -> DataFrame:
