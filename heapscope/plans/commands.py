@@ -155,3 +155,15 @@ def tree_text(graph: Graph, top: int = 200, children: int = 40) -> DataFrame:
     both = upper.select("object_id", "top", F.lit(-1).cast("bigint").alias("nr"), "retained").unionByName(lower)
     line = F.concat(F.when(F.col("nr") < 0, "").otherwise("  "), F.concat_ws("\t", "object_id", F.lpad(F.lower(F.hex("address")), 16, "0"), "name", "used_size", "retained"))
     return both.join(named, "object_id").select("top", "nr", line.alias("line")).orderBy("top", "nr")
+
+
+def component_report(graph: Graph, package: str) -> DataFrame:
+    """name, n_objects, used_size, retained of the classes of a package: what its instances are, and what those of them that are dominated by no
+    other object of the package keep."""
+    inside = graph.classes.where(F.col("name").startswith(f"{package}."))
+    members = graph.objects.join(inside.select(F.col("object_id").alias("class_id"), "name"), "class_id").select("object_id", "name", "used_size")
+    placed = members.join(graph.dominators.select("object_id", "path", "retained"), "object_id")
+    above = placed.select("object_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("upper"))
+    held = above.join(members.select(F.col("object_id").alias("upper")), "upper", "left_semi").select("object_id").distinct().withColumn("held", F.lit(True))
+    kept = F.when(F.col("held").isNull(), F.col("retained")).otherwise(F.lit(0))
+    return placed.join(held, "object_id", "left").groupBy("name").agg(F.count("*").alias("n_objects"), F.sum("used_size").alias("used_size"), F.sum(kept).alias("retained"))

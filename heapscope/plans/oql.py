@@ -25,6 +25,8 @@ REGISTERED = {
     "oql_classof": "SELECT DISTINCT classof(o).@name AS name, o.@usedHeapSize AS used_size FROM \"db\\..*\" o WHERE classof(o).@name LIKE \".*S.*\"",
     "oql_reference_lists": "SELECT o.@objectId AS object_id, outbounds(o).@length AS n_out, inbounds(o).@length AS n_in, dominators(o).@length AS n_dominated, dominatorof(o) AS dominator FROM db.geo.Nation o",
     "oql_class_objects": "SELECT c.@name AS name, c.@classLoaderAddress AS loader_address FROM java.lang.Class c WHERE c.@name LIKE \"db\\..*\"",
+    "oql_field_path": "SELECT l.@objectId AS object_id, l.shipDay.value AS day FROM db.sales.LineItem l WHERE l.shipDay.value < 9600 AND l.shipDay != null",
+    "oql_field_like": "SELECT c.name AS name, c.balance AS balance FROM db.sales.Customer c WHERE c.name LIKE \".*[05]\" AND c.balance >= 100",
     "oql_gc_roots": "SELECT o.@objectAddress AS address, o.@GCRoots AS n_roots FROM db.geo.Region o",
     "oql_union": "SELECT o.@objectAddress AS address FROM db.geo.Region o UNION (SELECT o.@objectAddress AS address FROM db.geo.Nation o WHERE o.@objectAddress > 2199023255562)",
 }

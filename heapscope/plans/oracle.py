@@ -144,3 +144,21 @@ ORACLE |= {
     "oql_gc_roots": sql(LIVE, "SELECT address, (SELECT count(*) FROM rts WHERE rts.address=n.address) AS n_roots FROM n WHERE class_address=3*256"),
     "oql_union": sql(LIVE, f"SELECT address FROM n WHERE class_address=3*256 OR (class_address=4*256 AND address>2199023255562)"),
 }
+
+ORACLE |= {
+    "oql_field_path": sql(LIVE, f"SELECT n.id AS object_id, min(day) AS day FROM n JOIN ln ON n.address=5*{K}+item GROUP BY 1 HAVING min(day)<9600"),
+    "oql_field_like": sql(LIVE, f"SELECT c_name AS name, c_acctbal AS balance FROM customer JOIN n ON n.address=3*{K}+c_custkey WHERE regexp_full_match(c_name,'.*[05]') AND c_acctbal>=100"),
+    "collection_fill_ratio": "SELECT ceil(k/7.0*5)/5 AS ratio, count(*) AS n_objects FROM (SELECT l_orderkey, count(DISTINCT l_linenumber)::DOUBLE AS k FROM lineitem GROUP BY 1) GROUP BY 1",
+    "constant_value_arrays": "SELECT l_orderkey AS address, min(l_linestatus) AS value, count(*)::INT AS length FROM lineitem GROUP BY 1 HAVING min(l_linestatus)=max(l_linestatus)",
+    "map_collision_ratio": "SELECT c_nationkey, count(*) AS n_entries, count(DISTINCT c_custkey%64) AS n_slots, round((count(*)-count(DISTINCT c_custkey%64))/count(*)::DOUBLE,6) AS ratio FROM customer GROUP BY 1",
+    "waste_in_arrays": "SELECT l_orderkey AS array_id, 90 AS length, (max(d)+1-min(d))::INT AS used FROM (SELECT l_orderkey, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS d FROM lineitem) GROUP BY 1 HAVING max(d)+1-min(d)<90",
+    "weak_reference_statistics": sql(LIVE, "SELECT 'db.shared.ShipDay' AS name, count(*) AS n_objects, count(*) AS n_only FROM n WHERE class_address=9*256"),
+    "shortest_paths": sql(LIVE, f"""SELECT m.id AS object_id, r.id || '>' || p.id || '>' || m.id AS path FROM
+        (SELECT c_nationkey, min(n.id) AS id FROM customer JOIN n ON n.address=3*{K}+c_custkey GROUP BY 1) m JOIN nation ON n_nationkey=c_nationkey JOIN n p ON p.address=2*{K}+n_nationkey JOIN n r ON r.address=1*{K}+n_regionkey"""),
+    "component_report": sql(TREE, """SELECT c.name, count(*) AS n_objects, sum(t.used_size)::BIGINT AS used_size, sum(CASE WHEN t.idom IN (SELECT id FROM n JOIN cls k ON k.address=n.class_address WHERE starts_with(k.name,'db.shared.')) THEN 0 ELSE t.retained END)::BIGINT AS retained
+        FROM tree t JOIN cls c ON c.address=t.class_address WHERE starts_with(c.name,'db.shared.') GROUP BY 1"""),
+    "list_objects": sql(TREE, "SELECT id AS object_id, t.address, 'db.geo.Nation' AS name, used_size, retained FROM tree t WHERE class_address=4*256"),
+    "compare_dumps": sql(BASE, "SELECT 'b' AS side, count(*) AS n, sum(used_size)::BIGINT AS used_size FROM obj WHERE address NOT IN (SELECT address FROM reach)"),
+    "snapshot_counts": sql(LIVE, """SELECT 'objects' AS name, count(*) AS n FROM n UNION ALL SELECT 'classes', count(*) FROM cls JOIN n USING (address) UNION ALL SELECT 'roots', count(DISTINCT address) FROM rts
+        UNION ALL SELECT 'references', (SELECT count(*) FROM n) + (SELECT count(*) FROM held h JOIN n s ON s.address=h.s JOIN n t ON t.address=h.d)"""),
+}

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
 from ..operators import aggregates, asof, dominators, edges, ids, layout, reach
 from ..sources import tables
 from . import commands, oql
@@ -15,11 +17,26 @@ from .graph import Graph
 _graphs: dict[tuple, Graph] = {}
 
 
+class TableGraph(Graph):
+    """The heap of relational tables, with some columns as fields."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, keep_unreachable: bool = False):
+        super().__init__(tables.raw_heap(spark, sf_dir), keep_unreachable)
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def fields(self) -> DataFrame:
+        here = self.objects.select("address", "object_id")
+        values = tables.field_values(self.spark, self.sf_dir).join(here, "address")
+        target = here.select(F.col("address").alias("ref_address"), F.col("object_id").alias("ref_id"))
+        return staged(values.join(target, "ref_address", "left").select("object_id", "field", "kind", "i", "f", "b", "text", "ref_id"), "table-fields")
+
+
 def graph(spark: SparkSession, sf_dir: str, keep_unreachable: bool = False) -> Graph:
     """The graph of a folder's tables; queries of one session share its staged tables."""
     key = (spark.sparkContext.applicationId, sf_dir, keep_unreachable)
     if key not in _graphs:
-        _graphs[key] = Graph(tables.raw_heap(spark, sf_dir), keep_unreachable)
+        _graphs[key] = TableGraph(spark, sf_dir, keep_unreachable)
     return _graphs[key]
 
 
@@ -142,10 +159,75 @@ def collections_by_size(spark, sf_dir):
     return sizes.groupBy("size").agg(F.count("*").alias("n_objects"))
 
 
+def fill_ratios(spark, sf_dir):
+    """Orders as collections of at most seven line items."""
+    sizes = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey").agg(F.count("*").alias("size"))
+    return commands.fill_ratio(sizes, F.col("size"), F.lit(7))
+
+
+def constant_arrays(spark, sf_dir):
+    arrays = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("address")).agg(F.collect_list("l_linestatus").alias("statuses"))
+    return commands.constant_arrays(arrays, "statuses", "address")
+
+
+def collisions(spark, sf_dir):
+    """Customers of a nation as a map of 64 slots."""
+    return commands.collision_ratio(_read(spark, sf_dir, "customer"), "c_nationkey", F.pmod("c_custkey", F.lit(64))).select("c_nationkey", "n_entries", "n_slots", F.round("ratio", 6).alias("ratio"))
+
+
+def wasted(spark, sf_dir):
+    """Orders as arrays of 2,600 days of which the line items' ship days use a part."""
+    strings = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("array_id"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).alias("offset"), F.lit(1).alias("count"))
+    arrays = strings.select("array_id").distinct().withColumn("length", F.lit(90))
+    return commands.wasted_chars(arrays, strings)
+
+
+def weak_statistics(spark, sf_dir):
+    """What line items refer to weakly, if their references to days are weak ones."""
+    g = graph(spark, sf_dir)
+    days = commands.of_class(g, "db.shared.ShipDay").select(F.col("object_id").alias("dst"))
+    items = commands.of_class(g, "db.sales.LineItem").select(F.col("object_id").alias("src"))
+    return commands.reference_statistics(g, g.edges.join(days, "dst", "left_semi").join(items, "src", "left_semi").select("src", "dst"))
+
+
+def shortest_paths(spark, sf_dir):
+    """The path of the first customer of each nation, as text."""
+    g = graph(spark, sf_dir)
+    chosen = g.edges.join(_all_of(g, "db.geo.Nation").withColumnRenamed("object_id", "src"), "src", "left_semi").join(_all_of(g, "db.sales.Customer").withColumnRenamed("object_id", "dst"), "dst", "left_semi")
+    first = chosen.groupBy("src").agg(F.min("dst").alias("object_id")).select("object_id")
+    return commands.paths_to_roots(g, first).select("object_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+def _all_of(g: Graph, name: str) -> DataFrame:
+    return commands.of_class(g, name).select("object_id")
+
+
+def package_report(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return commands.component_report(g, "db.shared")
+
+
+def listed_objects(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return commands.listed(g, commands.of_class(g, "db.geo.Nation"))
+
+
+def compared(spark, sf_dir):
+    """Objects of the pruned graph against all: what is missing."""
+    g = graph(spark, sf_dir)
+    return aggregates.differences(g.objects.select("address", "used_size"), g.all_objects.select("address", "used_size")).groupBy("side").agg(F.count("*").alias("n"), F.sum("used_size").alias("used_size"))
+
+
 def with_graph(f) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(graph(spark, sf_dir))
 
 
+def counts(g: Graph) -> DataFrame:
+    """Objects, classes, distinct roots and references before normalizing."""
+    rows = [("objects", g.objects.count()), ("classes", g.classes.count()), ("roots", g.roots.select("object_id").distinct().count()), ("references", g.n_references)]
+    return g.objects.sparkSession.createDataFrame(rows, "name string, n long")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "object_identifiers": with_graph(lambda g: g.all_ids),
@@ -196,6 +278,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "leak_suspects": leak_suspects,
         "show_retained_set": show_retained_set,
     }
+    out |= {
+        "collection_fill_ratio": fill_ratios,
+        "constant_value_arrays": constant_arrays,
+        "map_collision_ratio": collisions,
+        "waste_in_arrays": wasted,
+        "weak_reference_statistics": weak_statistics,
+        "shortest_paths": shortest_paths,
+        "component_report": package_report,
+        "list_objects": listed_objects,
+        "compare_dumps": compared,
+        "snapshot_counts": with_graph(counts),
+    }
     for name, text in oql.REGISTERED.items():
         out[name] = lambda spark, sf_dir, text=text: oql.run(graph(spark, sf_dir), text)
     return out

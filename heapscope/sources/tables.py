@@ -110,3 +110,20 @@ def raw_heap(spark: SparkSession, sf_dir: str) -> RawHeap:
     held_by_vm = held_by_vm.unionByName(loaders.where("address <> 0").select("address", F.lit(1).alias("root_type")))
     roots = held_by_vm.select("address", "root_type", F.lit(0).cast("bigint").alias("thread_address"), F.col("address").alias("root_seq"))
     return RawHeap(bodies.withColumn("pos", F.col("address")).withColumn("is_array", F.lit(False)), edges, classes, roots)
+
+
+def field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """address, field, kind, i, f, b, text, ref_address: names and balances of customers, names of nations, a line item's first day,
+    and the day's number."""
+    customer, nation = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"))
+
+    def rows(df: DataFrame, at: Column, field: str, kind: str, **value: Column) -> DataFrame:
+        types = {"i": "bigint", "f": "double", "b": "boolean", "text": "string", "ref_address": "bigint"}
+        return df.select(at.alias("address"), F.lit(field).alias("field"), F.lit(kind).alias("kind"), *[value.get(k, F.lit(None)).cast(t).alias(k) for k, t in types.items()])
+
+    out = rows(customer, address(3, F.col("c_custkey")), "name", "text", text=F.col("c_name"))
+    out = out.unionByName(rows(nation, address(2, F.col("n_nationkey")), "name", "text", text=F.col("n_name")))
+    out = out.unionByName(rows(customer, address(3, F.col("c_custkey")), "balance", "real", f=F.col("c_acctbal")))
+    out = out.unionByName(rows(lines.groupBy("item").agg(F.min("day").alias("day")), address(5, F.col("item")), "shipDay", "object", ref_address=address(7, F.col("day"))))
+    return out.unionByName(rows(lines.select("day").distinct(), address(7, F.col("day")), "value", "integer", i=F.col("day")))
