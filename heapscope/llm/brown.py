@@ -39,37 +39,62 @@ SWEEPS = 10
 PRIOR = 20.0
 BLOCK_BYTES = 24 << 20
 #: Distinct words that a task counts before it gives them on.
-HELD_WORDS = 400_000
+HELD_WORDS = 500_000
 SHAPES = 4 * 3 * 4 * 2
 
-_GERMAN, _FRENCH = frozenset("äöüß".encode()) - {0xC3}, frozenset("éèêàçùâîôœ".encode()) - {0xC3}
+#: What a byte adds to the counts of German, French, other non-ASCII letters and digits in a word, 16 bits each.
+_MARKS = np.zeros(256, np.int64)
+_MARKS[0x80:] = 1 << 32
+_MARKS[[b for b in "äöüß".encode() if b != 0xC3]] |= 1
+_MARKS[[b for b in "éèêàçùâîôœ".encode() if b != 0xC3]] |= 1 << 16
+_MARKS[0xC3] = 0
+_MARKS[0x30:0x3A] = 1 << 48
+_ENDINGS = np.zeros(256, np.int64)
+_ENDINGS[list(b".!?")] = 1
+_ENDINGS[list(b",;:")] = 2
 
 
-def shape(word: bytes) -> int:
-    """A number below SHAPES for a word's looks."""
-    high = [b for b in word if b >= 0x80 and b != 0xC3]
-    tongue = 0 if not high else 1 if high[0] in _GERMAN else 2 if high[0] in _FRENCH else 3
-    last = word[-1:]
-    ending = 1 if last in b".!?" else 2 if last in b",;:" else 0
-    length = 0 if len(word) <= 3 else 1 if len(word) <= 6 else 2 if len(word) <= 10 else 3
-    digit = any(0x30 <= b <= 0x39 for b in word)
-    return ((tongue * 3 + ending) * 4 + length) * 2 + digit
+def shapes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number below SHAPES for the looks of each of the words codes[starts:ends], none of them empty."""
+    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(_MARKS[codes])))
+    marks = total[ends] - total[starts]
+    tongue = np.select([marks & 0xFFFF > 0, marks >> 16 & 0xFFFF > 0, marks >> 32 & 0xFFFF > 0], [1, 2, 3], 0)
+    lengths = ends - starts
+    size = (lengths > 3).astype(np.int64) + (lengths > 6) + (lengths > 10)
+    return ((tongue * 3 + _ENDINGS[codes[ends - 1]]) * 4 + size) * 2 + (marks >> 48 > 0)
 
 
-class Units(dict):
-    """Word -> unit: 0 is the end, then the core words, then the shapes."""
+def bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in a text's bytes."""
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = ~((codes == 0x20) | ((codes >= 0x09) & (codes <= 0x0D)))
+    change = np.nonzero(inside[1:] != inside[:-1])[0]
+    return change[::2], change[1::2]
+
+
+class Units:
+    """Words to units: 0 is the end, then the core words, then the shapes."""
 
     def __init__(self, core: list[bytes]):
-        super().__init__((w, i + 1) for i, w in enumerate(core))
-        self.core, self.size = core, 1 + len(core) + SHAPES
+        self.core = {w: i + 1 for i, w in enumerate(core)}
+        self.size = 1 + len(core) + SHAPES
+
+    def of(self, words: list[bytes], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        get = self.core.get
+        known = np.array([get(w, 0) for w in words], np.int64)
+        return np.where(known > 0, known, 1 + len(self.core) + shapes(codes, starts, ends))
+
 
-    def __missing__(self, word: bytes) -> int:
-        unit = 1 + len(self.core) + shape(word)
-        if len(self) > HELD_WORDS:
-            self.clear()
-            self.update((w, i + 1) for i, w in enumerate(self.core))
-        self[word] = unit
-        return unit
+def split_words(text: str | None) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text and its lower-cased bytes. bytes.lower() changes A-Z only; bytes.split() splits at x20 and x09 to x0D."""
+    raw = text.encode().lower() if text else b""
+    return raw.split(), np.frombuffer(raw, np.uint8)
+
+
+def words_of_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts and ends of the values of a binary column without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8), offsets[:-1], offsets[1:]
 
 
 def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -140,7 +165,6 @@ class Model:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """bytes.lower() changes A-Z only; bytes.split() splits at x20 and x09 to x0D."""
     return text.encode().lower().split() if text else []
 
 
@@ -181,11 +205,13 @@ def count_bigrams(texts: DataFrame, core: list[bytes]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, total = Units(core), np.zeros(size * size, np.int64)
         for batch in batches:
-            row = [0]
+            row = [np.zeros(1, np.int64)]
             for text in batch.column(0).to_pylist():
-                row.extend(map(units.__getitem__, words_of(text)))
-                row.append(0)
-            codes = np.array(row, np.int64)
+                words, raw = split_words(text)
+                if words:
+                    row.append(units.of(words, raw, *bounds(raw)))
+                row.append(row[0])
+            codes = np.concatenate(row)
             total += np.bincount(codes[:-1] * size + codes[1:], minlength=size * size)
         at = np.nonzero(total)[0]
         for low in range(0, len(at), 1 << 16):
@@ -205,7 +231,8 @@ def shape_types(vocabulary: DataFrame, core: list[bytes]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, total = Units(core), np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(np.fromiter(map(units.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows), minlength=size)
+            words = batch.column(0)
+            total += np.bincount(units.of(words.to_pylist(), *words_of_column(words)), minlength=size)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["unit", "n"])
 
@@ -250,31 +277,31 @@ class Scorer:
     def start(self) -> None:
         """A new block: no words yet. Entry 0 is the end."""
         self.index: dict[bytes, int] = {}
-        self.n: list[int] = [self.model.ends if self.model else 0]
-        self.unit: list[int] = [0]
-        self.ready = False
-
-    def learn(self, word: bytes, n: int) -> None:
-        if word not in self.index:
-            self.index[word] = len(self.n)
-            self.n.append(n)
-            self.unit.append(self.units[word])
+        self.n = [np.array([self.model.ends if self.model else 0])]
+        self.unit = [np.zeros(1, np.int64)]
+        self.count, self.ready = 1, False
+
+    def learn(self, words: pa.Array, n: np.ndarray) -> None:
+        """Words of the block with their counts. One that comes again keeps its last entry, which says the same."""
+        named = words.to_pylist()
+        self.index.update(zip(named, range(self.count, self.count + len(named)), strict=True))
+        self.n.append(n)
+        self.unit.append(self.units.of(named, *words_of_column(words)))
+        self.count += len(named)
 
     def settle(self) -> None:
         m = self.model
-        n = np.array(self.n, np.float64)
-        self.kind = m.label[np.array(self.unit)]
+        n = np.concatenate(self.n).astype(np.float64)
+        self.kind = m.label[np.concatenate(self.unit)]
         self.base = np.log10((n + 1) / (m.tokens + m.words + 1))
-        lost = np.full(len(n), m.discount)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.emit = np.log10((n - lost) / m.class_tokens[self.kind])
-        self.emit[0] = math.log10((n[0] - m.discount) / m.class_tokens[0])
+        self.emit = np.log10((n - m.discount) / m.class_tokens[self.kind])
         self.base_unseen = math.log10(1 / (m.tokens + m.words + 1))
         self.ready = True
 
     def score(self, text: str | None) -> tuple[int, int, float, float]:
         """Tokens, known tokens, log10 probabilities: the baseline's and the model's."""
-        words, m = words_of(text), self.model
+        words, raw = split_words(text)
+        m = self.model
         if m is None:
             return len(words) + 1, 0, 0.0, 0.0
         if not self.ready:
@@ -284,12 +311,11 @@ class Scorer:
         known = at >= 0
         kind, emit, base = self.kind[at], self.emit[at], self.base[at]
         if not known.all():
-            kind = kind.copy()
-            for i in np.nonzero(~known)[0]:
-                kind[i] = m.label[self.units[words[i]]]
-            emit = np.where(known, emit, m.unseen[kind])
-            base = np.where(known, base, self.base_unseen)
-        follow = m.log_next[np.r_[0, kind[:-1]], kind]
+            lost = np.nonzero(~known)[0]
+            starts, ends = bounds(raw)
+            kind[lost] = m.label[self.units.of([words[i] for i in lost], raw, starts[lost], ends[lost])]
+            emit[lost], base[lost] = m.unseen[kind[lost]], self.base_unseen
+        follow = m.log_next[np.concatenate((np.zeros(1, np.int64), kind[:-1])), kind]
         return len(at), int(known.sum()), float(base.sum()), float(emit.sum() + follow.sum())
 
 
@@ -303,14 +329,22 @@ def score(rows: DataFrame, dictionary: DataFrame, model: Model | None) -> DataFr
         scorer, now = Scorer(model), None
         sink = Sink(doc_id=pa.int64(), held_out=pa.bool_(), n_tokens=pa.int64(), n_known=pa.int64(), base_score=pa.float64(), score=pa.float64())
         for batch in batches:
-            for block, kind, word, n, doc_id, held_out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(key))[0] + 1).tolist(), len(key)]
+            for low, high in zip(cuts, cuts[1:], strict=False):  # runs of one block's words or texts
+                if high == low:
+                    continue
+                block, kind = divmod(int(key[low]), 2)
                 if block != now:
                     now = block
                     scorer.start()
+                part = batch.slice(low, high - low)
                 if kind == 0:
-                    scorer.learn(word, n)
-                elif sink.add(doc_id, held_out, *scorer.score(text)):
-                    yield from sink.drain()
+                    scorer.learn(part.column(2), part.column(3).to_numpy())
+                    continue
+                for doc_id, held_out, text in zip(*(part.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
+                    if sink.add(doc_id, held_out, *scorer.score(text)):
+                        yield from sink.drain()
         yield from sink.drain()
 
     met = words.union(texts).repartition("block").sortWithinPartitions("block", "kind")
