@@ -170,7 +170,8 @@ class Mix:
         counts, self.shard = draw(self.sources, seed)
         self.rows = staged(placed(sized, self.sources, block), "mixing-rows")
         unstage(sized)
-        self.slots = slots(spark, self.sources, counts, seed)
+        # staged, so that the planner knows its size: it grows with the words and must not be broadcast
+        self.slots = staged(slots(spark, self.sources, counts, seed), "mixing-slots")
         about = [(s["no"], s["total"], float(s["target"])) for s in self.sources] or [(0, 0, 0.0)]
         self.about = F.broadcast(spark.createDataFrame(about, "source_no int, source_size long, target double"))  # at most MAX_SOURCES rows
 
