@@ -1,10 +1,11 @@
 """A counterfactual-regularised toxicity classifier.
 
-Method: logistic regression on the presence of words. In labelled sentences that name a group of people, the
+Method: logistic regression on the presence of words and of word beginnings (PREFIXES characters), which inflected and compound
+forms share. In labelled sentences that name a group of people, the
 identity term is swapped for the others of its list, and the squared change of the score (log odds) is a penalty
 beside the L2 one: the model may not tell "women" from "men", so neutral mentions of a group add nothing.
 
-Labels are learned from a bounded sample (MAX_TRAIN documents, least hash of the id first); features are the words whose document counts in the
+Labels are learned from a bounded sample (MAX_TRAIN documents, least hash of the id first); features are those whose document counts in the
 two classes differ most (at most FEATURES, z of LEAST_Z or more). Counts run on the executors; the driver gets at most
 FEATURES words and MAX_TRAIN lists of feature numbers.
 
@@ -17,11 +18,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,12 @@ from .common import Sink, map_arrow, staged, table, unstage
 
 MAX_TRAIN = 20_000
 FEATURES = 512
-LEAST_Z = 4.0
+LEAST_Z = 6.0
+PREFIXES = (3, 4, 5, 6)
+L2, FAIRNESS = 0.1, 10.0
 THRESHOLD = 0.7
+#: Features that a task counts before it gives them on; words whose features a worker remembers.
+HELD = 300_000
 #: Groups of interchangeable identity terms, in the languages of the corpus. A parameter.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -55,14 +62,32 @@ def words_of(text: str | None) -> set[str]:
     return set(_words(text.lower())) if text else set()
 
 
+def features_of(words: set[str]) -> set[str]:
+    """The words, and the beginnings of those that are longer, marked by a caret."""
+    return words.union(["^" + w[:k] for w in words for k in PREFIXES if len(w) > k])
+
+
 @dataclass
 class Model:
     intercept: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict)  # words met -> their features that have weights
+
+    def features(self, word: str) -> tuple[str, ...]:
+        if len(self.known) > HELD:
+            self.known.clear()
+        found = self.known[word] = tuple(f for f in features_of({word}) if f in self.weights)
+        return found
 
     def logit(self, text: str | None) -> float:
-        found = self.weights.keys() & words_of(text)
-        return self.intercept + math.fsum(self.weights[w] for w in found)
+        known, found = self.known, set()
+        for w in words_of(text):
+            f = known.get(w)
+            if f is None:
+                f = self.features(w)
+            if f:
+                found.update(f)
+        return self.intercept + math.fsum(self.weights[f] for f in found)
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.logit(text)))))
@@ -73,26 +98,30 @@ def swaps(groups: tuple[tuple[str, ...], ...]) -> dict[str, tuple[str, ...]]:
     return {t: tuple(o for o in group if o != t) for group in groups for t in group}
 
 
-def fit_weights(rows: list[list[int]], y: np.ndarray, changes: list[tuple[list[int], list[int]]], n: int, l2: float = 1.0, fairness: float = 10.0) -> np.ndarray:
+def fit_weights(rows: list, y: np.ndarray, changes: list[tuple[list[int], list[int]]], n: int, l2: float = L2, fairness: float = FAIRNESS) -> np.ndarray:
     """Newton steps on the log loss + l2/2 |w|^2 + fairness/2 * sum (w . (x - x'))^2. rows: feature numbers present;
     changes: feature numbers that a swap takes away and brings; n: features. Returns the intercept, then the weights."""
     x = np.zeros((len(rows), n + 1), np.float32)
     x[:, 0] = 1
     for i, r in enumerate(rows):
-        x[i, np.array(r, np.int64) + 1] = 1
+        x[i, np.asarray(r, np.int64) + 1] = 1
     penalty = np.diag(np.r_[1e-6, np.full(n, l2)])
     for gone, come in changes:
         d = np.zeros(n + 1)
-        d[np.array(gone, np.int64) + 1] += 1
-        d[np.array(come, np.int64) + 1] -= 1
+        d[np.asarray(gone, np.int64) + 1] += 1
+        d[np.asarray(come, np.int64) + 1] -= 1
         at = np.nonzero(d)[0]
         penalty[np.ix_(at, at)] += fairness * np.outer(d[at], d[at])
     w = np.zeros(n + 1)
     w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty @ w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, gradient)
+    for _ in range(40):
+        gradient, curve = penalty @ w, penalty.copy()
+        for low in range(0, len(x), 2000):  # by parts, so that no second copy of x is made
+            part = x[low : low + 2000].astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            gradient += part.T @ (p - y[low : low + 2000])
+            curve += (part * (p * (1 - p))[:, None]).T @ part
+        step = np.linalg.solve(curve, gradient)
         w -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
@@ -109,13 +138,23 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, groups
     sample = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("__y").alias("y"), "text"), "toxicity-train")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink = Sink(word=pa.string(), positive=pa.int64(), negative=pa.int64())
+        held = (Counter(), Counter())
+
+        def drain():
+            for y, counter in enumerate(held):
+                names, counts = list(counter), list(counter.values())
+                for low in range(0, len(names), 50_000):
+                    n = pa.array(counts[low : low + 50_000], pa.int64())
+                    none = pa.array(np.zeros(len(n), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[low : low + 50_000], pa.string()), n if y else none, none if y else n], names=["word", "positive", "negative"])
+                counter.clear()
+
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in words_of(text):
-                    if sink.add(w, int(y == 1), int(y != 1), size=40):
-                        yield from sink.drain()
-        yield from sink.drain()
+                held[int(y == 1)].update(features_of(words_of(text)))
+                if len(held[0]) + len(held[1]) > HELD:
+                    yield from drain()
+        yield from drain()
 
     totals = sample.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") != 1)).first()
     positives, negatives = totals
@@ -135,17 +174,24 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, groups
         sink = Sink(y=pa.int32(), present=pa.list_(pa.int32()), gone=pa.list_(pa.int32()), come=pa.list_(pa.int32()))
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = features.keys() & words_of(text)
-                gone = sorted(found & identity.keys())
-                come = [identity[t][len(text) % len(identity[t])] for t in gone]
-                if sink.add(y, sorted(features[w] for w in found), [features[t] for t in gone], [features[t] for t in come if t in features], size=200):
+                words = words_of(text)
+                here = features.keys() & features_of(words)
+                terms = sorted(words & identity.keys())
+                there = here
+                if terms:  # each term swapped for another of its list
+                    others = {identity[t][len(text) % len(identity[t])] for t in terms}
+                    there = features.keys() & features_of((words - set(terms)) | others)
+                lists = (sorted(features[f] for f in found) for found in (here, here - there, there - here))
+                if sink.add(y, *lists, size=400):
                     yield from sink.drain()
         yield from sink.drain()
 
-    rows = map_arrow(sample, vectors, "y int, present array<int>, gone array<int>, come array<int>").collect()
+    rows = map_arrow(sample, vectors, "y int, present array<int>, gone array<int>, come array<int>").toArrow()
     unstage(sample)
-    changes = [(r["gone"], r["come"]) for r in rows if r["gone"]]
-    w = fit_weights([r["present"] for r in rows], np.array([r["y"] == 1 for r in rows], float), changes, len(features))
+    present = np.split(rows.column("present").combine_chunks().flatten().to_numpy(), np.cumsum(pc.list_value_length(rows.column("present")).to_numpy())[:-1])
+    swapped = rows.filter(pc.greater(pc.add(pc.list_value_length(rows.column("gone")), pc.list_value_length(rows.column("come"))), 0))
+    changes = list(zip(swapped.column("gone").to_pylist(), swapped.column("come").to_pylist(), strict=True))
+    w = fit_weights(present, (rows.column("y").to_numpy() == 1).astype(float), changes, len(features))
     return Model(float(w[0]), {t: float(w[i + 1]) for t, i in features.items()})
 
 
