@@ -36,9 +36,10 @@ class ByteBpe:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
-            self.lengths[i] = len(token)
+            self.tokens[i] = token
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
 
 
 _loaded: dict[str, ByteBpe] = {}
