@@ -189,8 +189,9 @@ def count_words(rows: DataFrame) -> DataFrame:
                 if train:
                     counter.update(words_of(text))
                 else:
-                    for w in set(words_of(text)).difference(counter):
-                        counter[w] = 0
+                    for w in set(words_of(text)):
+                        if w not in counter:
+                            counter[w] = 0
             if sum(map(len, held.values())) > HELD_WORDS:
                 yield from drain()
         yield from drain()
