@@ -27,13 +27,21 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(archive))
 
 
+_own: dict[str, str] = {}
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A temporary folder, for sessions that name no shared one (tests on one machine)."""
+    key = spark.sparkContext.applicationId
+    if key not in _own:
+        _own[key] = tempfile.mkdtemp(prefix="heapscope-")
+    return _own[key]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the folder that spark.checkpoint.dir names. It cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="heapscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark)
     path = posixpath.join(folder, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,10 @@ Edges into roots cannot matter and go first. Objects without references are then
 peeled (cycles and what leads to them) is the core, done by one task with a semi-dominator algorithm. Peeled objects come back in reverse
 order: the dominator of an object is the deepest common ancestor of its referrers. Each object carries its path from the top of the dominator
 tree; the common prefix of many paths is that of the least and the greatest of them, both of which Spark pre-aggregates.
+
+A core whose dominator tree is deeper than MAX_DEPTH (long linked lists) would make long paths. Then one task does the whole
+graph and gives, in place of paths, the interval of each object's subtree in a numbering of the tree (`pre` to `last`); what looks
+for ancestors works on either form.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ from ..functions.staging import staged, unstage
 
 #: Rounds of peeling; what is deeper is left to the core.
 PEELS = 40
-TOP = -1
+#: Depth of the core's dominator tree up to which objects carry paths.
+MAX_DEPTH = 256
+TOP, SIZE = -1, -2
 
 
-def dominator_paths(edges: DataFrame, roots: DataFrame, peels: int = PEELS) -> DataFrame:
+def dominator_paths(edges: DataFrame, roots: DataFrame, peels: int = PEELS, max_depth: int = MAX_DEPTH) -> DataFrame | None:
     """object_id, path: ids from a top-level object down to the object itself. edges: src, dst between reachable
-    objects; roots: object_id. Objects that no root reaches have no row."""
+    objects; roots: object_id. Objects that no root reaches have no row. None if paths would be longer than max_depth and the peels."""
     starts = staged(roots.select("object_id").distinct(), "dom-roots")
     inner = edges.select("src", "dst").where("src <> dst").distinct().join(starts.select(F.col("object_id").alias("dst")), "dst", "left_anti")
     every = staged(inner.select("src", "dst"), "dom-edges")
@@ -41,7 +47,10 @@ def dominator_paths(edges: DataFrame, roots: DataFrame, peels: int = PEELS) -> D
         left = following
     done = [starts.select("object_id", F.array("object_id").alias("path"))]
     if not left.isEmpty():
-        done = [staged(core_paths(left, starts), "dom-core")]
+        done = [staged(core_paths(left, starts, max_depth), "dom-core")]
+        if not done[0].where(F.col("object_id") == TOP).isEmpty():
+            unstage(every, left, *done, *layers)
+            return None
     for layer in reversed(layers):
         known = reduce(DataFrame.unionAll, done).select(F.col("object_id").alias("src"), "path")
         ends = layer.select("src", "dst").join(known, "src").groupBy("dst").agg(F.min("path").alias("a"), F.max("path").alias("b"))
@@ -54,8 +63,8 @@ def dominator_paths(edges: DataFrame, roots: DataFrame, peels: int = PEELS) -> D
     return reduce(DataFrame.unionAll, done)
 
 
-def core_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Paths of the objects on the given edges and of the roots, by one task."""
+def core_paths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """Paths of the objects on the given edges and of the roots, by one task; a single row of object -1 if some are too long."""
 
     def run(batches):
         import numpy as np
@@ -67,8 +76,14 @@ def core_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
         src, dst = src[src != TOP], dst[src != TOP]
         names = np.unique(np.concatenate((starts, src, dst)))
         idom = immediate_dominators(np.searchsorted(names, src), np.searchsorted(names, dst), np.searchsorted(names, starts), len(names))
-        paths: dict[int, list[int]] = {}
+        depth: dict[int, int] = {-1: 0}
         for v, up in idom:  # in search order, so dominators come first
+            depth[v] = depth[up] + 1
+        if max(depth.values()) > max_depth:
+            yield pa.RecordBatch.from_arrays([pa.array([TOP], pa.int64()), pa.array([[]], pa.list_(pa.int64()))], names=["object_id", "path"])
+            return
+        paths: dict[int, list[int]] = {}
+        for v, up in idom:
             paths[v] = [*(paths[up] if up >= 0 else []), int(names[v])]
         for low in range(0, len(idom), 10_000):
             part = [v for v, _ in idom[low : low + 10_000]]
@@ -151,15 +166,83 @@ def immediate_dominators(src, dst, starts, n: int) -> list[tuple[int, int]]:
     return [(vertex[w], vertex[dom[w]] if dom[w] else -1) for w in range(1, m)]
 
 
-def dominator_table(objects: DataFrame, paths: DataFrame) -> DataFrame:
-    """object_id, idom (-1: top level or not reached), depth, retained, path."""
-    sized = paths.join(objects.select("object_id", "used_size"), "object_id")
-    retained = sized.select(F.explode("path").alias("object_id"), "used_size").groupBy("object_id").agg(F.sum("used_size").alias("retained"))
-    up = F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(F.lit(TOP)).cast("bigint")
-    known = paths.select("object_id", up.alias("idom"), F.size("path").alias("depth"), "path").join(retained, "object_id")
-    alone = objects.join(paths.select("object_id"), "object_id", "left_anti")
-    alone = alone.select("object_id", F.lit(TOP).cast("bigint").alias("idom"), F.lit(1).alias("depth"), F.array("object_id").alias("path"), F.col("used_size").alias("retained"))
-    return known.unionByName(alone)
+def dominator_table(objects: DataFrame, edges: DataFrame, roots: DataFrame, peels: int = PEELS, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """object_id, idom (-1: top level or not reached), depth, retained, and either path or pre and last (the others null)."""
+    paths = dominator_paths(edges, roots, peels, max_depth)
+    if paths is None:
+        known = staged(deep_dominators(objects, edges, roots), "dom-deep")
+    else:
+        sized = paths.join(objects.select("object_id", "used_size"), "object_id")
+        retained = sized.select(F.explode("path").alias("object_id"), "used_size").groupBy("object_id").agg(F.sum("used_size").alias("retained"))
+        up = F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(F.lit(TOP)).cast("bigint")
+        none = F.lit(None).cast("bigint")
+        known = paths.select("object_id", up.alias("idom"), F.size("path").alias("depth"), "path", none.alias("pre"), none.alias("last")).join(retained, "object_id")
+    alone = objects.join(known.select("object_id"), "object_id", "left_anti")
+    own = F.array("object_id") if paths is not None else F.lit(None).cast("array<bigint>")
+    # in the numbering, what is not reached has numbers of its own below 0
+    number = F.lit(None).cast("bigint") if paths is not None else -F.col("object_id") - 1
+    alone = alone.select("object_id", F.lit(TOP).cast("bigint").alias("idom"), F.lit(1).alias("depth"), own.alias("path"), number.alias("pre"), number.alias("last"), F.col("used_size").alias("retained"))
+    return known.unionByName(alone).select("object_id", "idom", "depth", "retained", "path", "pre", "last")
+
+
+def deep_dominators(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The dominator tree of a whole graph by one task: object_id, idom, depth, path (null), pre, last, retained."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = pa.Table.from_batches(list(batches))
+        a, b = rows.column(0).to_pandas().to_numpy(np.int64), rows.column(1).to_pandas().to_numpy(np.int64)
+        start, size = a == TOP, a == SIZE
+        src, dst = a[~start & ~size], b[~start & ~size]
+        names = np.unique(np.concatenate((b[start], src, dst)))
+        weights = np.zeros(len(names), np.int64)
+        at = np.minimum(np.searchsorted(names, b[size]), len(names) - 1)
+        found = names[at] == b[size]
+        weights[at[found]] = rows.column(2).to_pandas().to_numpy(np.int64)[size][found]
+        idom = immediate_dominators(np.searchsorted(names, src), np.searchsorted(names, dst), np.unique(np.searchsorted(names, b[start])), len(names))
+        count, retained = [1] * len(names), weights.tolist()
+        for v, up in reversed(idom):
+            if up >= 0:
+                count[up] += count[v]
+                retained[up] += retained[v]
+        pre, free, depth, top = [0] * len(names), [0] * len(names), [0] * len(names), 0
+        for v, up in idom:  # dominators come first and give out the places below them
+            if up < 0:
+                pre[v], depth[v], top = top, 1, top + count[v]
+            else:
+                pre[v], depth[v] = free[up], depth[up] + 1
+                free[up] += count[v]
+            free[v] = pre[v] + 1
+        for low in range(0, len(idom), 100_000):
+            part = idom[low : low + 100_000]
+            vs = [v for v, _ in part]
+            columns = [
+                pa.array(names[vs], pa.int64()), pa.array([int(names[u]) if u >= 0 else TOP for _, u in part], pa.int64()), pa.array([depth[v] for v in vs], pa.int32()), pa.nulls(len(vs), pa.list_(pa.int64())),
+                pa.array([pre[v] for v in vs], pa.int64()), pa.array([pre[v] + count[v] - 1 for v in vs], pa.int64()), pa.array([retained[v] for v in vs], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["object_id", "idom", "depth", "path", "pre", "last", "retained"])
+
+    zero = F.lit(0).cast("bigint")
+    lines = edges.where("src <> dst").select("src", "dst", zero.alias("size")).distinct()
+    lines = lines.unionAll(roots.select(F.lit(TOP).cast("bigint"), "object_id", zero)).unionAll(objects.select(F.lit(SIZE).cast("bigint"), "object_id", "used_size"))
+    return lines.repartition(1).mapInArrow(run, "object_id long, idom long, depth int, path array<bigint>, pre long, last long, retained long")
+
+
+def has_paths(dominators: DataFrame) -> bool:
+    return dominators.where("path is null").isEmpty()
+
+
+def below_another(dominators: DataFrame, members: DataFrame) -> DataFrame:
+    """members (object_id, part) that have another member of their part above them in the dominator tree, each once."""
+    if has_paths(dominators):
+        above = members.join(dominators.select("object_id", "path"), "object_id").select("object_id", "part", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("upper"))
+        return above.join(members.select(F.col("object_id").alias("upper"), "part"), ["upper", "part"], "left_semi").select("object_id", "part").distinct()
+    # subtrees nest: a member is below another where an earlier one's interval reaches over it
+    placed = members.join(dominators.select("object_id", "pre", "last"), "object_id")
+    earlier = Window.partitionBy("part").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("reach", F.max("last").over(earlier)).where("reach >= pre").select("object_id", "part")
 
 
 def dominated_children(dominators: DataFrame) -> DataFrame:
@@ -170,8 +253,22 @@ def dominated_children(dominators: DataFrame) -> DataFrame:
 
 def retained_set(dominators: DataFrame, starts: DataFrame) -> DataFrame:
     """object_id of everything in the dominator subtrees of the starts."""
-    below = dominators.select("object_id", F.explode("path").alias("start"))
-    return below.join(starts.select(F.col("object_id").alias("start")).distinct(), "start", "left_semi").select("object_id").distinct()
+    chosen = starts.select("object_id").distinct()
+    whole = dominators.select("object_id", F.lit(0).alias("part"))
+    if has_paths(dominators):
+        below = dominators.select("object_id", F.explode("path").alias("start"))
+        return below.join(chosen.withColumnRenamed("object_id", "start"), "start", "left_semi").select("object_id").distinct()
+    # a start's interval as +1 and -1 events; the running sum over 4,096 equal ranges of numbers and within each
+    marked = dominators.select("object_id", "pre", "last").join(chosen.withColumn("at", F.lit(1)), "object_id", "left")
+    opened = marked.select("object_id", "pre", F.coalesce("at", F.lit(0)).alias("step"))
+    closed = marked.where("at = 1").select(F.lit(None).cast("bigint").alias("object_id"), (F.col("last") + 1).alias("pre"), F.lit(-1).alias("step"))
+    ends = whole.count()
+    ranged = opened.unionAll(closed).withColumn("range", F.floor(F.col("pre") / max(1, ends // 4096)))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = ranged.groupBy("range").agg(F.sum("step").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("range").orderBy("pre", "step").rowsBetween(Window.unboundedPreceding, 0)
+    open_at = ranged.withColumn("run", F.sum("step").over(within)).join(base, "range")
+    return open_at.where("object_id is not null and base + run > 0").select("object_id")
 
 
 def class_min_retained(objects: DataFrame, dominators: DataFrame, classes: DataFrame) -> DataFrame:
@@ -179,10 +276,8 @@ def class_min_retained(objects: DataFrame, dominators: DataFrame, classes: DataF
     have no other of them above. A class object that is its own instance counts twice; zeros are left out."""
     of_class = objects.select("object_id", "class_id").unionAll(classes.select("object_id", F.col("object_id").alias("class_id")))
     members = of_class.groupBy("object_id", "class_id").agg(F.count("*").alias("weight"))
-    placed = members.join(dominators.select("object_id", "path", "retained"), "object_id")
-    above = placed.select("object_id", "class_id", "weight", "retained", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("upper"))
-    held = above.join(members.select(F.col("object_id").alias("upper"), "class_id"), ["upper", "class_id"], "left_semi").select("object_id", "class_id").distinct()
-    free = placed.join(held, ["object_id", "class_id"], "left_anti")
+    held = below_another(dominators, members.select("object_id", F.col("class_id").alias("part"))).withColumnRenamed("part", "class_id")
+    free = members.join(held, ["object_id", "class_id"], "left_anti").join(dominators.select("object_id", "retained"), "object_id")
     return free.groupBy("class_id").agg(F.sum(F.col("weight") * F.col("retained")).alias("retained")).where("retained > 0")
 
 

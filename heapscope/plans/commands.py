@@ -162,8 +162,7 @@ def component_report(graph: Graph, package: str) -> DataFrame:
     other object of the package keep."""
     inside = graph.classes.where(F.col("name").startswith(f"{package}."))
     members = graph.objects.join(inside.select(F.col("object_id").alias("class_id"), "name"), "class_id").select("object_id", "name", "used_size")
-    placed = members.join(graph.dominators.select("object_id", "path", "retained"), "object_id")
-    above = placed.select("object_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("upper"))
-    held = above.join(members.select(F.col("object_id").alias("upper")), "upper", "left_semi").select("object_id").distinct().withColumn("held", F.lit(True))
+    placed = members.join(graph.dominators.select("object_id", "retained"), "object_id")
+    held = dominators.below_another(graph.dominators, members.select("object_id", F.lit(0).alias("part"))).select("object_id", F.lit(True).alias("held"))
     kept = F.when(F.col("held").isNull(), F.col("retained")).otherwise(F.lit(0))
     return placed.join(held, "object_id", "left").groupBy("name").agg(F.count("*").alias("n_objects"), F.sum("used_size").alias("used_size"), F.sum(kept).alias("retained"))

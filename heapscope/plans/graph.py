@@ -115,8 +115,7 @@ class Graph:
 
     @cached_property
     def dominators(self) -> DataFrame:
-        paths = dominators.dominator_paths(self.edges, reach.usable_roots(self.roots))
-        return staged(dominators.dominator_table(self.objects, paths), "dominators")
+        return staged(dominators.dominator_table(self.objects, self.edges, reach.usable_roots(self.roots)), "dominators")
 
     @cached_property
     def total(self) -> int:

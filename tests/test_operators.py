@@ -37,8 +37,8 @@ def heap_of(spark, n, pairs):
     return objects, spark.createDataFrame([(a, i, b) for i, (a, b) in enumerate(pairs)] or [(0, 0, 0)], "src long, seq long, dst long")
 
 
-@pytest.mark.parametrize("peels", [1, 40])
-def test_dominators_of_random_graphs(spark, peels):
+@pytest.mark.parametrize(("peels", "depth"), [(1, 256), (40, 256), (1, 0)])
+def test_dominators_of_random_graphs(spark, peels, depth):
     # many graphs as one: disjoint ranges of ids
     rng, pairs, starts, want = random.Random(peels), [], [], {}
     for k in range(60):
@@ -54,7 +54,7 @@ def test_dominators_of_random_graphs(spark, peels):
     roots = spark.createDataFrame([(s,) for s in starts], "object_id long")
     live = reach.search(table, roots).select("object_id")
     inside = table.join(live.withColumnRenamed("object_id", "src"), "src", "left_semi")
-    tree = dominators.dominator_table(objects.join(live, "object_id", "left_semi"), dominators.dominator_paths(inside, roots, peels))
+    tree = dominators.dominator_table(objects.join(live, "object_id", "left_semi"), inside, roots, peels, depth)
     got = {r["object_id"]: (r["idom"], r["retained"]) for r in tree.collect()}
     assert {v: d for v, (d, _) in got.items()} == want
     children = {}
@@ -65,18 +65,29 @@ def test_dominators_of_random_graphs(spark, peels):
         return 10 + v + sum(map(kept, children.get(v, ())))
 
     assert all(size == kept(v) for v, (_, size) in got.items())
+    assert dominators.has_paths(tree) == bool(depth)
+
+    def under(v):
+        return {v}.union(*map(under, children.get(v, ())))
+
+    chosen = sorted(want)[:: 7]
+    table = spark.createDataFrame([(v,) for v in chosen], "object_id long")
+    assert {r["object_id"] for r in dominators.retained_set(tree, table).collect()} == set().union(*map(under, chosen))
+    members = {v: v % 3 for v in want}
+    held = {(r["object_id"], r["part"]) for r in dominators.below_another(tree, spark.createDataFrame(list(members.items()), "object_id long, part int")).collect()}
+    assert held == {(v, members[v]) for u in want for v in under(u) - {u} if members[u] == members[v]}
 
 
 def test_mutual_references_below_one_owner(spark):
     pairs = [(0, 1), (1, 2), (1, 3), (2, 3), (3, 2)]
     objects, table = heap_of(spark, 4, pairs)
-    tree = dominators.dominator_table(objects, dominators.dominator_paths(table, objects.where("object_id = 0").select("object_id")))
+    tree = dominators.dominator_table(objects, table, objects.where("object_id = 0").select("object_id"))
     assert {r["object_id"]: r["idom"] for r in tree.collect()} == {0: -1, 1: 0, 2: 1, 3: 1}
 
 
 def test_class_minimum_retained(spark):
     objects = spark.createDataFrame([(0, 1, 0, 100, False), (1, 2, 0, 40, False), (2, 3, 0, 20, False), (3, 4, 0, 7, False)], "object_id long, address long, class_id long, used_size long, is_array boolean")
-    tree = spark.createDataFrame([(0, -1, 100, [0]), (1, 0, 60, [0, 1]), (2, 1, 20, [0, 1, 2]), (3, -1, 7, [3])], "object_id long, idom long, retained long, path array<long>")
+    tree = spark.createDataFrame([(0, -1, 100, [0], 0, 2), (1, 0, 60, [0, 1], 1, 2), (2, 1, 20, [0, 1, 2], 2, 2), (3, -1, 7, [3], 3, 3)], "object_id long, idom long, retained long, path array<long>, pre long, last long")
     classes = spark.createDataFrame([(0,)], "object_id long")
     assert [tuple(r) for r in dominators.class_min_retained(objects, tree, classes).collect()] == [(0, 207)]
     children = [(r["idom"], r["nr"], r["object_id"]) for r in dominators.dominated_children(tree).collect()]
@@ -101,11 +112,19 @@ def test_long_chains_are_found(spark):
     assert got == {**{i: i for i in range(61)}, 100: 31}
 
 
+def test_long_lists_have_no_paths(spark):
+    n = 2000
+    objects, table = heap_of(spark, n, [(i, i + 1) for i in range(n - 1)])
+    tree = dominators.dominator_table(objects, table, objects.where("object_id = 0").select("object_id"))
+    got = {r["object_id"]: (r["idom"], r["depth"], r["retained"]) for r in tree.collect()}
+    assert not dominators.has_paths(tree) and got[0] == (-1, 1, sum(range(10, 10 + n))) and got[n - 1] == (n - 2, n, 9 + n)
+
+
 def test_picking_roots_on_cycles():
     assert reach.pick_cycle_roots({1: [2], 2: [1]}, {1: 1, 2: 1}) == [1]
     assert reach.pick_cycle_roots({1: [2], 2: [3], 3: [1]}, {1: 1, 2: 1, 3: 1}) == [1]
     busy = {1: [*range(2, 14)], **{i: [1] for i in range(2, 14)}}
-    assert reach.pick_cycle_roots(busy, {1: 12, **{i: 1 for i in range(2, 14)}}) == [2]
+    assert reach.pick_cycle_roots(busy, {1: 12, **{i: 1 for i in range(2, 14)}}) == [1]
 
 
 def test_ids_edges_and_first_records(spark):
