@@ -79,13 +79,18 @@ class Sink:
             self.clear()
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="heapscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    key = spark.sparkContext.applicationId
+    if key not in _own:
+        _own[key] = tempfile.mkdtemp(prefix="heapscope-")
+    return _own[key]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
