@@ -125,7 +125,7 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
             pair[old, :] -= after
             pair[:, old] -= before
             pair[old, old] -= own
-            left, right = pair.sum(1), pair.sum(0)
+            left, right = pair.sum(1) + before, pair.sum(0) + after  # tokens of each class without u
             gain = (xlogx(pair + after[None, :]) - xlogx(pair)).sum(1) + (xlogx(pair + before[:, None]) - xlogx(pair)).sum(0)
             d = np.arange(classes)
             cell = pair[d, d]

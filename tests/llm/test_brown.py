@@ -46,6 +46,31 @@ def test_beats_the_baseline_on_held_out_texts(scored):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) * 0.8
 
 
+def test_exchange_never_lowers_the_likelihood():
+    rng = np.random.default_rng(2)
+    n = 20 + brown.SHAPES
+    counts = rng.integers(0, 9, (n, n)) * (rng.random((n, n)) < 0.05)
+
+    def likelihood(label):
+        member = np.eye(5)[label]
+        f = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+        pair = member.T @ counts @ member
+        return f(pair) - f(pair.sum(1)) - f(pair.sum(0))
+
+    before = -np.inf
+    for sweeps in range(5):
+        after = likelihood(brown.exchange(counts.astype(float), 5, sweeps))
+        assert after >= before - 1e-6
+        before = after
+    label = brown.exchange(counts.astype(float), 5, 50)
+    best = likelihood(label)
+    for u in range(1, n):  # no single move is better
+        for k in range(1, 5):
+            moved = label.copy()
+            moved[u] = k
+            assert likelihood(moved) <= best + 1e-6
+
+
 def test_exchange_separates_kinds_of_words():
     rng = np.random.default_rng(1)
     kind = rng.integers(0, 2, 41)
