@@ -36,8 +36,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         unstage(now)
         now = following
     unstage(now)
-    if not pointers:
-        return ids.select(F.col("a").alias("id"), F.col("a").alias("label"))
+    if not pointers:  # no edge: nothing here reads the given tables again, which may be deleted now
+        return edges.sparkSession.createDataFrame([], "id long, label long")
 
     def through(later: DataFrame, earlier: DataFrame) -> DataFrame:
         on = later.select(F.col("a").alias("m"), F.col("m").alias("__m"))

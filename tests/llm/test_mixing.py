@@ -30,7 +30,7 @@ def rows(n=300):
     for i in range(n):
         words = [f"{i}w{k}" for k in range(rng.choice([0, 1, 5, 40, 200]))]
         out.append((i, rng.choice([" ", "\n", " \t "]).join(words), "en", "big" if i % 3 == 0 else rng.choice(sources[:4]), 0))
-    return [*out, (n, None, "en", "a", 0), (None, "null id here", "en", "a", 0), (7, "twice", "en", "a", 0), (7, "twice", "en", "a", 0), (n + 1, "x y", "en", "tiny", 0)]
+    return [*out, (n, None, "en", "a", 0), (None, "null id here", "en", "a", 0), (5000, "twice", "en", "a", 0), (5000, "twice", "en", "a", 0), (n + 1, "x y", "en", "tiny", 0)]
 
 
 def test_shares(docs):
