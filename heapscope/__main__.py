@@ -55,7 +55,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             snapshot.Descriptor(d.path.with_suffix(d.SUFFIX), d.snapshot, d.dump, d.memory_budget).write()
         print(json.dumps(made.facts))
     elif args.command == "estimate":
-        spark.dataSource.register(H.HprofSource)
+        H.register(spark)
         bodies = spark.read.format("hprof").option("payload", "false").load(H.checked_path(d.dump))
         counts = bodies.agg(
             F.count_if(F.col("tag").isin(H.INSTANCE, H.OBJECT_ARRAY, H.PRIMITIVE_ARRAY)).alias("o"), F.count_if(F.col("tag") == H.CLASS_DUMP).alias("c"),

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.staging import ship, staged
+from ..functions.staging import staged
 from ..functions.text import class_name, string_constant
 from ..operators import asof, layout
 from ..operators.ids import first_records
@@ -145,8 +145,7 @@ def instance_refs(instances: DataFrame, layouts: dict[int, list[list[tuple[int,
 
 
 def ingest(spark: SparkSession, path: str) -> Dump:
-    ship(spark)
-    spark.dataSource.register(H.HprofSource)
+    H.register(spark)
     header, _ = H.segments(H.checked_path(path))
     id_size = header.id_size
     records = staged(spark.read.format("hprof").load(path), "hprof-records")

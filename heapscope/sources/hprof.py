@@ -1,6 +1,6 @@
 """A Spark data source for HPROF heap dumps.
 
-    spark.dataSource.register(HprofSource)
+    register(spark)
     spark.read.format("hprof").load("heap.hprof")
 
 One row a record or heap sub-record, in any order; `pos` is the offset of its tag byte. The record headers are read once on the driver (bodies are skipped), and each heap
@@ -16,8 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.staging import ship
+
 #: Record and sub-record tags and element sizes (fixed values of the format).
 STRING, LOAD_CLASS, UNLOAD_CLASS, FRAME, TRACE, DUMP, DUMP_SEGMENT = 0x01, 0x02, 0x03, 0x04, 0x05, 0x0C, 0x1C
 SUB = 0x100
@@ -274,3 +277,9 @@ class HprofSource(DataSource):
 
     def reader(self, schema) -> HprofReader:
         return HprofReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to a session, and the package to its executors."""
+    ship(spark)
+    spark.dataSource.register(HprofSource)
