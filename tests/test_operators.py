@@ -148,7 +148,7 @@ def test_as_of(spark):
 
 def test_alignment_and_sizes(spark):
     addresses = lambda *a: spark.createDataFrame([(x,) for x in a], "address long").repartition(3)
-    assert [layout.object_alignment(addresses(*a)) for a in ((0x1000, 0x2000, 0x5000), (16, 40, 64), (8, 20), (5,))] == [256, 24, 8, 8]
+    assert [layout.object_alignment(addresses(*a)) for a in ((0x1000, 0x2000, 0x5000), (16, 40, 64), (8, 20), (5,))] == [256, 24, 12, 8]
     plain = [{"address": 1, "name": "A", "super_address": 0, "fields": [11, 11]}, {"address": 2, "name": "B", "super_address": 1, "fields": [4, 2]}, {"address": 3, "name": "int[]", "super_address": 1, "fields": []}]
     assert layout.instance_sizes(plain, 8, 4, 8) == {1: 16, 2: 24, 3: 8}
     with pytest.raises(ValueError):
