@@ -1,16 +1,19 @@
 """Language-model scores from a Brown class-based bigram model.
 
 Method: words are assigned to classes by exchange clustering: a word is taken out of its class and put into the one that most raises the
-likelihood of the class bigrams, again and again, until nothing moves. The units that move are the CORE most frequent words, each by
+likelihood of the class bigrams, again and again, until nothing moves. The units that move first are the CORE most frequent words, each by
 itself, and the rarer words in groups of one shape (letters of a language, last character, length, digits); the text's
-end is a class by itself. A token's probability is P(its class | class before) * P(word | its class). Transitions are smoothed towards
+end is a class by itself. Then every rarer word of the training texts is taken out of its shape's class and put by itself into the
+class of the greatest gain, which its own counts with its neighbours' classes give; these moves are made all at once, from
+the same class bigrams. Only words that no training text has keep their shape's class.
+A token's probability is P(its class | class before) * P(word | its class). Transitions are smoothed towards
 the classes' own shares (PRIOR pseudo-counts); in a class each word gives up a discount, which is the probability of the class's
 unseen words.
 
-Word and class-bigram counts cover all training texts. Only the table of units (CORE + some 200 shapes, squared) reaches the
-driver, which clusters it. The vocabulary stays a table: texts are dealt into blocks by ranges of their id, the
-distinct words of a block are joined with the vocabulary, and a block's texts are scored against the block's own words, so no
-task ever holds the whole vocabulary.
+Word and class-bigram counts cover all training texts. Only the tables of units (CORE + SHAPES, squared) and of classes reach the
+driver. The vocabulary and its classes stay a table: texts are dealt into blocks by ranges of their id, the
+distinct words of a block are joined with the vocabulary, and a block's texts are written as classes with the block's own words, so no
+task ever holds the whole vocabulary. Bigrams of the final classes are counted in what is written, which then is scored.
 
 Tokens: A-Z lower-cased, words [^\\x20\\x09-\\x0D]+, then one end. The baseline is an add-one unigram model.
 
@@ -23,10 +26,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,9 +115,6 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
     member[[u for u in range(1, n) if not size[u]], 0] = 0
     pair = member.T @ counts @ member
 
-    def xlogx(x):
-        return x * np.log(np.maximum(x, 1e-300))
-
     for _ in range(sweeps):
         moved = 0
         for u in order:
@@ -162,6 +163,7 @@ class Model:
     class_tokens: np.ndarray
     unseen: np.ndarray  # log10 P(an unseen word of the class | class)
     discount: float
+    pair: np.ndarray  # class bigrams
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -243,6 +245,135 @@ def shape_types(vocabulary: DataFrame, core: list[bytes]) -> np.ndarray:
     return out
 
 
+def count_neighbours(texts: DataFrame, model: Model) -> DataFrame:
+    """word, code, n: how often each word outside the core has a neighbour of a class. Codes: the class of the word that follows,
+    classes + the class of the one before, 2 * classes for the word itself as its own follower. A row may come several times."""
+    core, label, classes = model.core, model.label, len(model.class_tokens)
+    width = 2 * classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, index, keys, counts, held = Units(core), {}, [], [], 0
+
+        def drain():
+            if not keys:
+                return
+            found, place = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+            words = pa.array(list(index), pa.binary())
+            for low in range(0, len(found), 1 << 16):
+                part = found[low : low + (1 << 16)]
+                columns = [words.take(pa.array(part // width)), pa.array((part % width).astype(np.int32)), pa.array(total[low : low + (1 << 16)])]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "code", "n"])
+            index.clear()
+            keys.clear()
+            counts.clear()
+
+        for batch in batches:
+            row, rare = [np.zeros(1, np.int64)], []
+            for text in batch.column(0).to_pylist():
+                words, raw = split_words(text)
+                if words:
+                    row.append(units.of(words, raw, *bounds(raw)))
+                    rare.extend([words[i] for i in np.nonzero(row[-1] > len(core))[0].tolist()])
+                row.append(row[0])
+            codes = np.concatenate(row)
+            at = np.nonzero(codes > len(core))[0]
+            if not len(at):
+                continue
+            ids = np.array([index.setdefault(w, len(index)) for w in rare], np.int64)
+            kind = label[codes]
+            again = np.zeros(len(at) + 1, bool)  # the word before is the same
+            again[1:-1] = (np.diff(at) == 1) & (np.diff(ids) == 0)
+            after = np.where(again[1:], 2 * classes, kind[at + 1])
+            first = ~again[:-1]
+            found, n = np.unique(np.concatenate((ids * width + after, ids[first] * width + classes + kind[at[first] - 1])), return_counts=True)
+            keys.append(found)
+            counts.append(n)
+            held += len(found)
+            if len(index) > HELD_WORDS or held > 8 * HELD_WORDS:
+                yield from drain()
+                held = 0
+        yield from drain()
+
+    return map_arrow(texts, run, "word binary, code int, n long")
+
+
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def best_classes(pair: np.ndarray, old: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The class of the greatest likelihood for each word alone. pair: class bigrams, the words in their classes `old`; after, before: words x
+    classes, their bigrams with other words; own: with themselves. As in exchange(), but only the entries that a word has are looked at."""
+    g, classes = np.arange(len(old)), len(pair)
+
+    def grown(cells, by):
+        return xlogx(cells + by) - xlogx(cells)
+
+    def sums(table, counts):  # over d, of grown(table[:, d], counts[d])
+        word, d = np.nonzero(counts)
+        keys, place = np.unique(np.stack((d, counts[word, d].astype(np.int64))), axis=1, return_inverse=True)
+        gains = grown(table[:, keys[0]].T, keys[1][:, None].astype(float))
+        out = np.zeros((len(counts), classes))
+        starts = np.nonzero(np.diff(word, prepend=-1))[0]
+        out[word[starts]] = np.add.reduceat(gains[place.ravel()], starts, axis=0) if len(starts) else 0
+        return out
+
+    gain = sums(pair, after) + sums(pair.T, before)
+    a, b = after[g, old][:, None], before[g, old][:, None]
+    column, row = pair[:, old].T, pair[old]  # of the old class, still with the word
+    gain += grown(column - before, a) - grown(column, a) + grown(row - after, b) - grown(row, b)
+    row, column = row - after, column - before
+    home = pair[old, old] - a[:, 0] - b[:, 0] - own
+    row[g, old] = column[g, old] = home
+    gain[g, old] = (grown(row, after) + grown(column, before)).sum(1)
+    cell = np.tile(np.diag(pair), (len(old), 1))
+    cell[g, old] = home
+    gain += xlogx(cell + after + before + own[:, None]) - xlogx(cell + after) - xlogx(cell + before) + xlogx(cell)
+    follows, leads = after.sum(1) + own, before.sum(1) + own
+    left, right = np.tile(pair.sum(1), (len(old), 1)), np.tile(pair.sum(0), (len(old), 1))
+    left[g, old] -= follows
+    right[g, old] -= leads
+    gain -= grown(left, follows[:, None]) + grown(right, leads[:, None])
+    gain[:, 0] = -np.inf
+    new, stay = gain.argmax(1), gain[g, old]
+    return np.where(gain[g, new] <= stay + 1e-9 * np.maximum(1.0, np.abs(stay)), old, new)
+
+
+def word_classes(texts: DataFrame, vocabulary: DataFrame, model: Model) -> DataFrame:
+    """word, n, class for all words of the training texts."""
+    core, label, pair, classes = model.core, model.label, model.pair, len(model.class_tokens)
+    width = 2 * classes + 1
+
+    def chosen(words: pa.Array, group: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        counts = np.bincount(group * width + code, weights=n, minlength=len(words) * width).reshape(-1, width)
+        after, before, own = counts[:, :classes], counts[:, classes:-1], counts[:, -1]
+        old = label[1 + len(core) + shapes(*words_of_column(words))]
+        new = best_classes(pair, old, after, before, own)
+        total = (before.sum(1) + own).astype(np.int64)
+        return pa.RecordBatch.from_arrays([words, pa.array(total), pa.array(new.astype(np.int32))], names=["word", "n", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # rows of the last word, which may go on
+        for batch in batches:
+            rows = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
+            words = rows.column(0)
+            starts = np.r_[0, np.nonzero(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))[0] + 1]
+            last = int(starts[-1])
+            if last:
+                group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                yield chosen(words.take(pa.array(starts[:-1])), group, rows.column(1).to_numpy()[:last], rows.column(2).to_numpy()[:last])
+            rest = [rows.slice(last)]
+        if rest:
+            rows = rest[0]
+            yield chosen(rows.column(0)[:1].take(pa.array([0])), np.zeros(rows.num_rows, np.int64), rows.column(1).to_numpy(), rows.column(2).to_numpy())
+
+    met = count_neighbours(texts, model).repartition("word").sortWithinPartitions("word")
+    rare = map_arrow(met, run, "word binary, n long, class int")
+    known = texts.sparkSession.createDataFrame([(w, int(label[i + 1])) for i, w in enumerate(core)], "word binary, class int")  # at most CORE rows
+    return vocabulary.join(F.broadcast(known), "word").select("word", "n", "class").union(rare)
+
+
 def fit(texts: DataFrame, vocabulary: DataFrame, ends: int, core_words: int = CORE) -> Model | None:
     """texts: the training texts; vocabulary: word, n (all words of them); ends: how many texts."""
     if not ends:
@@ -255,20 +386,29 @@ def fit(texts: DataFrame, vocabulary: DataFrame, ends: int, core_words: int = CO
     member = np.zeros((len(label), classes))
     member[np.arange(len(label)), label] = 1
     pair = member.T @ counts @ member
-    tokens, types = pair.sum(0), shape_types(vocabulary, core) @ member
-    types[0] = 1
     n = (total["n"] or 0) + ends
-    share = (tokens + 1e-3) / (tokens + 1e-3).sum()
-    following = (pair + PRIOR * share[None, :]) / (pair.sum(1, keepdims=True) + PRIOR)
     n1, n2 = total["n1"], total["n2"]
     discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
+    return Model(core, label, n, total["v"] + 1, ends, *probabilities(pair, shape_types(vocabulary, core) @ member, discount), discount, pair)
+
+
+def probabilities(pair: np.ndarray, types: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log_next, class_tokens and unseen of a Model, from the class bigrams and how many distinct words each class has."""
+    tokens = pair.sum(0)
+    types = np.concatenate((np.ones(1), types[1:]))
+    share = (tokens + 1e-3) / (tokens + 1e-3).sum()
+    following = (pair + PRIOR * share[None, :]) / (pair.sum(1, keepdims=True) + PRIOR)
     with np.errstate(divide="ignore", invalid="ignore"):
         unseen = np.where(tokens > 0, np.log10(np.maximum(discount * types, 1e-300) / np.maximum(tokens, 1e-300)), 0.0)
-    return Model(core, label, n, total["v"] + 1, ends, np.log10(following), tokens, unseen, discount)
+    return np.log10(following), tokens, unseen
+
+
+#: Marks the class of an unseen word in a text's classes.
+UNSEEN = 128
 
 
 class Scorer:
-    """Scores texts against the words of one block."""
+    """Turns texts into classes with the words of one block."""
 
     def __init__(self, model: Model | None):
         self.model = model
@@ -279,56 +419,61 @@ class Scorer:
         """A new block: no words yet. Entry 0 is the end."""
         self.index: dict[bytes, int] = {}
         self.n = [np.array([self.model.ends if self.model else 0])]
-        self.unit = [np.zeros(1, np.int64)]
+        self.kinds = [np.zeros(1, np.int64)]
         self.count, self.ready = 1, False
 
-    def learn(self, words: pa.Array, n: np.ndarray) -> None:
-        """Words of the block with their counts. One that comes again keeps its last entry, which says the same."""
+    def learn(self, words: pa.Array, n: np.ndarray, kind: np.ndarray | None = None) -> None:
+        """Words of the block with their counts and classes (those of their units if not given). One that comes again keeps its last
+        entry, which says the same."""
         named = words.to_pylist()
         self.index.update(zip(named, range(self.count, self.count + len(named)), strict=True))
         self.n.append(n)
-        self.unit.append(self.units.of(named, *words_of_column(words)))
+        self.kinds.append(self.model.label[self.units.of(named, *words_of_column(words))] if kind is None else kind)
         self.count += len(named)
 
     def settle(self) -> None:
         m = self.model
         n = np.concatenate(self.n).astype(np.float64)
-        self.kind = m.label[np.concatenate(self.unit)]
+        self.kind = np.concatenate(self.kinds)
         self.base = np.log10((n + 1) / (m.tokens + m.words + 1))
-        self.emit = np.log10((n - m.discount) / m.class_tokens[self.kind])
+        self.kept = np.log10(n - m.discount)
         self.base_unseen = math.log10(1 / (m.tokens + m.words + 1))
         self.ready = True
 
-    def score(self, text: str | None) -> tuple[int, int, float, float]:
-        """Tokens, known tokens, log10 probabilities: the baseline's and the model's."""
+    @property
+    def emit(self) -> np.ndarray:
+        """log10 P(word | its class) by the model's classes."""
+        return self.kept - np.log10(self.model.class_tokens[self.kind])
+
+    def classes(self, text: str | None) -> tuple[int, int, float, float, bytes]:
+        """Tokens, known tokens, the baseline's log10 probability, the sum of log10 (count - discount) of the known
+        tokens, and the tokens' classes (+ UNSEEN where not known)."""
         words, raw = split_words(text)
         m = self.model
-        if m is None:
-            return len(words) + 1, 0, 0.0, 0.0
         if not self.ready:
             self.settle()
         get = self.index.get
         at = np.array([get(w, -1) for w in words] + [0], np.int64)
         known = at >= 0
-        kind, emit, base = self.kind[at], self.emit[at], self.base[at]
+        kind, kept, base = self.kind[at], self.kept[at], self.base[at]
         if not known.all():
             lost = np.nonzero(~known)[0]
             starts, ends = bounds(raw)
-            kind[lost] = m.label[self.units.of([words[i] for i in lost], raw, starts[lost], ends[lost])]
-            emit[lost], base[lost] = m.unseen[kind[lost]], self.base_unseen
-        follow = m.log_next[np.concatenate((np.zeros(1, np.int64), kind[:-1])), kind]
-        return len(at), int(known.sum()), float(base.sum()), float(emit.sum() + follow.sum())
+            kind[lost] = UNSEEN + m.label[self.units.of([words[i] for i in lost], raw, starts[lost], ends[lost])]
+            kept[lost], base[lost] = 0.0, self.base_unseen
+        return len(at), int(known.sum()), float(base.sum()), float(kept.sum()), kind.astype(np.uint8).tobytes()
 
 
-def score(rows: DataFrame, dictionary: DataFrame, model: Model | None) -> DataFrame:
-    """rows: block, doc_id, held_out, text; dictionary: block, word, n. Blocks come together, words before texts."""
+def as_classes(rows: DataFrame, dictionary: DataFrame, model: Model) -> DataFrame:
+    """rows: block, doc_id, held_out, text; dictionary: block, word, n, class. Blocks come together, words before texts. Gives doc_id,
+    held_out and what Scorer.classes() says of the text."""
     none = F.lit(None)
-    words = dictionary.select("block", F.lit(0).alias("kind"), "word", "n", none.cast("bigint").alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("string").alias("text"))
-    texts = rows.select("block", F.lit(1).alias("kind"), none.cast("binary").alias("word"), none.cast("bigint").alias("n"), "doc_id", "held_out", "text")
+    words = dictionary.select("block", F.lit(0).alias("kind"), "word", "n", "class", none.cast("bigint").alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("string").alias("text"))
+    texts = rows.select("block", F.lit(1).alias("kind"), none.cast("binary").alias("word"), none.cast("bigint").alias("n"), none.cast("int").alias("class"), "doc_id", "held_out", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, now = Scorer(model), None
-        sink = Sink(doc_id=pa.int64(), held_out=pa.bool_(), n_tokens=pa.int64(), n_known=pa.int64(), base_score=pa.float64(), score=pa.float64())
+        sink = Sink(doc_id=pa.int64(), held_out=pa.bool_(), n_tokens=pa.int64(), n_known=pa.int64(), base_score=pa.float64(), kept=pa.float64(), classes=pa.binary())
         for batch in batches:
             key = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
             cuts = [0, *(np.nonzero(np.diff(key))[0] + 1).tolist(), len(key)]
@@ -341,15 +486,51 @@ def score(rows: DataFrame, dictionary: DataFrame, model: Model | None) -> DataFr
                     scorer.start()
                 part = batch.slice(low, high - low)
                 if kind == 0:
-                    scorer.learn(part.column(2), part.column(3).to_numpy())
+                    scorer.learn(part.column(2), part.column(3).to_numpy(), part.column(4).to_numpy())
                     continue
-                for doc_id, held_out, text in zip(*(part.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
-                    if sink.add(doc_id, held_out, *scorer.score(text)):
+                for doc_id, held_out, text in zip(*(part.column(i).to_pylist() for i in (5, 6, 7)), strict=True):
+                    found = scorer.classes(text)
+                    if sink.add(doc_id, held_out, *found, size=64 + found[0]):
                         yield from sink.drain()
         yield from sink.drain()
 
     met = words.union(texts).repartition("block").sortWithinPartitions("block", "kind")
-    return map_arrow(met, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return map_arrow(met, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, kept double, classes binary")
+
+
+def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
+    """Bigrams of classes, from as_classes() without unseen words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            kind = np.frombuffer(b"\0" + b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)  # each text ends with class 0
+            total += np.bincount(kind[:-1] * classes + kind[1:], minlength=classes * classes)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
+
+    counts = np.zeros(classes * classes)
+    for r in map_arrow(rows.select("classes"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        counts[r["code"]] = r["n"]
+    return counts.reshape(classes, classes)
+
+
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score, from as_classes()."""
+    log_next, unseen = model.log_next, model.unseen
+    shares = np.log10(np.maximum(model.class_tokens, 1e-300))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for kept, classes in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                marked = np.frombuffer(classes, np.uint8)
+                kind = marked % UNSEEN
+                emit = np.where(marked >= UNSEEN, unseen[kind], -shares[kind])
+                scores.append(kept + float(emit.sum()) + float(log_next[np.concatenate((np.zeros(1, np.uint8), kind[:-1])), kind].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(scores, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return map_arrow(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def class_model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -361,10 +542,34 @@ def class_model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     dealt = dealt.withColumn("train", ~F.col("held_out"))
     in_blocks = staged(count_words(dealt), "brown-words")
     vocabulary = staged(in_blocks.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "brown-vocabulary")
-    model = fit(source.where("not held_out").select("text"), vocabulary, source.where("not held_out").count())
-    dictionary = in_blocks.select("block", "word").join(vocabulary, "word")
-    out = score(dealt, dictionary, model)
-    return out.withColumn("train_tokens", F.lit(model.tokens if model else 0).cast("bigint")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    training = source.where("not held_out").select("text")
+    model = fit(training, vocabulary, training.count())
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    if model is None:
+        return untrained(source).withColumn("train_tokens", F.lit(0).cast("bigint")).select(*names)
+    known = staged(word_classes(training, vocabulary, model), "brown-classes")
+    dictionary = in_blocks.select("block", "word").join(known, "word")
+    texts = staged(as_classes(dealt, dictionary, model), "brown-texts")
+    pair = class_bigrams(texts.where("not held_out"), len(model.pair))
+    types = np.zeros(len(pair))
+    for r in known.groupBy("class").count().collect():
+        types[r["class"]] = r["count"]
+    log_next, class_tokens, unseen = probabilities(pair, types, model.discount)
+    model = replace(model, log_next=log_next, class_tokens=class_tokens, unseen=unseen, pair=pair)
+    unstage(in_blocks, vocabulary, known)
+    return score(texts, model).withColumn("train_tokens", F.lit(model.tokens).cast("bigint")).select(*names)
+
+
+def untrained(source: DataFrame) -> DataFrame:
+    """Scores without training texts: only tokens are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array([len(words_of(t)) + 1 for t in batch.column(2).to_pylist()], pa.int64())
+            none = pa.array(np.zeros(len(n)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n, pa.array(np.zeros(len(n), np.int64)), none, none], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return map_arrow(source.select("doc_id", "held_out", "text"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def op4_class_lm_scoring(spark, sf_dir: str) -> DataFrame:

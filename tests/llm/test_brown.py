@@ -109,3 +109,39 @@ def test_no_training_texts_and_empty(spark):
     got = brown.class_model_scores(df, F.lit(True)).collect()
     assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got} == {(1, 3, 0, 0.0, 0.0), (2, 1, 0, 0.0, 0.0)}
     assert brown.class_model_scores(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_words_outside_the_core_get_their_own_best_class(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 30, (60, 60)) * (rng.random((60, 60)) < 0.3)
+    label = np.r_[0, rng.integers(1, 6, 59)]
+    member = np.eye(6)[label]
+
+    def likelihood(label):
+        pair = np.eye(6)[label].T @ counts @ np.eye(6)[label]
+        f = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+        return f(pair) - f(pair.sum(1)) - f(pair.sum(0))
+
+    own = np.diag(counts).astype(float)
+    after, before = counts @ member, counts.T @ member
+    after[np.arange(60), label] -= own
+    before[np.arange(60), label] -= own
+    found = brown.best_classes(member.T @ counts @ member, label[1:], after[1:], before[1:], own[1:])
+    for u in range(1, 60):
+        each = []
+        for c in range(1, 6):
+            moved = label.copy()
+            moved[u] = c
+            each.append(likelihood(moved))
+        assert abs(each[found[u - 1] - 1] - max(each)) < 1e-6
+
+    # nouns and verbs of one shape, all but one of each outside the core, are told apart by their neighbours
+    rows = [(i, " ".join(f"the n{max(0, rng.integers(-8, 9))}x is v{max(0, rng.integers(-8, 9))}x so" for _ in range(20))) for i in range(60)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("text").repartition(3)
+    every = Counter(w for _, t in rows for w in t.split())
+    vocabulary = spark.createDataFrame([(w.encode(), n) for w, n in every.items()], "word binary, n long")
+    model = brown.fit(texts, vocabulary, len(rows), core_words=5)
+    got = {bytes(r["word"]).decode(): (r["n"], r["class"]) for r in brown.word_classes(texts, vocabulary, model).collect()}
+    assert {w: n for w, (n, _) in got.items()} == every
+    kinds = {k: {c for w, (_, c) in got.items() if w[0] == k} for k in "nv"}
+    assert len(kinds["n"]) == len(kinds["v"]) == 1 and kinds["n"] != kinds["v"]
