@@ -6,7 +6,7 @@ match by position. A fingerprint is the SIZE anchors of least hash, each with it
 text and is bounded. The likeness of two fingerprints takes the least hashes of both together, counts those in both whose positions
 follow each other in the same order in both texts, and gives the share of common text (Dice: twice the common part over the sum).
 
-Edge cases: a text of fewer than K code points has one anchor, its whole text; a null text is an empty one, whose
+Edge cases: a text without any syncmer (all of fewer than K code points, and some up to 2 K - S - 2) has one anchor, its whole text; a null text is an empty one, whose
 fingerprint is empty; two empty fingerprints have likeness 1, an empty and another 0; equal texts have equal fingerprints. For neighbours
 rows are ordered by doc_id descending, nulls last, rows of one doc_id by a hash of the text; equal rows are neighbours like others; a
 single row is its own neighbour; other columns are not looked at.
@@ -39,16 +39,13 @@ def code_points(text: str) -> np.ndarray:
 
 
 def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and 32-bit hashes of a text's closed syncmers."""
+    """Positions and 32-bit hashes of a text's closed syncmers, of one of fewer than K code points its whole."""
     n = len(codes)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.uint32)
-    one = mix(codes.astype(np.uint64) + np.uint64(0x632BE5AB))
     if n < K:
-        whole = np.array([n], np.uint64)
-        for i in range(n):
-            whole = mix(whole * _POWERS[1] + one[i : i + 1])
-        return np.zeros(1, np.int64), (whole >> np.uint64(32)).astype(np.uint32)
+        return whole_text(codes)
+    one = mix(codes.astype(np.uint64) + np.uint64(0x632BE5AB))
     two = one[:-1] * _POWERS[1] + one[1:]
     four = two[:-2] * _POWERS[2] + two[2:]
     small = mix(four[:-1] * _POWERS[1] + one[4:])
@@ -60,11 +57,26 @@ def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (whole >> np.uint64(32)).astype(np.uint32)
 
 
+def whole_text(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one = mix(codes.astype(np.uint64) + np.uint64(0x632BE5AB))
+    whole = np.array([len(codes)], np.uint64)
+    for i in range(len(codes)):
+        whole = mix(whole * _POWERS[1] + one[i : i + 1])
+    return np.zeros(1, np.int64), (whole >> np.uint64(32)).astype(np.uint32)
+
+
+def text_anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """anchors(), or the whole text as one where a text that is not empty has none."""
+    codes = code_points(text)
+    at, hashes = anchors(codes)
+    return whole_text(codes) if len(codes) and not len(at) else (at, hashes)
+
+
 class Fingerprint:
     """The SIZE least anchor hashes, ascending, and the first position of each."""
 
     def __init__(self, text: str):
-        at, hashes = anchors(code_points(text))
+        at, hashes = text_anchors(text)
         kept, first = np.unique(hashes, return_index=True)
         self.hashes, self.positions = kept[:SIZE], at[first[:SIZE]]
         self.place = dict(zip(self.hashes.tolist(), self.positions.tolist(), strict=True))
@@ -100,7 +112,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         sink = Sink(doc_id=pa.int64(), fingerprint=pa.string(), anchor_positions=pa.list_(pa.int64()), anchor_hashes=pa.list_(pa.int64()))
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, hashes = anchors(code_points(text or ""))
+                at, hashes = text_anchors(text or "")
                 if sink.add(doc_id, str(Fingerprint(text or "")), at, hashes.astype(np.int64), size=16 * len(at) + 700):
                     yield from sink.drain()
         yield from sink.drain()

@@ -70,3 +70,15 @@ def test_repeated_null_and_no_rows(spark, monkeypatch):
 def test_fingerprints_with_anchors(spark):
     row = syncmers.fingerprints(spark.createDataFrame([(1, "the quick brown fox jumps over the dog")], "doc_id long, text string")).first()
     assert len(row["anchor_positions"]) == len(row["anchor_hashes"]) > 0 and row["fingerprint"]
+
+
+def test_only_empty_texts_have_empty_fingerprints(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij é", k=n)) for n in range(1, 25) for _ in range(30)]
+    prints = [syncmers.Fingerprint(t) for t in texts]
+    assert all(str(p) for p in prints)
+    assert len({str(p) for p in prints}) == len(set(texts))
+    short = [i for i, t in enumerate(texts) if len(syncmers.anchors(syncmers.code_points(t))[0]) == 0]
+    assert len(short) > 30 and syncmers.likeness(prints[short[0]], prints[short[1]]) == 0.0
+    rows = syncmers.fingerprints(spark.createDataFrame([(i, texts[i]) for i in short], "doc_id long, text string")).collect()
+    assert all(len(r["anchor_hashes"]) == 1 and r["fingerprint"] for r in rows)
