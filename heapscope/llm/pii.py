@@ -26,10 +26,25 @@ CHUNK = 24
 #: Dates are permuted among DAYS_HIGH * DAYS_LOW days counted from EPOCH, about 200 years; later and earlier ones in eras of that length.
 DAYS_HIGH, DAYS_LOW, EPOCH = 250, 292, "1900-01-01"
 
+#: Lengths of account numbers by country code, where they are fixed.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "") + "(?![A-Za-z0-9])"
+
+
+#: A number of its country's length where there is one, so that it takes nothing of the words after it; else any.
+_IBAN = "|".join([*(_account(n, c) for n, c in IBAN_LENGTHS.items()), r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"])
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})",
     "ip": rf"(?<![A-Za-z0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![A-Za-z0-9]|\.[0-9])",
     "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![A-Za-z0-9]|[./-][0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
@@ -125,14 +140,22 @@ def remainder97(s: Column) -> Column:
 
 
 def iban(m: Column, key: str) -> Column:
-    compact = F.regexp_replace(m, " ", "")
-    valid = F.length(compact).between(15, 34) & (remainder97(F.concat(part(compact, 5), part(compact, 1, 4))) == 1)
+    """The longest reading of m that is valid; the groups after it stay."""
+    groups = F.split(m, " ")
+    readings = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+
+    def valid(reading: Column) -> Column:
+        compact = F.regexp_replace(reading, " ", "")
+        return F.length(compact).between(15, 34) & (remainder97(F.concat(part(compact, 5), part(compact, 1, 4))) == 1)
 
     def checked(account: Column) -> Column:
         check = 98 - remainder97(F.concat(F.regexp_replace(account, " ", ""), part(m, 1, 2), F.lit("00")))
         return F.concat(part(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), account)
 
-    return F.when(valid, let(permuted(part(m, 5), key, "iban"), checked))
+    def made(reading: Column) -> Column:
+        return F.when(reading.isNotNull(), F.concat(let(permuted(part(reading, 5), key, "iban"), checked), F.substring(m, F.length(reading) + 1, F.length(m))))
+
+    return let(F.get(F.filter(readings, valid), F.lit(0)), made)
 
 
 def ip(m: Column, key: str) -> Column:

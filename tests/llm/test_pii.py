@@ -60,3 +60,20 @@ def test_keys_long_values_and_columns(docs, spark):
     out = pii.pseudonymised(df)
     assert out.columns == df.columns and out.first()["values"] == "v"
     assert pii.pseudonymised(docs([])).count() == 0
+
+
+def test_accounts_before_upper_case_words_and_numbers(docs):
+    accounts = ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT611904300234573201", "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874", "NO93 8601 1117 947"]
+    unlisted = "ZZ12 1904 3002 3457 3201"
+    assert int("".join(str(int(c, 36)) for c in (unlisted[4:] + unlisted[:4]).replace(" ", ""))) % 97 == 1
+    after = [" EUR 500", " BIC", " PAID", " 2024", " DE89 3704 0044 0532 0130 00", "."]
+    texts = [a + b for a in [*accounts, unlisted] for b in after]
+    got = done(docs, texts)
+    alone = {a: t for a, (t, _) in zip([*accounts, unlisted], (done(docs, [*accounts, unlisted])[i] for i in range(7)), strict=True)}
+    for i, text in enumerate(texts):
+        a, b = [*accounts, unlisted][i // len(after)], after[i % len(after)]
+        assert alone[a] != a and got[i][0].startswith(alone[a]), text
+        if not b.startswith(" DE"):
+            assert got[i] == (alone[a] + b, 1)
+        elif a != unlisted:
+            assert got[i][1] == 2 and "0532" not in got[i][0]
