@@ -3,7 +3,7 @@
 Method: candidates are found by one pattern and validated by kind (Luhn for payment cards, remainder 97 for account numbers, ranges
 for social security numbers and addresses, the calendar for dates). A valid value is permuted by a keyed Feistel network within
 its format: letters stay letters of the same case, digits digits, separators stay; check digits are made
-anew, dates stay dates. The permutation depends on the key, the kind and the format only, so equal values have equal pseudonyms in
+anew, dates stay dates (of the years 1 to 9999, permuted within eras of 73,000 days). The permutation depends on the key, the kind and the format only, so equal values have equal pseudonyms in
 all documents. What fails validation stays as it is. The text between the values is not touched.
 
 The network has two halves with moduli a and b (the numbers of left and right halves of that format) and ROUNDS
@@ -25,6 +25,8 @@ ROUNDS = 10
 CHUNK = 24
 #: Dates are permuted among DAYS_HIGH * DAYS_LOW days counted from EPOCH, about 200 years; later and earlier ones in eras of that length.
 DAYS_HIGH, DAYS_LOW, EPOCH = 250, 292, "1900-01-01"
+#: The first and the last era have only days of the years 1 to 9999: era, its first day, high, low.
+SHORT_ERAS = [(-10, 36_405, 65, 563), (40, 0, 64, 601)]
 
 #: Lengths of account numbers by country code, where they are fixed.
 IBAN_LENGTHS = {
@@ -166,17 +168,31 @@ def ip(m: Column, key: str) -> Column:
     return let(made, lambda x: F.concat_ws(".", div(x["l"], byte), x["l"] % 256, div(x["r"], byte), x["r"] % 256))
 
 
+def other_day(days: Column, key: str, pattern: str) -> Column:
+    """The date for a number of days since EPOCH, permuted within its era."""
+    era_days = DAYS_HIGH * DAYS_LOW
+    era = F.floor(days / era_days).cast("bigint")
+
+    def of_era(at: int, usual: int) -> Column:
+        out = F.lit(usual)
+        for short in SHORT_ERAS:
+            out = F.when(era == short[0], short[at]).otherwise(out)
+        return out.cast("bigint")
+
+    first, high, low = of_era(1, 0), of_era(2, DAYS_HIGH), of_era(3, DAYS_LOW)
+    index = F.pmod(days, F.lit(era_days)) - first
+    tweak = F.concat(F.lit(f"date|{pattern}"), F.when(era == 0, "").otherwise(F.concat(F.lit("|"), era.cast("string"))))
+    made = network(div(index, low), index % low, high, low, key, tweak)
+    return let(made, lambda x: F.date_add(F.lit(EPOCH).cast("date"), (era * era_days + first + x["l"] * low + x["r"]).cast("int")))
+
+
 def date(m: Column, key: str) -> Column:
     formats = {r"^[0-9]{4}-": ("yyyy-MM-dd",), r"^[0-9]{2}/": ("dd/MM/yyyy", "MM/dd/yyyy"), r"^[0-9]{2}\.": ("dd.MM.yyyy",)}
     out = F.lit(None).cast("string")
     for start, patterns in formats.items():
         for pattern in reversed(patterns):  # the first that the calendar allows
             days = F.datediff(F.try_to_date(m, pattern), F.lit(EPOCH).cast("date")).cast("bigint")
-            high, low = F.lit(DAYS_HIGH).cast("bigint"), F.lit(DAYS_LOW).cast("bigint")
-            made = network(div(days, low), days % low, high, low, key, F.lit(f"date|{pattern}"))
-            day = let(made, lambda x: F.date_add(F.lit(EPOCH).cast("date"), (x["l"] * DAYS_LOW + x["r"]).cast("int")))
-            text = F.date_format(day, pattern)
-            out = F.when(m.rlike(start) & days.between(0, DAYS_HIGH * DAYS_LOW - 1), text).otherwise(out)
+            out = F.when(m.rlike(start) & (F.try_to_date(m, pattern) >= F.lit("0001-01-01").cast("date")), F.date_format(other_day(days, key, pattern), pattern)).otherwise(out)
     return out
 
 

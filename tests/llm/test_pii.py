@@ -77,3 +77,16 @@ def test_accounts_before_upper_case_words_and_numbers(docs):
             assert got[i] == (alone[a] + b, 1)
         elif a != unlisted:
             assert got[i][1] == 2 and "0532" not in got[i][0]
+
+
+def test_dates_of_all_eras(docs, spark):
+    texts = ["1899-12-31", "14.03.1879", "2100-01-01", "0001-01-01", "31.12.9999", "31/12/1492"]
+    got = done(docs, texts)
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    for i, text in enumerate(texts):
+        assert got[i][1] == 1 and got[i][0] != text and shape(got[i][0]) == shape(text)
+    for start, n in (("0001-01-01", 37_000), ("9894-01-01", 38_700)):  # a short era whole, and the edge of the one beside it
+        day = F.date_format(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd")
+        days = spark.range(n).select(pii.date(day, "k").alias("p"))
+        assert days.distinct().count() == n and days.where("p rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' and p between '0001-01-01' and '9999-12-31'").count() == n
+    assert done(docs, ["0000-01-01 2023-02-29"])[0][1] == 0
