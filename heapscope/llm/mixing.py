@@ -8,8 +8,10 @@ permutation each time round, so no block comes again before all others have come
 and block index.
 
 The order of a source's words is by a hash bucket of the id, then by id and text: offsets come from sums within
-buckets and of bucket totals, so no source is ever sorted in one task. The driver holds the table of sources (at most MAX_SOURCES, else
-an error) and the drawn counts (at most COUNTS numbers; shards grow beyond that).
+buckets and of bucket totals, so no source is ever sorted in one task. The driver holds the table of sources up to MAX_SOURCES
+and the drawn counts (at most COUNTS numbers; shards grow beyond that). More sources stay a written table, numbered and summed by
+ranges; the driver gets sums only. Then the mix is one shard, in which a source's slots are what the running sum of expected counts, from a random
+start, passes in whole numbers: the same mean, and less than one slot off it.
 
 Edge cases: a null or empty text has size 0 and nothing of it is taken; a null source is a source of its own, last in order; rows are
 counted each, repeated ones too; null ids are ids like others; equal ids are ordered by text; without any words all targets are 0; other columns are not looked at.
@@ -71,14 +73,67 @@ def targets(totals: list[int], weights: list[int], repeats: int = REPEATS) -> li
 
 def source_table(sized: DataFrame, block: int) -> list[dict]:
     """The sources in order of code points (UTF-8 has the same order), null last; weights 1, 2, 3, repeating."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("total")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = sized.groupBy("source").agg(F.sum("size").alias("total")).collect()
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["total"] for r in rows], [i % 3 + 1 for i in range(len(rows))])
     return [{"no": i, "source": r["source"], "total": r["total"], "target": g, "blocks": -(-r["total"] // block)} for i, (r, g) in enumerate(zip(rows, goal, strict=True))]
 
 
+def source_rows(sized: DataFrame, block: int, seed: int, repeats: int = REPEATS) -> DataFrame:
+    """source_no, source, total, target, blocks, n (slots), at (the first of them): source_table(), targets() and draw() for any number of sources."""
+    spark = sized.sparkSession
+    totals = sized.groupBy("source").agg(F.sum("size").alias("total"))
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = totals.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    dealt = staged(dealt.withColumn("__id", F.monotonically_increasing_id()), "mixing-ranges")  # range << 33 | place in it
+    part = F.shiftright("__id", 33)
+    first, offsets = 0, []
+    for r in sorted(dealt.groupBy(part.alias("p")).count().collect()):
+        offsets.append((r["p"], first))
+        first += r["count"]
+    if not offsets:
+        offsets = [(0, 0)]
+    offsets = F.broadcast(spark.createDataFrame(offsets, "__part long, __first long"))  # a row for each shuffle partition
+    numbered = dealt.withColumn("__part", part.cast("bigint")).join(offsets, "__part")
+    numbered = numbered.withColumn("source_no", F.col("__first") + F.col("__id").bitwiseAND((1 << 33) - 1))
+    rows = staged(numbered.select("source_no", "source", "total", "__part", (F.col("source_no") % 3 + 1).alias("weight")), "mixing-sources")
+    # a source is capped if left / whole * weight exceeds repeats * total; the ratio only grows, so its last value tells all that are
+    whole_of = lambda n: F.lit(n).cast("decimal(38,0)")
+    all_words, left, whole = None, 0, 0
+    while True:
+        capped = F.col("total").cast("decimal(19,0)") * whole_of(repeats * whole) < F.col("weight") * whole_of(left) if all_words is not None else F.lit(False)
+        sums = rows.agg(F.sum("total").alias("total"), F.sum(F.when(capped, F.col("total")).otherwise(0)).alias("capped"), F.sum(F.when(capped, 0).otherwise(F.col("weight"))).alias("weight")).first()
+        now = (sums["total"] or 0) - repeats * (sums["capped"] or 0), sums["weight"] or 0
+        if now == (left, whole) or not now[1]:
+            break
+        all_words, (left, whole) = sums["total"], now
+    target = F.when(capped, F.lit(float(repeats)) * F.col("total")).otherwise(F.col("weight") * F.lit(left / whole if whole else 0.0))
+    blocks = F.ceil(F.col("total") / block).cast("bigint")
+    want = F.when(F.col("total") > 0, F.col("target") * F.col("blocks") / F.col("total")).otherwise(0.0)
+    rows = rows.withColumn("target", target).withColumn("blocks", blocks).withColumn("__want", want)
+    # sums of whole numbers, so that the end of a source is the start of the next, in whatever order they are added
+    rows = rows.withColumn("__want", F.round(F.col("__want") * (1 << 20)).cast("bigint"))
+    sums = sorted(rows.groupBy("__part").agg(F.sum("__want").alias("w")).collect())
+    before, offsets = 0, []
+    for r in sums:
+        offsets.append((r["__part"], before))
+        before += r["w"]
+    offsets = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "__part long, __before long"))
+    upto = Window.partitionBy("__part").orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = int(np.random.default_rng(seed).integers(1 << 20))
+    placed_rows = rows.join(offsets, "__part").withColumn("__end", F.col("__before") + F.sum("__want").over(upto) + start)
+    at, end = (F.shiftright(c, 20) for c in (F.col("__end") - F.col("__want"), F.col("__end")))
+    out = placed_rows.withColumn("at", at).withColumn("n", F.least(end - at, repeats * F.col("blocks")))
+    return staged(out.select("source_no", "source", "total", "target", "blocks", "n", "at"), "mixing-drawn")
+
+
+def slots_of_rows(sources: DataFrame, seed: int) -> DataFrame:
+    """slots() for source_rows()."""
+    pieces = sources.where("n > 0").select(F.lit(0).cast("bigint").alias("shard"), "source_no", F.explode(F.expr(f"sequence(0L, n - 1, {SHARD}L)")).alias("first"), "n", "at", "blocks")
+    plan = pieces.select("shard", "source_no", "first", F.least(F.col("n") - F.col("first"), F.lit(SHARD)).alias("n"), (F.col("at") + F.col("first")).alias("at"), "blocks")
+    return slots_of_plan(plan.repartition(shuffle_partitions(sources.sparkSession), "source_no", "first"), seed)
+
+
 def draw(sources: list[dict], seed: int, repeats: int = REPEATS) -> tuple[np.ndarray, int]:
     """Slots of each source by shard (shards x sources). A source gets at most `repeats` slots for each block."""
     n = len(sources)
@@ -121,29 +176,31 @@ def slots(spark, sources: list[dict], counts: np.ndarray, seed: int) -> DataFram
     """The mix: shard, slot, source_no, epoch, block."""
     blocks = [s["blocks"] for s in sources]
     first = np.cumsum(counts, 0) - counts
-    cells = [(int(i), int(s), int(first[i, s]), int(counts[i, s]), int(counts[i, :s].sum())) for i, s in zip(*np.nonzero(counts), strict=True)]
-    plan = spark.createDataFrame(cells or [(0, 0, 0, 0, 0)], "shard long, source_no int, first long, n long, at long")
+    cells = [(int(i), int(s), int(first[i, s]), int(counts[i, s]), int(counts[i, :s].sum()), blocks[s]) for i, s in zip(*np.nonzero(counts), strict=True)]
+    plan = spark.createDataFrame(cells or [(0, 0, 0, 0, 0, 0)], "shard long, source_no long, first long, n long, at long, blocks long")
+    return slots_of_plan(plan.repartition(shuffle_partitions(spark), "shard", "source_no"), seed)
+
+
+def slots_of_plan(plan: DataFrame, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "slot", "source_no", "epoch", "block"]
         for batch in batches:
-            for shard, s, start, n, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, s, start, n, at, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for low in range(0, n, 1 << 16):
                     j = np.arange(start + low, start + min(n, low + (1 << 16)))
-                    epoch, place = j // blocks[s], j % blocks[s]
+                    epoch, place = j // blocks, j % blocks
                     block = np.empty(len(j), np.int64)
                     for e in range(int(epoch[0]), int(epoch[-1]) + 1):
-                        block[epoch == e] = permuted(place[epoch == e], blocks[s], seed + 7919 * s + e)
-                    columns = [np.full(len(j), shard), at + low + np.arange(len(j)), np.full(len(j), s, np.int32), epoch.astype(np.int32), block]
+                        block[epoch == e] = permuted(place[epoch == e], blocks, seed + 7919 * s + e)
+                    columns = [np.full(len(j), shard), at + low + np.arange(len(j)), np.full(len(j), s, np.int64), epoch.astype(np.int32), block]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return map_arrow(plan.repartition(shuffle_partitions(spark), "shard", "source_no"), run, "shard long, slot long, source_no int, epoch int, block long")
+    return map_arrow(plan, run, "shard long, slot long, source_no long, epoch int, block long")
 
 
-def placed(sized: DataFrame, sources: list[dict], block: int) -> DataFrame:
-    """doc_id, source_no, size, text_hash and start, the offset of the document's first word in its source."""
-    spark = sized.sparkSession
-    numbers = F.broadcast(spark.createDataFrame([(s["no"], s["source"]) for s in sources] or [(0, None)], "source_no int, source string"))  # at most MAX_SOURCES rows
+def placed(sized: DataFrame, numbers: DataFrame) -> DataFrame:
+    """doc_id, source_no, size, text_hash and start, the offset of the document's first word in its source. numbers: source_no, source."""
     rows = sized.withColumn("__bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))).alias("r").join(numbers.alias("n"), F.expr("r.source <=> n.source")).select("r.*", "source_no")
     totals = rows.groupBy("source_no", "__bucket").agg(F.sum("size").alias("__n"))
     before = Window.partitionBy("source_no").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,14 +223,22 @@ class Mix:
     def __init__(self, docs: DataFrame, block: int = BLOCK, seed: int = SEED):
         self.block, spark = block, docs.sparkSession
         sized = staged(sizes(docs), "mixing-sizes")
-        self.sources = source_table(sized, block)
-        counts, self.shard = draw(self.sources, seed)
-        self.rows = staged(placed(sized, self.sources, block), "mixing-rows")
+        if sized.select("source").distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+            self.sources = source_rows(sized, block, seed)
+            numbers = self.sources.select("source_no", "source")
+            drawn = slots_of_rows(self.sources, seed)
+            self.about = self.sources.select("source_no", F.col("total").alias("source_size"), "target")
+        else:
+            self.sources = source_table(sized, block)
+            numbers = F.broadcast(spark.createDataFrame([(s["no"], s["source"]) for s in self.sources] or [(0, None)], "source_no long, source string"))  # at most MAX_SOURCES rows
+            counts, self.shard = draw(self.sources, seed)
+            drawn = slots(spark, self.sources, counts, seed)
+            about = [(s["no"], s["total"], float(s["target"])) for s in self.sources] or [(0, 0, 0.0)]
+            self.about = F.broadcast(spark.createDataFrame(about, "source_no long, source_size long, target double"))  # at most MAX_SOURCES rows
+        self.rows = staged(placed(sized, numbers), "mixing-rows")
         unstage(sized)
         # staged, so that the planner knows its size: it grows with the words and must not be broadcast
-        self.slots = staged(slots(spark, self.sources, counts, seed), "mixing-slots")
-        about = [(s["no"], s["total"], float(s["target"])) for s in self.sources] or [(0, 0, 0.0)]
-        self.about = F.broadcast(spark.createDataFrame(about, "source_no int, source_size long, target double"))  # at most MAX_SOURCES rows
+        self.slots = staged(drawn, "mixing-slots")
 
     def shares(self) -> DataFrame:
         """doc_id, size, source_size, target, taken."""

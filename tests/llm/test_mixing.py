@@ -81,3 +81,28 @@ def test_empty(docs):
     assert mixing.Mix(docs([])).shares().count() == 0
     assert mixing.Mix(docs([(1, None), (2, " ")])).shares().count() == 2
     assert mixing.mixed_documents(docs([(1, None)])).count() == 0
+
+
+def test_more_sources_than_the_driver_holds(docs, monkeypatch):
+    data = rows() + [(10_000 + i, " ".join(f"w{k}" for k in range(1 + i % 50)), "en", f"site{i % 40}", 0) for i in range(200)]
+    whole = sorted(tuple(r)[:4] for r in mixing.Mix(docs(data), block=8).shares().where("doc_id is not null").collect())
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    mix = mixing.Mix(docs(data).repartition(3), block=8)
+    got = mix.shares().collect()
+    plain = sorted(tuple(r)[:4] for r in got if r["doc_id"] is not None)
+    assert [r[:3] for r in plain] == [r[:3] for r in whole]  # doc_id, size, source_size
+    assert [r[3] for r in plain] == pytest.approx([r[3] for r in whole])
+    taken, goal, of = Counter(), {}, {i: s for i, _, _, s, _ in data}
+    for doc_id, size, _, target, k in got:
+        assert 0 <= k <= 3 * size
+        taken[of[doc_id]] += k
+        goal[of[doc_id]] = target
+    for s, n in goal.items():
+        assert abs(taken[s] - n) <= 24, s
+    words = Counter()
+    for r in mix.documents(docs(data)).collect():
+        words[r["doc_id"]] += len(r["text"].split())
+    want = Counter()
+    for doc_id, *_, k in got:
+        want[doc_id] += k
+    assert +words == +want
