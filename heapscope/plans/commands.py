@@ -97,6 +97,24 @@ def accumulation_points(graph: Graph, percent: float = 10.0, keeps: float = 0.7)
             return reduce(DataFrame.unionAll, done)
 
 
+def leaks(graph: Graph, percent: float = 10.0) -> DataFrame:
+    """suspects() and, for single objects, the address of the accumulation point: kind, what, n_objects, retained, accumulation (null for classes)."""
+    address = graph.objects.select("object_id", "address")
+    points = accumulation_points(graph, percent).join(address, "object_id").select(F.col("address").cast("string").alias("what"), F.lit("object").alias("kind"), F.col("accumulation_id").alias("object_id"))
+    points = points.join(address, "object_id").select("kind", "what", F.col("address").alias("accumulation"))
+    return suspects(graph, percent).join(points, ["kind", "what"], "left").select("kind", "what", "n_objects", "retained", "accumulation")
+
+
+def consumers(graph: Graph, percent: float = 1.0) -> DataFrame:
+    """kind (object, class, loader, package), what, n_objects, retained: top-level objects, alone and together, that keep `percent` of the heap or more."""
+    single = dominators.top_consumers(graph.dominators, graph.total, percent).join(graph.objects.select("object_id", "address"), "object_id")
+    out = single.select(F.lit("object").alias("kind"), F.col("address").cast("string").alias("what"), F.lit(1).cast("bigint").alias("n_objects"), "retained")
+    for kind, by in {"class": "name", "loader": "loader_address", "package": "package"}.items():
+        together = aggregates.dominators_grouped(graph.dominators, graph.objects, graph.classes, by).where(F.col("retained") * 100.0 >= F.lit(percent * graph.total))
+        out = out.unionByName(together.select(F.lit(kind).alias("kind"), F.col(by).cast("string").alias("what"), "n_objects", "retained"))
+    return out
+
+
 def reference_statistics(graph: Graph, referents: DataFrame) -> DataFrame:
     """What reference objects point at (referents: src, dst), by class: name, n_objects, n_only, where n_only are those that nothing else reaches."""
     strong = distances(graph, referents).select("object_id")

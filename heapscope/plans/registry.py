@@ -293,3 +293,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name, text in oql.REGISTERED.items():
         out[name] = lambda spark, sf_dir, text=text: oql.run(graph(spark, sf_dir), text)
     return out
+
+
+def _paths_of_class(g: Graph, name: str) -> DataFrame:
+    return commands.paths_to_roots(g, commands.of_class(g, name)).select("object_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+def _merged_of_class(g: Graph, name: str) -> DataFrame:
+    return commands.merged_paths(g, commands.of_class(g, name)).select(F.array_join("classes", ">").alias("classes"), "n_objects")
+
+
+def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Commands in full where the query with SQL has a part of them; tests hold these against brute force."""
+    return {
+        "leak_suspects_and_points": with_graph(commands.leaks),
+        "top_consumers_by_kind": with_graph(commands.consumers),
+        "merged_class_paths": with_graph(lambda g: _merged_of_class(g, "db.sales.Customer")),
+        "shortest_paths_of_class": with_graph(lambda g: _paths_of_class(g, "db.sales.Customer")),
+    }
