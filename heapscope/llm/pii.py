@@ -1,24 +1,30 @@
 """Format-preserving pseudonyms for personal numbers and dates, in DataFrame operations only.
 
 Method: candidates are found by one pattern and validated by kind (Luhn for payment cards, remainder 97 for account numbers, ranges
-for social security numbers and addresses, the calendar for dates). A valid value is permuted by a keyed Feistel network within
-its format: letters stay letters of the same case, digits digits, separators stay; check digits are made
-anew, dates stay dates (of the years 1 to 9999, permuted within eras of 73,000 days). The permutation depends on the key, the kind and the format only, so equal values have equal pseudonyms in
-all documents. What fails validation stays as it is. The text between the values is not touched.
+for social security numbers and addresses, the calendar for dates). A valid value is reduced to its letters and digits and permuted by a
+keyed Feistel network among the values of that format: letters stay letters, digits digits, check digits are made anew, dates stay
+dates (of the years 1 to 9999, permuted within eras of 73,000 days). The result is written in the spelling that was found: same
+separators, same cases, same order of day and month. The permutation depends on the key and the kind's own tweak only, so equal values have
+equal pseudonyms in all documents and spellings. What fails validation stays as it is. The text between the values is not touched.
 
-The network has two halves with moduli a and b (the numbers of left and right halves of that format) and ROUNDS
-rounds that add, in turn, SHA-256 of key, kind, format, round and the other half.
+The network has two halves with moduli a and b (the numbers of left and right halves of that format; one character is split by
+its number) and ROUNDS rounds that add, in turn, SHA-256 of key, tweak, round and the other half.
+
+The key is an argument. The registered query and the pipeline take it from the session's setting KEY_SETTING; without one they use TEST_KEY,
+which is public and for test tables only.
 
 Edge cases: a null text stays null and an empty one empty; rows are independent, so ties and repeated rows need no rule; a
-text without values is unchanged; columns other than the text are kept as they are.
+text without values is unchanged; a text of any length is done as a whole, in one row; columns other than the text are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
+
+KEY_SETTING, TEST_KEY = "spark.heapscope.pii.key", "public key of the test tables"
 
 ROUNDS = 10
 #: Characters of a value permuted together: two halves of 12 letters stay below 2^63.
@@ -53,6 +59,8 @@ PATTERNS = {
     "card": r"(?<![A-Za-z0-9.-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![A-Za-z0-9]|[.-][0-9])",
     "phone": r"(?<![A-Za-z0-9+(.-])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9]|[.-][0-9])",
 }
+#: Country calling codes: one digit, two digits, else up to three.
+COUNTRY = r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})[ .-]?)?"
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -76,11 +84,11 @@ def network(left: Column, right: Column, a: Column, b: Column, key: str, tweak:
 
 
 def radix(c: Column) -> Column:
-    return F.when(c.between("0", "9"), 10).when(c.rlike("^[A-Za-z]$"), 26).otherwise(1).cast("bigint")
+    return F.when(c.between("0", "9"), 10).otherwise(26).cast("bigint")
 
 
 def base(c: Column) -> Column:
-    return F.when(c.between("0", "9"), 48).when(c.rlike("^[a-z]$"), 97).when(c.rlike("^[A-Z]$"), 65).otherwise(F.ascii(c)).cast("bigint")
+    return F.when(c.between("0", "9"), 48).otherwise(97).cast("bigint")
 
 
 def chars(s: Column) -> Column:
@@ -102,26 +110,26 @@ def count(cs: Column) -> Column:
 def spelled(n: Column, like: Column) -> Column:
     """The n-th string of the format of `like`."""
     start = F.struct(n.alias("n"), F.lit("").alias("s"))
-
-    def step(t: Column, c: Column) -> Column:
-        # what is neither a letter nor a digit stays, of whatever length its code is
-        char = F.when(radix(c) == 1, c).otherwise(F.char(base(c) + t["n"] % radix(c)))
-        return F.struct(div(t["n"], radix(c)).alias("n"), F.concat(char, t["s"]).alias("s"))
-
+    step = lambda t, c: F.struct(div(t["n"], radix(c)).alias("n"), F.concat(F.char(base(c) + t["n"] % radix(c)), t["s"]).alias("s"))
     return F.aggregate(F.reverse(like), start, step, lambda t: t["s"])
 
 
-def permuted(s: Column, key: str, kind: str) -> Column:
-    """s with its letters and digits permuted, CHUNK characters at a time."""
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
+def permuted(s: Column, key: str, kind: Column | str) -> Column:
+    """s, of digits and lower-case letters, permuted among the strings of its format, CHUNK characters at a time."""
+    shape = F.regexp_replace(F.regexp_replace(s, "[0-9]", "9"), "[a-z]", "a")
+    kind = F.lit(kind) if isinstance(kind, str) else kind
 
     def chunk(i: Column) -> Column:
-        tweak = F.concat_ws("|", F.lit(kind), shape, i)
+        tweak = F.concat_ws("|", kind, shape, i)
 
         def halves(cs: Column) -> Column:
             half = F.floor(F.size(cs) / 2).cast("int")
             left, right = F.slice(cs, F.lit(1), half), F.slice(cs, half + 1, F.size(cs) - half)
-            return let(network(number(left), number(right), count(left), count(right), key, tweak), lambda x: F.concat(spelled(x["l"], left), spelled(x["r"], right)))
+            several = network(number(left), number(right), count(left), count(right), key, tweak)
+            first = F.slice(cs, F.lit(1), F.lit(1))
+            fives = div(radix(F.element_at(cs, 1)), F.lit(2).cast("bigint"))  # a character's number is one of two halves of 5 or 13
+            single = network(div(number(first), fives), number(first) % fives, F.lit(2).cast("bigint"), fives, key, tweak)
+            return F.when(half > 0, let(several, lambda x: F.concat(spelled(x["l"], left), spelled(x["r"], right)))).otherwise(let(single, lambda x: spelled(x["l"] * fives + x["r"], first)))
 
         return let(chars(F.substring(s, i * CHUNK + 1, F.lit(CHUNK))), halves)
 
@@ -129,12 +137,33 @@ def permuted(s: Column, key: str, kind: str) -> Column:
     return F.when(F.length(s) > 0, F.array_join(F.transform(chunks, chunk), "")).otherwise(s)
 
 
+def compact(s: Column) -> Column:
+    """The letters and digits of s, in lower case."""
+    return F.lower(F.regexp_replace(s, "[^A-Za-z0-9]", ""))
+
+
+def respelled(new: Column, like: Column) -> Column:
+    """The letters and digits of `new` in the places and cases of those of `like`."""
+    start = F.struct(F.lit(1).alias("i"), F.lit("").alias("s"))
+
+    def step(t: Column, c: Column) -> Column:
+        mark = F.substring(new, t["i"], F.lit(1))
+        next_char = F.when(c.rlike("^[A-Z]$"), F.upper(mark)).when(c.rlike("^[a-z0-9]$"), mark).otherwise(c)
+        return F.struct((t["i"] + F.when(c.rlike("^[A-Za-z0-9]$"), 1).otherwise(0)).alias("i"), F.concat(t["s"], next_char).alias("s"))
+
+    return F.aggregate(chars(like), start, step, lambda t: t["s"])
+
+
 def part(s: Column, start: int, length: int | None = None) -> Column:
     return F.substring(s, F.lit(start), F.lit(length) if length is not None else F.length(s))
 
 
 def email(m: Column, key: str) -> Column:
-    return F.concat(permuted(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    """Another name at the same domain; names at each domain have their own permutation."""
+    name, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    places = F.regexp_replace(name, "[A-Za-z0-9]", "a")
+    made = permuted(compact(name), key, F.concat_ws("|", F.lit("email"), places, F.lower(domain)))
+    return F.when(compact(name) != "", F.concat(let(made, lambda p: respelled(p, name)), F.lit("@"), domain))
 
 
 def remainder97(s: Column) -> Column:
@@ -147,15 +176,18 @@ def iban(m: Column, key: str) -> Column:
     readings = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
 
     def valid(reading: Column) -> Column:
-        compact = F.regexp_replace(reading, " ", "")
-        return F.length(compact).between(15, 34) & (remainder97(F.concat(part(compact, 5), part(compact, 1, 4))) == 1)
-
-    def checked(account: Column) -> Column:
-        check = 98 - remainder97(F.concat(F.regexp_replace(account, " ", ""), part(m, 1, 2), F.lit("00")))
-        return F.concat(part(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), account)
+        plain = F.regexp_replace(reading, " ", "")
+        return F.length(plain).between(15, 34) & (remainder97(F.concat(part(plain, 5), part(plain, 1, 4))) == 1)
 
     def made(reading: Column) -> Column:
-        return F.when(reading.isNotNull(), F.concat(let(permuted(part(reading, 5), key, "iban"), checked), F.substring(m, F.length(reading) + 1, F.length(m))))
+        country = part(m, 1, 2)
+
+        def checked(account: Column) -> Column:
+            check = 98 - remainder97(F.concat(F.upper(account), country, F.lit("00")))
+            return respelled(F.concat(F.lower(country), F.lpad(check.cast("string"), 2, "0"), account), reading)
+
+        other = permuted(part(compact(reading), 5), key, F.concat(F.lit("iban|"), country))
+        return F.when(reading.isNotNull(), F.concat(let(other, checked), F.substring(m, F.length(reading) + 1, F.length(m))))
 
     return let(F.get(F.filter(readings, valid), F.lit(0)), made)
 
@@ -168,7 +200,7 @@ def ip(m: Column, key: str) -> Column:
     return let(made, lambda x: F.concat_ws(".", div(x["l"], byte), x["l"] % 256, div(x["r"], byte), x["r"] % 256))
 
 
-def other_day(days: Column, key: str, pattern: str) -> Column:
+def other_day(days: Column, key: str) -> Column:
     """The date for a number of days since EPOCH, permuted within its era."""
     era_days = DAYS_HIGH * DAYS_LOW
     era = F.floor(days / era_days).cast("bigint")
@@ -181,8 +213,7 @@ def other_day(days: Column, key: str, pattern: str) -> Column:
 
     first, high, low = of_era(1, 0), of_era(2, DAYS_HIGH), of_era(3, DAYS_LOW)
     index = F.pmod(days, F.lit(era_days)) - first
-    tweak = F.concat(F.lit(f"date|{pattern}"), F.when(era == 0, "").otherwise(F.concat(F.lit("|"), era.cast("string"))))
-    made = network(div(index, low), index % low, high, low, key, tweak)
+    made = network(div(index, low), index % low, high, low, key, F.concat_ws("|", F.lit("date"), era))
     return let(made, lambda x: F.date_add(F.lit(EPOCH).cast("date"), (era * era_days + first + x["l"] * low + x["r"]).cast("int")))
 
 
@@ -192,7 +223,7 @@ def date(m: Column, key: str) -> Column:
     for start, patterns in formats.items():
         for pattern in reversed(patterns):  # the first that the calendar allows
             days = F.datediff(F.try_to_date(m, pattern), F.lit(EPOCH).cast("date")).cast("bigint")
-            out = F.when(m.rlike(start) & (F.try_to_date(m, pattern) >= F.lit("0001-01-01").cast("date")), F.date_format(other_day(days, key, pattern), pattern)).otherwise(out)
+            out = F.when(m.rlike(start) & (F.try_to_date(m, pattern) >= F.lit("0001-01-01").cast("date")), F.date_format(other_day(days, key), pattern)).otherwise(out)
     return out
 
 
@@ -210,20 +241,19 @@ def ssn(m: Column, key: str) -> Column:
 
 
 def card(m: Column, key: str) -> Column:
-    def digits(s: Column) -> Column:
-        return F.regexp_replace(s, "[ -]", "")
-
     def checked(payload: Column) -> Column:
-        right = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: F.call_function("luhn_check", F.concat(digits(payload), d)))
-        return F.concat(payload, F.element_at(right, 1))
+        right = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: F.call_function("luhn_check", F.concat(payload, d)))
+        return respelled(F.concat(payload, F.element_at(right, 1)), m)
 
-    payload = F.substring(m, F.lit(1), F.length(m) - 1)
-    return F.when(F.call_function("luhn_check", digits(m)), let(permuted(payload, key, "card"), checked))
+    digits = compact(m)
+    return F.when(F.call_function("luhn_check", digits), let(permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card"), checked))
 
 
 def phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^(?:\+[0-9]{1,3}[ .-]?)?", 0)
-    return F.concat(country, permuted(F.substring(m, F.length(country) + 1, F.length(m)), key, "phone"))
+    """The country code stays; the number without it is permuted, whether the code is there or not."""
+    country = F.regexp_extract(m, COUNTRY, 0)
+    national = F.substring(m, F.length(country) + 1, F.length(m))
+    return F.concat(country, let(permuted(compact(national), key, "phone"), lambda p: respelled(p, national)))
 
 
 KINDS = {"email": email, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "card": card, "phone": phone}
@@ -237,21 +267,28 @@ def pseudonym(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str = "pseudonym key 1", text: str = "text", count_as: str | None = None) -> DataFrame:
-    """docs with the values in `text` replaced, and a column with their number if `count_as` names one."""
-    columns = docs.columns
-    found = docs.withColumn("__found", F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
-    made = found.withColumn("__made", F.transform("__found", lambda m: pseudonym(m, key)))
-    between = F.split(F.col(text), PATTERN, -1)
-    values = F.zip_with("__found", "__made", lambda m, p: F.coalesce(p, m))
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", count_as: str | None = None) -> DataFrame:
+    """docs with the values in `text` replaced under the key, and a column with their number if `count_as` names one."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    whole = F.col(f"`{text}`")
+    found_as, made_as = fresh([*docs.columns, *([count_as] if count_as else [])], "found", "made")
+    found = docs.withColumn(found_as, F.when(whole.rlike("[0-9@]"), F.regexp_extract_all(whole, F.lit(PATTERN), F.lit(0))))
+    made = found.withColumn(made_as, F.transform(found_as, lambda m: pseudonym(m, key)))
+    between = F.split(whole, PATTERN, -1)
+    values = F.zip_with(found_as, made_as, lambda m, p: F.coalesce(p, m))
     replaced = F.array_join(F.flatten(F.zip_with(between, values, lambda t, v: F.array(t, F.coalesce(v, F.lit(""))))), "")
-    out = made.withColumn("__text", F.when(F.size(F.coalesce("__found", F.array().cast("array<string>"))) > 0, replaced).otherwise(F.col(text)))
-    chosen = [F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in columns]
+    done = F.when(F.size(F.coalesce(found_as, F.array().cast("array<string>"))) > 0, replaced).otherwise(whole)
+    chosen = [done.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if count_as:
-        chosen.append(F.coalesce(F.size(F.filter("__made", lambda p: p.isNotNull())), F.lit(0)).alias(count_as))
-    return out.select(*chosen)
+        chosen.append(F.coalesce(F.size(F.filter(made_as, lambda p: p.isNotNull())), F.lit(0)).alias(count_as))
+    return made.select(*chosen)
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
 
 
 def op5_pii_pseudonyms(spark, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_values."""
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), count_as="n_values")
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark), count_as="n_values")

@@ -1,5 +1,10 @@
+import datetime
+import hashlib
+import math
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from heapscope.llm import pii
@@ -14,7 +19,7 @@ def luhn(digits):
 
 
 def done(docs, texts, **options):
-    rows = pii.pseudonymised(docs(list(enumerate(texts))), count_as="n", **options).collect()
+    rows = pii.pseudonymised(docs(list(enumerate(texts))), **{"key": "k", "count_as": "n", **options}).collect()
     return {r["doc_id"]: (r["text"], r["n"]) for r in rows}
 
 
@@ -56,10 +61,90 @@ def test_keys_long_values_and_columns(docs, spark):
     text = "a" * 70 + "." + "b1" * 20 + "@x.org"
     first, second = done(docs, [text])[0], done(docs, [text], key="other")[0]
     assert first[1] == 1 and first[0] != text and first[0] != second[0] and len(first[0]) == len(text)
-    df = docs([(1, "4041894974608795")]).withColumn("__found2", F.lit(1)).withColumn("values", F.lit("v"))
-    out = pii.pseudonymised(df)
-    assert out.columns == df.columns and out.first()["values"] == "v"
-    assert pii.pseudonymised(docs([])).count() == 0
+    df = docs([(1, "4041894974608795")]).withColumn("found", F.lit(1)).withColumn("Made", F.lit("v")).withColumn("n.x", F.lit(2))
+    out = pii.pseudonymised(df, "k", count_as="made_")
+    assert out.columns == [*df.columns, "made_"] and tuple(out.first()[5:]) == (1, "v", 2, 1)
+    assert pii.pseudonymised(docs([]), "k").count() == 0
+    for none in ("", None):
+        with pytest.raises(ValueError):
+            pii.pseudonymised(df, none)
+
+
+def test_equal_values_are_linked_across_spellings(docs):
+    same = [
+        ["4041894974608795", "4041 8949 7460 8795", "4041-8949-7460-8795"],
+        ["1984-02-29", "29.02.1984", "29/02/1984", "02/29/1984"],
+        ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"],
+        ["+1 (415) 555-7713", "+1 415 555 7713", "+14155557713", "415-555-7713"],
+        ["x.Und34@Mail.example.com", "X.und34@mail.example.com"],
+    ]
+    flat = [v for vs in same for v in vs]
+    got = done(docs, flat)
+    assert all(got[i][1] == 1 and got[i][0] != v for i, v in enumerate(flat)), got
+    out = {v: got[i][0] for i, v in enumerate(flat)}
+    plain = lambda t: re.sub("[^a-z0-9]", "", t.lower())
+    for vs in (same[0], same[2], same[4]):
+        assert len({plain(out[v]) for v in vs}) == 1
+    assert len({plain(out[v])[-10:] for v in same[3]}) == 1 and out["+14155557713"].startswith("+1")
+    y, m, d = out["1984-02-29"].split("-")
+    assert out["29.02.1984"] == f"{d}.{m}.{y}" and out["29/02/1984"] == f"{d}/{m}/{y}" and out["02/29/1984"] == f"{m}/{d}/{y}"
+
+
+def feistel(n, a, b, key, tweak):
+    """The network written again, on plain integers."""
+    left, right = divmod(n, b)
+    prf = lambda *x: int(hashlib.sha256("|".join(map(str, (key, tweak, *x))).encode()).hexdigest()[:15], 16)
+    for i in range(1, pii.ROUNDS + 1):
+        if i % 2:
+            left = (left + prf(i, right) % a) % a
+        else:
+            right = (right + prf(i, left) % b) % b
+    return left * b + right
+
+
+def string_feistel(s, key, kind):
+    shape, out = re.sub("[a-z]", "a", re.sub("[0-9]", "9", s)), ""
+    radix = lambda t: math.prod(10 if c.isdigit() else 26 for c in t)
+    for i in range(0, len(s), pii.CHUNK):
+        part = s[i : i + pii.CHUNK]
+        n = 0
+        for c in part:
+            n = n * radix(c) + (int(c) if c.isdigit() else ord(c) - 97)
+        b = radix(part) // 2 if len(part) == 1 else radix(part[len(part) // 2 :])
+        n, made = feistel(n, radix(part) // b, b, key, f"{kind}|{shape}|{i // pii.CHUNK}"), ""
+        for c in reversed(part):
+            n, x = divmod(n, radix(c))
+            made = (str(x) if c.isdigit() else chr(97 + x)) + made
+        out += made
+    return out
+
+
+def test_equals_a_network_on_plain_integers(docs, spark):
+    rng = random.Random(3)
+    names = ["a", "7", "z", *("".join(rng.choices("abcxyz0189", k=rng.randint(1, 60))) for _ in range(40))]
+    cards = [p + next(d for d in "0123456789" if luhn(p + d)) for p in ("".join(rng.choices("0123456789", k=n)) for n in (12, 14, 15, 18))]
+    addresses = [".".join(str(rng.randint(0, 255)) for _ in range(4)) for _ in range(10)]
+    days = [datetime.date(rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 28)) for _ in range(20)]
+    got = done(docs, [*(f"{n}@x.org" for n in names), *cards, *addresses, *map(str, days)])
+    want = [string_feistel(n, "k", f"email|{'a' * len(n)}|x.org") + "@x.org" for n in names]
+    for c in cards:
+        p = string_feistel(c[:-1], "k", "card")
+        want.append(p + next(d for d in "0123456789" if luhn(p + d)))
+    for a in addresses:
+        n = feistel(int.from_bytes(bytes(map(int, a.split(".")))), 65536, 65536, "k", "ip")
+        want.append(".".join(map(str, n.to_bytes(4))))
+    zero = datetime.date.fromisoformat(pii.EPOCH)
+    for d in days:
+        want.append(str(zero + datetime.timedelta(feistel((d - zero).days, pii.DAYS_HIGH, pii.DAYS_LOW, "k", "date|0"))))
+    assert [got[i][0] for i in range(len(want))] == want
+    letters = spark.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyz"], "v string").select(pii.permuted(F.col("v"), "k", "t").alias("p"), "v").collect()
+    assert len({r["p"] for r in letters}) == 26 and len({(ord(r["p"]) - ord(r["v"])) % 26 for r in letters}) > 5  # no shift
+
+
+def test_very_long_text(docs):
+    filler = "words and words " * 60_000
+    got = done(docs, [f"{filler}4041894974608795 {filler}"])[0]
+    assert got[1] == 1 and got[0].startswith(filler) and got[0].endswith(" " + filler) and "4041894974608795" not in got[0]
 
 
 def test_accounts_before_upper_case_words_and_numbers(docs):
