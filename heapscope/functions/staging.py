@@ -14,7 +14,8 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors' Python workers through Spark's file server, once an application."""
+    """Hands this package to the executors' Python workers, which may not have it installed, once an application. Spark's own
+    file server carries the archive; no executor reads a folder of the driver."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -30,8 +31,14 @@ def ship(spark: SparkSession) -> None:
 _own: dict[str, str] = {}
 
 
-def own_folder(spark: SparkSession) -> str:
-    """A temporary folder, for sessions that name no shared one (tests on one machine)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session whose executors are threads of this machine may
+    have none; it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = tempfile.mkdtemp(prefix="heapscope-")
@@ -39,11 +46,11 @@ def own_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the folder that spark.checkpoint.dir names. It cuts the lineage and outlives executors."""
+    """Writes df as a Parquet table in the shared folder and rereads it: this cuts the lineage, and the table outlives any
+    executor. The schema is given, so rereading needs no footer scan."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark)
-    path = posixpath.join(folder, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    path = posixpath.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
