@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.staging import ship, staged, unstage
+
+__all__ = ["WORD", "Sink", "fresh", "map_arrow", "ship", "shuffle_partitions", "staged", "table", "unstage"]
+
 #: Most rows and about the most bytes of one Arrow batch sent to Python.
 BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 #: Python operators give their output on in batches of about this many bytes.
@@ -39,30 +38,14 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors' Python workers, which may not have it installed. Spark's own file server
-    carries the archive; no executor reads a folder of the driver."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="heapscope-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(archive))
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, which bounds a Python worker's memory."""
+    """mapInArrow over batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, which bounds a Python worker's memory. Spark reads
+    these two settings when the plan runs, so they are made for the session; what the user has set stands."""
     ship(df.sparkSession)
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     return df.mapInArrow(fn, schema)
 
 
@@ -88,38 +71,3 @@ class Sink:
         if self.columns[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, self.schema.types, strict=True)], schema=self.schema)
             self.clear()
-
-
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = tempfile.mkdtemp(prefix="heapscope-")
-    return _own[key]
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and rereads it: this cuts the lineage, and the
-    table outlives any executor. The schema is given, so rereading needs no footer scan."""
-    spark = df.sparkSession
-    path = posixpath.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Deletes staged tables that no later plan reads."""
-    for df in tables:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
