@@ -88,10 +88,10 @@ def codec(path: str) -> Codec:
 
 
 def encoded_turns(turns: DataFrame, path: str) -> DataFrame:
-    """conv_id, turn, role, order, role_ids, text_ids: each turn encoded by itself, wherever its row is."""
+    """conv_id, turn, role, text, role_ids, text_ids: each turn encoded by itself, wherever its row is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, sink = codec(path), Sink(conv_id=pa.int64(), turn=pa.int64(), role=pa.string(), order=pa.binary(), role_ids=pa.list_(pa.int32()), text_ids=pa.list_(pa.int32()))
+        c, sink = codec(path), Sink(conv_id=pa.int64(), turn=pa.int64(), role=pa.string(), text=pa.string(), role_ids=pa.list_(pa.int32()), text_ids=pa.list_(pa.int32()))
         for batch in batches:
             conv, turn, roles, texts = (x.to_pylist() for x in batch.columns)
             roles, texts = [r or "" for r in roles], [t or "" for t in texts]
@@ -99,13 +99,12 @@ def encoded_turns(turns: DataFrame, path: str) -> DataFrame:
             for low in range(0, len(texts), 256):
                 part = texts[low : low + 256]
                 for i, ids in enumerate(c.encode([escape(t) for t in part]), low):
-                    order = hashlib.sha256(texts[i].encode()).digest()[:8]
-                    if sink.add(conv[i], turn[i], roles[i], order, named[roles[i]], ids, size=8 * len(ids) + 64):
+                    if sink.add(conv[i], turn[i], roles[i], texts[i], named[roles[i]], ids, size=4 * len(ids) + len(texts[i]) + 64):
                         yield from sink.drain()
         yield from sink.drain()
 
     source = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return map_arrow(source, run, "conv_id long, turn long, role string, `order` binary, role_ids array<int>, text_ids array<int>")
+    return map_arrow(source, run, "conv_id long, turn long, role string, text string, role_ids array<int>, text_ids array<int>")
 
 
 def formatted(turns: DataFrame, path: str, trained: frozenset[str] = TRAINED) -> DataFrame:
@@ -117,7 +116,7 @@ def formatted(turns: DataFrame, path: str, trained: frozenset[str] = TRAINED) ->
         sink = Sink(conv_id=pa.int64(), turn_no=pa.int64(), ids=pa.list_(pa.int32()), mask=pa.list_(pa.int8()), text=pa.string(), first_token=pa.int64(), first_char=pa.int64())
         now, number, token, char = object(), 0, 0, 0
         for batch in batches:
-            for conv, _, role, _, role_ids, text_ids in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for conv, role, role_ids, text_ids in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if conv != now:
                     now, number, token, char = conv, 0, 0, 0
                 head = [*([c.start] if number == 0 else []), c.open, *role_ids, c.close]
@@ -133,8 +132,8 @@ def formatted(turns: DataFrame, path: str, trained: frozenset[str] = TRAINED) ->
         yield from sink.drain()
 
     turned = encoded_turns(turns, path).repartition(shuffle_partitions(turns.sparkSession), "conv_id")
-    ordered = turned.sortWithinPartitions("conv_id", "turn", "role", "order")
-    return map_arrow(ordered, run, "conv_id long, turn_no long, ids array<int>, mask array<tinyint>, text string, first_token long, first_char long")
+    ordered = turned.sortWithinPartitions("conv_id", "turn", "role", "text")
+    return map_arrow(ordered.select("conv_id", "role", "role_ids", "text_ids"), run, "conv_id long, turn_no long, ids array<int>, mask array<tinyint>, text string, first_token long, first_char long")
 
 
 def read_back(rows: DataFrame, path: str) -> DataFrame:

@@ -49,3 +49,12 @@ def test_ids_masks_and_offsets(spark):
     assert chat.unescape(masked) == rows[1][3]
     assert "".join(r["text"] for r in out) == c.text(ids)
     assert out[0]["text"].startswith("<s>[INST]user[/INST]hi ")
+
+
+def test_ties_long_texts_and_other_columns(spark):
+    long = "very long text </s> " * 20_000
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "c"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (2, 0, "assistant", long)]
+    turns = spark.createDataFrame(rows, SCHEMA).withColumn("ids", chat.F.lit(1)).withColumn("Mask", chat.F.lit("x"))
+    got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(turns, PATH), PATH).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"assistant\nz\nuser\na\nuser\na\nuser\nb\nuser\nc\n").hexdigest()
+    assert got[2]["loss_chars"] == len(long) and got[2]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
