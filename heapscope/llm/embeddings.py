@@ -15,7 +15,7 @@ The pivots are at most MAX_PIVOTS vectors (a bounded, hash-drawn sample that aff
 are far from all pivots, and then replication prunes little: each label's work grows with the square of such vectors, in blocks.
 
 Edge cases: a null label, or a vector that is null, empty, zero or holds null or non-finite components links with nothing; nor do vectors of different lengths; rows of equal vectors
-are linked; rows that share a vec_id count each but are one component; a null vec_id links with nothing, and has a null component and kept = true; an empty table gives an empty result; other columns are not looked at.
+are linked, and of vectors that differ by a power of two only (their cosine is 1); rows that share a vec_id count each but are one component; a null vec_id links with nothing, and has a null component and kept = true; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,13 +33,15 @@ from .components import components
 
 LEAST_COSINE = 0.93
 MAX_PIVOTS, MIN_PIVOTS, ROWS_A_PIVOT = 4096, 64, 2048
+#: So many units (three numbers and a label) are broadcast; more are joined by a shuffle.
+MAX_UNITS = 100_000
 BLOCK = 2048
 #: Distances this near a bound are not decided by it but by the cosine.
 SLACK = 1e-7
 
 
 def checked(vectors: DataFrame) -> DataFrame:
-    """vec_id, key (null for what links with nothing), space (label and length), v (64-bit floats)."""
+    """vec_id, key (null for what links with nothing), space (label and length), v (64-bit floats, scaled to a maximum of 0.5 to 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = Sink(vec_id=pa.int64(), key=pa.binary(), space=pa.string(), v=pa.binary())
@@ -48,9 +50,10 @@ def checked(vectors: DataFrame) -> DataFrame:
                 v = None
                 if vec_id is not None and label is not None and values and None not in values:
                     v = np.array(values, np.float64) + 0.0  # no negative zeros
-                    with np.errstate(over="ignore"):
-                        if not np.isfinite(v).all() or not v.any() or not np.isfinite(v @ v) or not v @ v:
-                            v = None
+                    if not np.isfinite(v).all() or not v.any():
+                        v = None
+                    else:  # a power of two, so that no square overflows or vanishes and no digit is lost
+                        v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
                 if v is None:
                     full = sink.add(vec_id, None, None, None)
                 else:
@@ -92,24 +95,34 @@ def placed(classes: DataFrame, pivots: dict, r: float) -> DataFrame:
         ready = {s: (ids, unit(vs)) for s, (ids, vs) in pivots.items()}
         apart = {s: np.maximum(distance(p @ p.T), 1e-12) for s, (_, p) in ready.items()}
         sink = Sink(node=pa.int64(), mult=pa.int64(), space=pa.string(), v=pa.binary(), unit=pa.int32(), a=pa.float64(), pivot=pa.int64(), visits=pa.list_(pa.int32()))
+
+        def homes(space: str, raw: list[bytes]):
+            """home unit, a, pivot and visits of each of the vectors of one space."""
+            if space not in ready:
+                yield from [(1, 9.0, None, [])] * len(raw)
+                return
+            ids, p = ready[space]
+            cos = unit(raw) @ p.T
+            for d, home in zip(distance(cos), cos.argmax(1).tolist(), strict=True):
+                a = float(d[home])
+                core = a <= r / 2 - SLACK
+                lower = np.arange(home)
+                plane = (d[:home] ** 2 - a * a) / (2 * apart[space][home, :home])
+                rests = lower[(d[:home] - a <= 2 * r + SLACK) & (plane <= r + SLACK)]
+                cores = np.nonzero(d[: home + (not core)] <= 1.5 * r + SLACK)[0]
+                yield 2 * home + (not core), a, ids[home] if core else None, [*(2 * cores).tolist(), *(2 * rests + 1).tolist()]
+
         for batch in batches:
-            for node, mult, space, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if space not in ready:
-                    home, a, core, visits, pivot = 0, 9.0, False, [], None
-                else:
-                    ids, p = ready[space]
-                    cos = p @ unit([raw])[0]
-                    d = distance(cos)
-                    home = int(cos.argmax())
-                    a, core = float(d[home]), bool(d[home] <= r / 2 - SLACK)
-                    pivot = ids[home] if core else None
-                    lower = np.arange(home)
-                    plane = (d[:home] ** 2 - a * a) / (2 * apart[space][home, :home])
-                    rests = lower[(d[:home] - a <= 2 * r + SLACK) & (plane <= r + SLACK)]
-                    cores = np.nonzero(d[: home + (not core)] <= 1.5 * r + SLACK)[0]
-                    visits = [*(2 * cores).tolist(), *(2 * rests + 1).tolist()]
-                if sink.add(node, mult, space, raw, 2 * home + (not core), a, pivot, visits, size=len(raw) + 100):
-                    yield from sink.drain()
+            nodes, mults, spaces, raws = (c.to_pylist() for c in batch.columns)
+            together: dict[str, list[int]] = {}
+            for i, space in enumerate(spaces):
+                together.setdefault(space, []).append(i)
+            for space, rows in together.items():
+                for low in range(0, len(rows), 256):
+                    part = rows[low : low + 256]
+                    for i, home in zip(part, homes(space, [raws[i] for i in part]), strict=True):
+                        if sink.add(nodes[i], mults[i], space, raws[i], *home, size=len(raws[i]) + 100):
+                            yield from sink.drain()
         yield from sink.drain()
 
     return map_arrow(classes.select("node", "mult", "space", "v"), run, "node long, mult long, space string, v binary, unit int, a double, pivot long, visits array<int>")
@@ -208,8 +221,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFram
     pivots = draw_pivots(classes)
     homes = staged(placed(classes, pivots, r), "embeddings-homes")
 
-    # at most two units for a pivot, and one for each space without pivots
-    units = homes.groupBy("space", "unit").agg(F.count("*").alias("n"), F.sum("mult").alias("crowd"))
+    # at most two units for a pivot, and one for each space without pivots: counted, and only then broadcast
+    units = staged(homes.groupBy("space", "unit").agg(F.count("*").alias("n"), F.sum("mult").alias("crowd")), "embeddings-units")
+    units = F.broadcast(units) if units.count() <= MAX_UNITS else units.hint("merge")
     blocks = units.select("space", "unit", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     crowd = units.where("unit % 2 = 0").select("space", "unit", "crowd")
     block_of = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")

@@ -49,3 +49,18 @@ def test_null_ids_and_empty(spark):
     got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(0, 0, None, True), (2, 1, 2, True), (2, 1, 2, True)]
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_scales(spark):
+    rows = [(1, [1e200, 0.0], 1), (2, [1e200, 0.0], 1), (3, [1.0, 0.0], 1), (4, [1e-200, 1e-202], 1), (5, [5e-324, 0.0], 1), (6, [0.0, 1e300], 1), (7, [1.7e308, 1.7e308], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (4, 1) for i in (1, 2, 3, 4, 5)}, 6: (0, 6), 7: (0, 7)}
+
+
+def test_many_units_are_joined_by_a_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.repeat(rng.normal(size=2), 2) + rng.normal(size=4) * 0.1], int(i % 40)) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("key", embeddings.F.lit(1)).withColumn("V", embeddings.F.lit(1))
+    monkeypatch.setattr(embeddings, "MAX_UNITS", 3)
+    want = brute([(i, [float(np.float32(x)) for x in v], label) for i, v, label in rows])
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()} == want
