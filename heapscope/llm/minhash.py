@@ -29,10 +29,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sink, map_arrow, shuffle_partitions, staged, table, unstage
+from .common import Sink, fresh, map_arrow, shuffle_partitions, staged, table, unstage
 from .components import components
 
 BITS = 8
@@ -311,9 +311,34 @@ def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, row: a number for each distinct pair of id and text, ascending by id (null last), then digest."""
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest")]
+    pairs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("digest")).distinct()
+    dealt = pairs.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return staged(dealt.withColumn("row", F.monotonically_increasing_id()), "minhash-numbers")
+
+
+def text_digest() -> Column:
+    """128 bits of a text's SHA-256; a null text is told from an empty one."""
+    return F.when(F.col("text").isNull(), F.lit("")).otherwise(F.substring(F.sha2("text", 256), 1, 32))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, with all their columns, but of each group of near duplicates (five-word shingles, similarity 0.8) only the
-    document of the smallest doc_id. Rows that share a doc_id count as one document, of which one row stays; rows without a doc_id stay."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    stays = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").cast("bigint") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stays.unionByName(docs.where("doc_id is null"))
+    document of the smallest doc_id. Different texts that share a doc_id are documents each (the one of the smaller digest comes first), and those
+    without a doc_id come last. Of rows equal in doc_id and text one stays, that of the least hash of the other columns."""
+    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    if known.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
+        (name,) = fresh(docs.columns, "kept")
+        return docs.join(kept.withColumnRenamed("doc_id", name), F.col("doc_id").cast("bigint") == F.col(name), "left_semi")
+    numbers = numbered(docs)
+    id_as, digest_as, row_as = fresh(docs.columns, "id", "digest", "row")
+    named = numbers.select(F.col("doc_id").alias(id_as), F.col("digest").alias(digest_as), F.col("row").alias(row_as))
+    rows = docs.join(named, F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_as)) & (text_digest() == F.col(digest_as)))
+    kept = near_duplicates(rows.select(F.col(row_as).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(row_as)).distinct()
+    stays = rows.join(kept, row_as, "left_semi")
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    first = stays.groupBy(row_as).agg(F.min_by(F.struct(*every), F.xxhash64(*every)).alias(digest_as))
+    return first.select(*(F.col(digest_as)[c].alias(c) for c in docs.columns))

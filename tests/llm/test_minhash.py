@@ -57,7 +57,8 @@ def test_null_and_repeated_ids(docs):
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(rows), width=2).collect()}
     assert got == {(1, 1, True), (5, 1, False), (None, None, True)}
     kept = minhash.keep_one(docs(rows)).collect()
-    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 1]
+    # both texts of 1 stay, the row without an id that repeats one of them goes
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept) == [(0, None), (1, "a b c d e f"), (1, "z y x w v u")]
     assert minhash.near_duplicates(docs([])).count() == 0
 
 
@@ -81,3 +82,17 @@ def test_block_finds_what_pairs_find():
         other = minhash.Block([(i, i, t) for i, t in enumerate(sets)], 50).visit(node, node, s)
         assert (other is None) == (not found) and (other is None or other in found)
     assert block.ids.tolist() == list(range(40))
+
+
+def test_keep_one_of_rows_that_share_an_id(docs):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "z"), (2, b + " more", "u"), (None, a + " end", "v"), (None, "alone " * 9, "w"), (3, None, "n"), (3, "", "e"), (4, "", "f")]
+    df = docs([(i, t, lang) for i, t, lang in rows]).withColumn("row", minhash.F.lit(1)).withColumn("Digest", minhash.F.lit(2)).repartition(3)
+    out = minhash.keep_one(df)
+    assert out.columns == df.columns
+    got = [(r["doc_id"], r["text"], r["lang"]) for r in out.collect()]
+    again = [(r["doc_id"], r["text"], r["lang"]) for r in minhash.keep_one(df.repartition(2)).collect()]
+    assert sorted(got, key=repr) == sorted(again, key=repr)
+    assert sorted(((i, t) for i, t, _ in got), key=repr) == sorted([(1, a), (1, b), (None, "alone " * 9), (3, None), (3, ""), (4, "")], key=repr)
+    plain = minhash.keep_one(docs([(1, a, "x"), (2, a + " end", "y"), (3, b, "z")]).withColumn("kept", minhash.F.lit(0)))
+    assert sorted(r["doc_id"] for r in plain.collect()) == [1, 3]
