@@ -1,118 +1,178 @@
 """Language-model scores from a Brown class-based bigram model.
 
 Method: words are assigned to classes by exchange clustering: a word is taken out of its class and put into the one that most raises the
-likelihood of the class bigrams, again and again, until nothing moves. The units that move first are the CORE most frequent words, each by
-itself, and the rarer words in groups of one shape (letters of a language, last character, length, digits); the text's
-end is a class by itself. Then every rarer word of the training texts is taken out of its shape's class and put by itself into the
-class of the greatest gain, which its own counts with its neighbours' classes give; these moves are made all at once, from
-the same class bigrams. Only words that no training text has keep their shape's class.
-A token's probability is P(its class | class before) * P(word | its class). Transitions are smoothed towards
-the classes' own shares (PRIOR pseudo-counts); in a class each word gives up a discount, which is the probability of the class's
-unseen words.
-
-Word and class-bigram counts cover all training texts. Only the tables of units (CORE + SHAPES, squared) and of classes reach the
-driver. The vocabulary and its classes stay a table: texts are dealt into blocks by ranges of their id, the
-distinct words of a block are joined with the vocabulary, and a block's texts are written as classes with the block's own words, so no
-task ever holds the whole vocabulary. Bigrams of the final classes are counted in what is written, which then is scored.
+likelihood of the class bigrams. The CORE most frequent words are exchanged one by one until nothing moves, with all rarer words as one
+class beside them; that gives the first classes. Then follow ROUNDS rounds in which every word of the training texts, of whatever count,
+proposes its own best move from its counts with its neighbours' classes, which the executors aggregate by word; the moves of a round are
+made at once, from the same class bigrams. In the first round only the rarer words move. Of the rounds' assignments the likeliest is
+kept. The text's end is a class by itself.
+
+A token's probability is P(its class | class before) * P(word | its class). Transitions are smoothed towards the classes' own shares (PRIOR
+pseudo-counts); in a class each word gives up a discount, which is the probability of the class's unseen words. There are U unseen words
+(the Chao estimate n1^2 / 2 n2 from the numbers of words met once and twice), which share that probability alike, so that the
+probabilities of all V + U words add up to 1 in every context. The class of an unseen word is not known: the score sums over all of
+them (the forward sum over a run of unseen words), so no spelling or language is looked at.
+
+Word and class-bigram counts cover all training texts. Only the bigrams of the core's units and tables of classes reach the driver. Each task writes the texts it reads as
+blocks: the block's distinct words, and its texts as numbers of them. The vocabulary stays a table: in each round the words of all
+blocks are joined with their classes, and a block gets the classes of its own words, so no task ever holds the whole vocabulary.
 
 Tokens: A-Z lower-cased, words [^\\x20\\x09-\\x0D]+, then one end. The baseline is an add-one unigram model.
 
 Edge cases: a null or empty text is its end alone; without training texts the model is the baseline, whose only word is unknown;
-a null doc_id is not held out and is scored; repeated rows count and are scored each; other columns are not looked at.
+a null doc_id is not held out and is scored; repeated rows count and are scored each; a text of any length is in one block; other columns
+are not looked at.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Sink, map_arrow, staged, table, unstage
-from .ranges import ranges
 
 CORE = 768
-CLASSES = 64
+CLASSES = 128
 SWEEPS = 10
+ROUNDS = 2
 PRIOR = 20.0
-BLOCK_BYTES = 24 << 20
-#: Distinct words that a task counts before it gives them on.
-HELD_WORDS = 500_000
-SHAPES = 4 * 3 * 4 * 2
+BLOCK_BYTES = 16 << 20
+#: Entries of words' classes that a task holds before it gives them on by block; most partitions that blocks are dealt to.
+HELD, MOST_PARTS = 1 << 20, 1 << 15
+#: Stands for the class of an unseen word in a text's classes.
+UNSEEN = 255
 
-#: What a byte adds to the counts of German, French, other non-ASCII letters and digits in a word, 16 bits each.
-_MARKS = np.zeros(256, np.int64)
-_MARKS[0x80:] = 1 << 32
-_MARKS[[b for b in "äöüß".encode() if b != 0xC3]] |= 1
-_MARKS[[b for b in "éèêàçùâîôœ".encode() if b != 0xC3]] |= 1 << 16
-_MARKS[0xC3] = 0
-_MARKS[0x30:0x3A] = 1 << 48
-_ENDINGS = np.zeros(256, np.int64)
-_ENDINGS[list(b".!?")] = 1
-_ENDINGS[list(b",;:")] = 2
 
+def split_words(text: str | None) -> list[bytes]:
+    """bytes.lower() changes A-Z only; bytes.split() splits at x20 and x09 to x0D."""
+    return text.encode().lower().split() if text else []
 
-def shapes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number below SHAPES for the looks of each of the words codes[starts:ends], none of them empty."""
-    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(_MARKS[codes])))
-    marks = total[ends] - total[starts]
-    tongue = np.select([marks & 0xFFFF > 0, marks >> 16 & 0xFFFF > 0, marks >> 32 & 0xFFFF > 0], [1, 2, 3], 0)
-    lengths = ends - starts
-    size = (lengths > 3).astype(np.int64) + (lengths > 6) + (lengths > 10)
-    return ((tongue * 3 + _ENDINGS[codes[ends - 1]]) * 4 + size) * 2 + (marks >> 48 > 0)
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
 
-def bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in a text's bytes."""
-    inside = np.zeros(len(codes) + 2, bool)
-    inside[1:-1] = ~((codes == 0x20) | ((codes >= 0x09) & (codes <= 0x0D)))
-    change = np.nonzero(inside[1:] != inside[:-1])[0]
-    return change[::2], change[1::2]
 
+def likelihood(pair: np.ndarray) -> float:
+    """Of the class bigrams, up to what does not depend on the classes."""
+    return float(xlogx(pair).sum() - xlogx(pair.sum(0)).sum() - xlogx(pair.sum(1)).sum())
 
-class Units:
-    """Words to units: 0 is the end, then the core words, then the shapes."""
 
-    def __init__(self, core: list[bytes]):
-        self.core = {w: i + 1 for i, w in enumerate(core)}
-        self.size = 1 + len(core) + SHAPES
+# ---- blocks
 
-    def of(self, words: list[bytes], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        get = self.core.get
-        known = np.array([get(w, 0) for w in words], np.int64)
-        return np.where(known > 0, known, 1 + len(self.core) + shapes(codes, starts, ends))
 
+BLOCKS = "part int, seq int, words array<binary>, n array<int>, doc_ids array<bigint>, held array<boolean>, sizes array<int>, ids binary"
 
-def split_words(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and its lower-cased bytes. bytes.lower() changes A-Z only; bytes.split() splits at x20 and x09 to x0D."""
-    raw = text.encode().lower() if text else b""
-    return raw.split(), np.frombuffer(raw, np.uint8)
 
+def blocks_of(source: DataFrame) -> DataFrame:
+    """source: doc_id, held_out, text. A written table of blocks: block (a number from 0), words (distinct), n (their counts in the block's training
+    texts), doc_ids, held, sizes (words of each text), ids (places in words, of one text after the other)."""
 
-def words_of_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, starts and ends of the values of a binary column without nulls."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(column.buffers()[2], np.uint8), offsets[:-1], offsets[1:]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        index, doc_ids, held, rows, held_bytes = {}, [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            sizes = np.array([len(r) for r in rows], np.int32)
+            ids = np.concatenate(rows)
+            known = ids[np.repeat(~np.array(held, bool), sizes)]
+            columns = [[part], [seq], [list(index)], [np.bincount(known, minlength=len(index)).astype(np.int32)], [doc_ids], [held], [sizes], [ids.astype("<i4").tobytes()]]
+            types = [pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "seq", "words", "n", "doc_ids", "held", "sizes", "ids"])
+
+        for batch in batches:
+            for doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = split_words(text)
+                put = index.setdefault
+                doc_ids.append(doc_id)
+                held.append(out)
+                rows.append(np.array([put(w, len(index)) for w in words], np.int32))
+                held_bytes += 16 + (len(text) if text else 0)
+                if held_bytes >= BLOCK_BYTES:
+                    yield made()
+                    index, doc_ids, held, rows, held_bytes, seq = {}, [], [], [], 0, seq + 1
+        if doc_ids:
+            yield made()
+
+    written = staged(map_arrow(source.select("doc_id", "held_out", "text"), run, BLOCKS), "brown-blocks")
+    first, offsets = 0, []
+    for r in sorted(written.groupBy("part").agg(F.max("seq").alias("last")).collect()):
+        offsets.append((r["part"], first))
+        first += r["last"] + 1
+    offsets = F.broadcast(source.sparkSession.createDataFrame(offsets or [(0, 0)], "part int, first long"))  # a row for each partition of the input
+    out = written.join(offsets, "part").select((F.col("first") + F.col("seq")).alias("block"), "words", "n", "doc_ids", "held", "sizes", "ids")
+    out._staged_path, out.count_of_blocks = written._staged_path, first
+    return out
+
+
+def postings(blocks: DataFrame) -> DataFrame:
+    """block, local, word, n: each word of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, n in zip(*batch.columns, strict=True):
+                for low in range(0, len(words.values), 1 << 16):
+                    part, counts = words.values.slice(low, 1 << 16), n.values.slice(low, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block.as_py())), pa.array(np.arange(low, low + len(part), dtype=np.int32)), part, counts], names=["block", "local", "word", "n"])
+
+    return map_arrow(blocks.select("block", "words", "n"), run, "block long, local int, word binary, n int")
+
+
+def sequence(ids: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, end: int) -> np.ndarray:
+    """The words of the chosen texts, an end after each text."""
+    words = ids[np.repeat(chosen, sizes)]
+    ends = np.cumsum(sizes[chosen] + 1) - 1
+    out = np.full(len(words) + len(ends), end, np.int64)
+    is_word = np.ones(len(out), bool)
+    is_word[ends] = False
+    out[is_word] = words
+    return out
+
+
+# ---- exchange
+
+
+def count_units(blocks: DataFrame, core: list[bytes]) -> np.ndarray:
+    """Bigrams of units over all training texts, an end before the first word and after the last. Units: the end, the core words, the rest."""
+    size = len(core) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, total = {w: i + 1 for i, w in enumerate(core)}.get, np.zeros(size * size, np.int64)
+        for batch in batches:
+            for words, held, sizes, ids in zip(*batch.columns, strict=True):
+                unit = np.array([*(get(w, size - 1) for w in words.values.to_pylist()), 0], np.int64)
+                codes = np.r_[0, unit[sequence(np.frombuffer(ids.as_py(), "<i4"), sizes.values.to_numpy(), ~np.array(held.as_py(), bool), len(unit) - 1)]]
+                total += np.bincount(codes[:-1] * size + codes[1:], minlength=size * size)
+        at = np.nonzero(total)[0]
+        for low in range(0, len(at), 1 << 16):
+            part = at[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["code", "n"])
+
+    found = map_arrow(blocks.select("words", "held", "sizes", "ids"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size * size)
+    counts[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return counts.reshape(size, size)
 
 
 def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Units to classes. counts: bigrams of units; unit 0 has class 0 to itself. Units without counts join the
-    largest other unit's class."""
+    """Units to classes, one unit at a time. counts: bigrams of units; unit 0 has class 0 to itself and the last one the last class. Units without
+    counts are in class 1."""
     n = len(counts)
     size = counts.sum(1) + counts.sum(0)
-    order = [int(u) for u in np.argsort(-size, kind="stable") if u and size[u]]
-    label = np.zeros(n, np.int64)
+    order = [int(u) for u in np.argsort(-size, kind="stable") if 0 < u < n - 1 and size[u]]
+    label = np.ones(n, np.int64)
+    label[0], label[-1] = 0, classes - 1
     for i, u in enumerate(order):
-        label[u] = 1 + i % (classes - 1)
+        label[u] = 1 + i % (classes - 2)
     member = np.zeros((n, classes))
     member[np.arange(n), label] = 1
-    member[[u for u in range(1, n) if not size[u]], 0] = 0
     pair = member.T @ counts @ member
 
     for _ in range(sweeps):
@@ -132,7 +192,7 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
             cell = pair[d, d]
             gain += xlogx(cell + after + before + own) - xlogx(cell + after) - xlogx(cell + before) + xlogx(cell)
             gain -= xlogx(left + after.sum() + own) - xlogx(left) + xlogx(right + before.sum() + own) - xlogx(right)
-            gain[0] = -np.inf
+            gain[0] = gain[-1] = -np.inf
             new = int(gain.argmax())
             if gain[new] <= gain[old] + 1e-9 * max(1.0, abs(gain[old])):
                 new = old
@@ -144,164 +204,9 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
                 moved += 1
         if not moved:
             break
-    if order:
-        rare = [u for u in order if u >= n - SHAPES] or order
-        for u in range(1, n):
-            if not size[u]:
-                label[u] = label[rare[0]]
     return label
 
 
-@dataclass
-class Model:
-    core: list[bytes]
-    label: np.ndarray  # unit -> class
-    tokens: int  # N, ends included
-    words: int  # V, the end included
-    ends: int
-    log_next: np.ndarray  # log10 P(class | class before)
-    class_tokens: np.ndarray
-    unseen: np.ndarray  # log10 P(an unseen word of the class | class)
-    discount: float
-    pair: np.ndarray  # class bigrams
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
-
-
-def count_words(rows: DataFrame) -> DataFrame:
-    """rows: block, train, text. Gives block, word, n: each word of a block, with its count in the block's training texts (0 if
-    it is in others only); a word may come in several rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {}
-
-        def drain():
-            for block, counter in held.items():
-                words, counts = list(counter.keys()), list(counter.values())
-                for at in range(0, len(words), 50_000):
-                    part = words[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], names=["block", "word", "n"])
-            held.clear()
-
-        for batch in batches:
-            for block, train, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counter = held.setdefault(block, Counter())
-                if train:
-                    counter.update(words_of(text))
-                else:
-                    for w in set(words_of(text)):
-                        if w not in counter:
-                            counter[w] = 0
-            if sum(map(len, held.values())) > HELD_WORDS:
-                yield from drain()
-        yield from drain()
-
-    return map_arrow(rows.select("block", "train", "text"), run, "block int, word binary, n long")
-
-
-def count_bigrams(texts: DataFrame, core: list[bytes]) -> np.ndarray:
-    """Bigrams of units over all texts, an end before the first word and after the last."""
-    size = Units(core).size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, total = Units(core), np.zeros(size * size, np.int64)
-        for batch in batches:
-            row = [np.zeros(1, np.int64)]
-            for text in batch.column(0).to_pylist():
-                words, raw = split_words(text)
-                if words:
-                    row.append(units.of(words, raw, *bounds(raw)))
-                row.append(row[0])
-            codes = np.concatenate(row)
-            total += np.bincount(codes[:-1] * size + codes[1:], minlength=size * size)
-        at = np.nonzero(total)[0]
-        for low in range(0, len(at), 1 << 16):
-            part = at[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["code", "n"])
-
-    found = map_arrow(texts, run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(size * size)
-    counts[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    return counts.reshape(size, size)
-
-
-def shape_types(vocabulary: DataFrame, core: list[bytes]) -> np.ndarray:
-    """How many distinct words each unit has."""
-    size = Units(core).size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, total = Units(core), np.zeros(size, np.int64)
-        for batch in batches:
-            words = batch.column(0)
-            total += np.bincount(units.of(words.to_pylist(), *words_of_column(words)), minlength=size)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["unit", "n"])
-
-    out = np.zeros(size, np.int64)
-    for r in map_arrow(vocabulary.select("word"), run, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect():
-        out[r["unit"]] = r["n"]
-    return out
-
-
-def count_neighbours(texts: DataFrame, model: Model) -> DataFrame:
-    """word, code, n: how often each word outside the core has a neighbour of a class. Codes: the class of the word that follows,
-    classes + the class of the one before, 2 * classes for the word itself as its own follower. A row may come several times."""
-    core, label, classes = model.core, model.label, len(model.class_tokens)
-    width = 2 * classes + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, index, keys, counts, held = Units(core), {}, [], [], 0
-
-        def drain():
-            if not keys:
-                return
-            found, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-            words = pa.array(list(index), pa.binary())
-            for low in range(0, len(found), 1 << 16):
-                part = found[low : low + (1 << 16)]
-                columns = [words.take(pa.array(part // width)), pa.array((part % width).astype(np.int32)), pa.array(total[low : low + (1 << 16)])]
-                yield pa.RecordBatch.from_arrays(columns, names=["word", "code", "n"])
-            index.clear()
-            keys.clear()
-            counts.clear()
-
-        for batch in batches:
-            row, rare = [np.zeros(1, np.int64)], []
-            for text in batch.column(0).to_pylist():
-                words, raw = split_words(text)
-                if words:
-                    row.append(units.of(words, raw, *bounds(raw)))
-                    rare.extend([words[i] for i in np.nonzero(row[-1] > len(core))[0].tolist()])
-                row.append(row[0])
-            codes = np.concatenate(row)
-            at = np.nonzero(codes > len(core))[0]
-            if not len(at):
-                continue
-            ids = np.array([index.setdefault(w, len(index)) for w in rare], np.int64)
-            kind = label[codes]
-            again = np.zeros(len(at) + 1, bool)  # the word before is the same
-            again[1:-1] = (np.diff(at) == 1) & (np.diff(ids) == 0)
-            after = np.where(again[1:], 2 * classes, kind[at + 1])
-            first = ~again[:-1]
-            found, n = np.unique(np.concatenate((ids * width + after, ids[first] * width + classes + kind[at[first] - 1])), return_counts=True)
-            keys.append(found)
-            counts.append(n)
-            held += len(found)
-            if len(index) > HELD_WORDS or held > 8 * HELD_WORDS:
-                yield from drain()
-                held = 0
-        yield from drain()
-
-    return map_arrow(texts, run, "word binary, code int, n long")
-
-
-def xlogx(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1e-300))
-
-
 def best_classes(pair: np.ndarray, old: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The class of the greatest likelihood for each word alone. pair: class bigrams, the words in their classes `old`; after, before: words x
     classes, their bigrams with other words; own: with themselves. As in exchange(), but only the entries that a word has are looked at."""
@@ -340,162 +245,232 @@ def best_classes(pair: np.ndarray, old: np.ndarray, after: np.ndarray, before: n
     return np.where(gain[g, new] <= stay + 1e-9 * np.maximum(1.0, np.abs(stay)), old, new)
 
 
-def word_classes(texts: DataFrame, vocabulary: DataFrame, model: Model) -> DataFrame:
-    """word, n, class for all words of the training texts."""
-    core, label, pair, classes = model.core, model.label, model.pair, len(model.class_tokens)
+NEIGHBOURS = "word binary, class int, code int, n long"
+
+
+def neighbours(words: pa.Array, kind: np.ndarray, texts: np.ndarray, movable: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
+    """Of one block: word, class, code, n, how often a word has a neighbour of a class. Codes: the class of the word that follows,
+    classes + the class of the one before, 2 * classes for the word itself as its own follower. Rows without a word are the class bigrams.
+    kind: classes by place in words, the end's last; texts: places, ends among them; movable: which places are wanted."""
+    width, end = 2 * classes + 1, len(kind) - 1
+    texts = np.r_[end, texts]
+    of = kind[texts]
+    pairs = np.bincount(of[:-1] * classes + of[1:], minlength=classes * classes)
+    at = np.nonzero(pairs)[0]
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(pairs[at])], names=["word", "class", "code", "n"])
+    at = np.nonzero(movable[texts])[0]  # never the first, which is an end, nor the last
+    ids = texts[at]
+    repeats, again = texts[at + 1] == ids, texts[at - 1] == ids
+    after = np.where(repeats, 2 * classes, of[at + 1])
+    found, n = np.unique(np.concatenate((ids * width + after, ids[~again] * width + classes + of[at[~again] - 1])), return_counts=True)
+    for low in range(0, len(found), 1 << 16):
+        part = found[low : low + (1 << 16)]
+        place = part // width
+        yield pa.RecordBatch.from_arrays([words.take(pa.array(place)), pa.array(kind[place].astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(n[low : low + (1 << 16)])], names=["word", "class", "code", "n"])
+
+
+def first_neighbours(blocks: DataFrame, core: list[bytes], label: np.ndarray, classes: int) -> DataFrame:
+    """neighbours() of the words outside the core, all of them in the last class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = {w: int(label[i + 1]) for i, w in enumerate(core)}.get
+        for batch in batches:
+            for words, held, sizes, ids in zip(*batch.columns, strict=True):
+                found = np.array([*(get(w, -1) for w in words.values.to_pylist()), 0], np.int64)
+                texts = sequence(np.frombuffer(ids.as_py(), "<i4"), sizes.values.to_numpy(), ~np.array(held.as_py(), bool), len(found) - 1)
+                yield from neighbours(words.values, np.where(found < 0, classes - 1, found), texts, found < 0, classes)
+
+    return map_arrow(blocks.select("words", "held", "sizes", "ids"), run, NEIGHBOURS)
+
+
+def moved(counted: DataFrame, classes: int) -> tuple[DataFrame, np.ndarray]:
+    """word, n, class after each word's best move, and the class bigrams before. counted: neighbours(), aggregated and staged."""
+    pair = np.zeros(classes * classes)
+    for r in counted.where("word is null").select("code", "n").collect():  # at most classes squared
+        pair[r["code"]] = r["n"]
+    pair = pair.reshape(classes, classes)
     width = 2 * classes + 1
 
-    def chosen(words: pa.Array, group: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def chosen(words: pa.Array, old: np.ndarray, group: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         counts = np.bincount(group * width + code, weights=n, minlength=len(words) * width).reshape(-1, width)
         after, before, own = counts[:, :classes], counts[:, classes:-1], counts[:, -1]
-        old = label[1 + len(core) + shapes(*words_of_column(words))]
         new = best_classes(pair, old, after, before, own)
-        total = (before.sum(1) + own).astype(np.int64)
-        return pa.RecordBatch.from_arrays([words, pa.array(total), pa.array(new.astype(np.int32))], names=["word", "n", "class"])
+        return pa.RecordBatch.from_arrays([words, pa.array((before.sum(1) + own).astype(np.int64)), pa.array(new.astype(np.int32))], names=["word", "n", "class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []  # rows of the last word, which may go on
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
             words = rows.column(0)
             starts = np.r_[0, np.nonzero(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))[0] + 1]
             last = int(starts[-1])
             if last:
                 group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                yield chosen(words.take(pa.array(starts[:-1])), group, rows.column(1).to_numpy()[:last], rows.column(2).to_numpy()[:last])
+                yield chosen(words.take(pa.array(starts[:-1])), rows.column(1).to_numpy()[starts[:-1]], group, rows.column(2).to_numpy()[:last], rows.column(3).to_numpy()[:last])
             rest = [rows.slice(last)]
         if rest:
             rows = rest[0]
-            yield chosen(rows.column(0)[:1].take(pa.array([0])), np.zeros(rows.num_rows, np.int64), rows.column(1).to_numpy(), rows.column(2).to_numpy())
+            yield chosen(rows.column(0)[:1].take(pa.array([0])), rows.column(1).to_numpy()[:1], np.zeros(rows.num_rows, np.int64), rows.column(2).to_numpy(), rows.column(3).to_numpy())
 
-    met = count_neighbours(texts, model).repartition("word").sortWithinPartitions("word")
-    rare = map_arrow(met, run, "word binary, n long, class int")
-    known = texts.sparkSession.createDataFrame([(w, int(label[i + 1])) for i, w in enumerate(core)], "word binary, class int")  # at most CORE rows
-    return vocabulary.join(F.broadcast(known), "word").select("word", "n", "class").union(rare)
+    # a word has at most `width` rows by now
+    met = counted.where("word is not null").repartition("word").sortWithinPartitions("word")
+    return map_arrow(met, run, "word binary, n long, class int"), pair
 
 
-def fit(texts: DataFrame, vocabulary: DataFrame, ends: int, core_words: int = CORE) -> Model | None:
-    """texts: the training texts; vocabulary: word, n (all words of them); ends: how many texts."""
-    if not ends:
-        return None
-    total = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
-    core = [bytes(r["word"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(core_words).select("word").collect()]
-    counts = count_bigrams(texts, core)
-    label = exchange(counts)
-    classes = int(label.max()) + 1
-    member = np.zeros((len(label), classes))
-    member[np.arange(len(label)), label] = 1
-    pair = member.T @ counts @ member
-    n = (total["n"] or 0) + ends
-    n1, n2 = total["n1"], total["n2"]
-    discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
-    return Model(core, label, n, total["v"] + 1, ends, *probabilities(pair, shape_types(vocabulary, core) @ member, discount), discount, pair)
+# ---- classes to blocks
+
+
+def with_classes(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """Blocks and, before each, the classes and counts of its words, a block's rows together. known: word, n, class."""
+    found = postings(blocks).select("block", "local", "word").join(known.hint("merge"), "word").select("block", "local", "n", "class")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def drain():
+            if not held:
+                return
+            block, local, n, kind = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
+            order = np.argsort(block, kind="stable")
+            cuts = np.r_[0, np.nonzero(np.diff(block[order]))[0] + 1, len(order)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                at = order[low:high]
+                payload = local[at].astype("<i4").tobytes() + n[at].astype("<i8").tobytes() + kind[at].astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[at[0]])], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
+            held.clear()
+
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= HELD:
+                yield from drain()
+                count = 0
+        yield from drain()
+
+    none = F.lit(None)
+    entries = map_arrow(found, pack, "block long, payload binary").select(
+        "block", F.lit(0).alias("kind"), "payload", none.cast("array<binary>").alias("words"), none.cast("array<bigint>").alias("doc_ids"),
+        none.cast("array<boolean>").alias("held"), none.cast("array<int>").alias("sizes"), none.cast("binary").alias("ids"),
+    )
+    whole = blocks.select("block", F.lit(1).alias("kind"), none.cast("binary").alias("payload"), "words", "doc_ids", "held", "sizes", "ids")
+    parts = min(MOST_PARTS, max(1, blocks.count_of_blocks))
+    met = entries.union(whole).repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int"))
+    return met.sortWithinPartitions("block", "kind")
+
+
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """words, kind, n, doc_ids, held, sizes, ids of each block of with_classes(); kind and n by place in words, the end last (n: 0)."""
+    now, entries = None, []
+    for batch in batches:
+        for i, (block, what) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if block != now:
+                now, entries = block, []
+            if what == 0:
+                entries.append(batch.column(2)[i].as_py())
+                continue
+            words, doc_ids, held, sizes, ids = (batch.column(c)[i] for c in range(3, 8))
+            kind, n = np.full(len(words.values) + 1, UNSEEN, np.int64), np.zeros(len(words.values) + 1, np.int64)
+            kind[-1] = 0
+            for raw in entries:
+                m = len(raw) // 13
+                local = np.frombuffer(raw, "<i4", m)
+                n[local], kind[local] = np.frombuffer(raw, "<i8", m, 4 * m), np.frombuffer(raw, np.uint8, m, 12 * m)
+            yield words.values, kind, n, doc_ids.values, np.array(held.as_py(), bool), sizes.values.to_numpy(), np.frombuffer(ids.as_py(), "<i4")
+            entries = []
+
+
+def next_neighbours(blocks: DataFrame, known: DataFrame, classes: int) -> DataFrame:
+    """neighbours() of all words with all words in their classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, kind, _, _, held, sizes, ids in each_block(batches):
+            movable = np.ones(len(kind), bool)
+            movable[-1] = False
+            yield from neighbours(words, kind, sequence(ids, sizes, ~held, len(kind) - 1), movable, classes)
+
+    return map_arrow(with_classes(blocks, known), run, NEIGHBOURS)
+
+
+# ---- the model
+
+
+@dataclass
+class Model:
+    tokens: int  # N, ends included
+    words: int  # V, the end included
+    ends: int
+    discount: float
+    unseen_words: float  # U
+    log_next: np.ndarray | None = None  # log10 P(class | class before)
+    class_tokens: np.ndarray | None = None
+    unseen: np.ndarray | None = None  # P(an unseen word | class), all of them together
 
 
 def probabilities(pair: np.ndarray, types: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log_next, class_tokens and unseen of a Model, from the class bigrams and how many distinct words each class has."""
     tokens = pair.sum(0)
-    types = np.concatenate((np.ones(1), types[1:]))
     share = (tokens + 1e-3) / (tokens + 1e-3).sum()
     following = (pair + PRIOR * share[None, :]) / (pair.sum(1, keepdims=True) + PRIOR)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        unseen = np.where(tokens > 0, np.log10(np.maximum(discount * types, 1e-300) / np.maximum(tokens, 1e-300)), 0.0)
+    unseen = np.where(tokens > 0, discount * types / np.maximum(tokens, 1), 1.0)  # a class without words has unseen ones only
+    unseen[0] = 0.0  # the end is always known
     return np.log10(following), tokens, unseen
 
 
-#: Marks the class of an unseen word in a text's classes.
-UNSEEN = 128
-
-
-class Scorer:
-    """Turns texts into classes with the words of one block."""
-
-    def __init__(self, model: Model | None):
-        self.model = model
-        self.units = Units(model.core) if model else None
-        self.start()
-
-    def start(self) -> None:
-        """A new block: no words yet. Entry 0 is the end."""
-        self.index: dict[bytes, int] = {}
-        self.n = [np.array([self.model.ends if self.model else 0])]
-        self.kinds = [np.zeros(1, np.int64)]
-        self.count, self.ready = 1, False
-
-    def learn(self, words: pa.Array, n: np.ndarray, kind: np.ndarray | None = None) -> None:
-        """Words of the block with their counts and classes (those of their units if not given). One that comes again keeps its last
-        entry, which says the same."""
-        named = words.to_pylist()
-        self.index.update(zip(named, range(self.count, self.count + len(named)), strict=True))
-        self.n.append(n)
-        self.kinds.append(self.model.label[self.units.of(named, *words_of_column(words))] if kind is None else kind)
-        self.count += len(named)
-
-    def settle(self) -> None:
-        m = self.model
-        n = np.concatenate(self.n).astype(np.float64)
-        self.kind = np.concatenate(self.kinds)
-        self.base = np.log10((n + 1) / (m.tokens + m.words + 1))
-        self.kept = np.log10(n - m.discount)
-        self.base_unseen = math.log10(1 / (m.tokens + m.words + 1))
-        self.ready = True
-
-    @property
-    def emit(self) -> np.ndarray:
-        """log10 P(word | its class) by the model's classes."""
-        return self.kept - np.log10(self.model.class_tokens[self.kind])
-
-    def classes(self, text: str | None) -> tuple[int, int, float, float, bytes]:
-        """Tokens, known tokens, the baseline's log10 probability, the sum of log10 (count - discount) of the known
-        tokens, and the tokens' classes (+ UNSEEN where not known)."""
-        words, raw = split_words(text)
-        m = self.model
-        if not self.ready:
-            self.settle()
-        get = self.index.get
-        at = np.array([get(w, -1) for w in words] + [0], np.int64)
-        known = at >= 0
-        kind, kept, base = self.kind[at], self.kept[at], self.base[at]
-        if not known.all():
-            lost = np.nonzero(~known)[0]
-            starts, ends = bounds(raw)
-            kind[lost] = UNSEEN + m.label[self.units.of([words[i] for i in lost], raw, starts[lost], ends[lost])]
-            kept[lost], base[lost] = 0.0, self.base_unseen
-        return len(at), int(known.sum()), float(base.sum()), float(kept.sum()), kind.astype(np.uint8).tobytes()
-
-
-def as_classes(rows: DataFrame, dictionary: DataFrame, model: Model) -> DataFrame:
-    """rows: block, doc_id, held_out, text; dictionary: block, word, n, class. Blocks come together, words before texts. Gives doc_id,
-    held_out and what Scorer.classes() says of the text."""
-    none = F.lit(None)
-    words = dictionary.select("block", F.lit(0).alias("kind"), "word", "n", "class", none.cast("bigint").alias("doc_id"), none.cast("boolean").alias("held_out"), none.cast("string").alias("text"))
-    texts = rows.select("block", F.lit(1).alias("kind"), none.cast("binary").alias("word"), none.cast("bigint").alias("n"), none.cast("int").alias("class"), "doc_id", "held_out", "text")
+def clustered(blocks: DataFrame, vocabulary: DataFrame, core_words: int = CORE, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[list[DataFrame], float]:
+    """word, n, class of every word of the training texts, as written tables: the last round's classes and, if there were others, the likeliest before
+    them, with its likelihood."""
+    spark = blocks.sparkSession
+    core = [bytes(r["word"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(core_words).select("word").collect()]
+    label = exchange(count_units(blocks, core), classes)
+    of_core = F.broadcast(spark.createDataFrame([(w, int(label[i + 1])) for i, w in enumerate(core)], "word binary, class int"))  # at most CORE rows
+    best: list[tuple[float, DataFrame]] = []
+    for r in range(max(1, rounds)):
+        met = first_neighbours(blocks, core, label, classes) if not r else next_neighbours(blocks, best[0][1], classes)
+        counted = staged(met.groupBy("word", "class", "code").agg(F.sum("n").alias("n")), "brown-neighbours")
+        after, pair = moved(counted, classes)
+        if r:
+            best[0] = (likelihood(pair), best[0][1])
+        else:
+            after = vocabulary.join(of_core, "word").select("word", "n", "class").union(after)
+        known = staged(after, "brown-classes")
+        unstage(counted)
+        best = [(-math.inf, known), *sorted(best, key=lambda b: -b[0])]
+        unstage(*(b[1] for b in best[2:]))
+        best = best[:2]
+    return [b[1] for b in best], best[-1][0]
+
+
+TEXTS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, known_base double, kept double, classes binary"
+
+
+def as_classes(blocks: DataFrame, known: DataFrame, model: Model) -> DataFrame:
+    """A row for each text: its counts, the baseline's log10 probability of it and of its known tokens, the sum of log10 (count - discount) of the
+    known words, and the tokens' classes (UNSEEN where not known)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, now = Scorer(model), None
-        sink = Sink(doc_id=pa.int64(), held_out=pa.bool_(), n_tokens=pa.int64(), n_known=pa.int64(), base_score=pa.float64(), kept=pa.float64(), classes=pa.binary())
-        for batch in batches:
-            key = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
-            cuts = [0, *(np.nonzero(np.diff(key))[0] + 1).tolist(), len(key)]
-            for low, high in zip(cuts, cuts[1:], strict=False):  # runs of one block's words or texts
-                if high == low:
-                    continue
-                block, kind = divmod(int(key[low]), 2)
-                if block != now:
-                    now = block
-                    scorer.start()
-                part = batch.slice(low, high - low)
-                if kind == 0:
-                    scorer.learn(part.column(2), part.column(3).to_numpy(), part.column(4).to_numpy())
-                    continue
-                for doc_id, held_out, text in zip(*(part.column(i).to_pylist() for i in (5, 6, 7)), strict=True):
-                    found = scorer.classes(text)
-                    if sink.add(doc_id, held_out, *found, size=64 + found[0]):
-                        yield from sink.drain()
-        yield from sink.drain()
-
-    met = words.union(texts).repartition("block").sortWithinPartitions("block", "kind")
-    return map_arrow(met, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, kept double, classes binary")
+        for _, kind, n, doc_ids, held, sizes, ids in each_block(batches):
+            counts = n.astype(np.float64)
+            counts[-1] = model.ends
+            base = np.log10((counts + 1) / (model.tokens + model.words + 1))
+            seen = kind != UNSEEN
+            kept = np.where(seen, np.log10(np.maximum(counts - model.discount, 1e-300)), 0.0)
+            kept[-1] = math.log10(model.ends)
+            codes = kind.astype(np.uint8)
+            for low in range(0, len(sizes), 1024):  # texts
+                part = sizes[low : low + 1024]
+                first = int(sizes[:low].sum())
+                text = sequence(ids[first : first + int(part.sum())], part, np.ones(len(part), bool), len(kind) - 1)
+                starts = np.cumsum(part + 1) - part - 1
+                sums = lambda x: pa.array(np.add.reduceat(x[text], starts))  # noqa: E731, B023
+                raw = codes[text].tobytes()
+                columns = [doc_ids.slice(low, 1024), pa.array(held[low : low + 1024]), pa.array((part + 1).astype(np.int64)), sums(seen.astype(np.int64)), sums(base), sums(np.where(seen, base, 0.0)), sums(kept)]
+                columns.append(pa.array([raw[a : a + s + 1] for a, s in zip(starts.tolist(), part.tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "known_base", "kept", "classes"])
+
+    return map_arrow(with_classes(blocks, known), run, TEXTS)
 
 
 def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
@@ -515,61 +490,118 @@ def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
     return counts.reshape(classes, classes)
 
 
+class Runs:
+    """Sums over the classes of runs of unseen words."""
+
+    def __init__(self, model: Model):
+        self.next, self.unseen, self.each = 10.0**model.log_next, model.unseen, math.log10(model.unseen_words)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For a run of that many unseen words: log10 P(run, class behind it | class before it), and log10 P(run | class before it)."""
+        if length not in self.known:
+            if len(self.known) > 2000:
+                self.known.clear()
+            power, scale = np.eye(len(self.next)), 0.0
+            square, square_scale, left = self.next * self.unseen, 0.0, length
+            while left:  # powers by squaring, scaled so that nothing vanishes
+                if left & 1:
+                    power, scale = power @ square, scale + square_scale
+                    scale, power = scale + math.log10(power.max()), power / power.max()
+                square, square_scale, left = square @ square, 2 * square_scale, left >> 1
+                square_scale, square = square_scale + math.log10(square.max()), square / square.max()
+            scale -= length * self.each
+            with np.errstate(divide="ignore"):
+                self.known[length] = (np.log10(power @ self.next) + scale, np.log10(power.sum(1)) + scale)
+        return self.known[length]
+
+
 def score(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score, from as_classes()."""
-    log_next, unseen = model.log_next, model.unseen
+    """doc_id, held_out, n_tokens, n_known, base_score, score, known_base, known_score, from as_classes(). The known scores are the
+    part of the scores that known tokens have, each given all tokens before it."""
     shares = np.log10(np.maximum(model.class_tokens, 1e-300))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(model)
         for batch in batches:
-            scores = []
-            for kept, classes in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
-                marked = np.frombuffer(classes, np.uint8)
-                kind = marked % UNSEEN
-                emit = np.where(marked >= UNSEEN, unseen[kind], -shares[kind])
-                scores.append(kept + float(emit.sum()) + float(log_next[np.concatenate((np.zeros(1, np.uint8), kind[:-1])), kind].sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(scores, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return map_arrow(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-
-
-def class_model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs (doc_id, text),
-    with what is learned from the rows that are not held out."""
+            if not batch.num_rows:
+                continue
+            texts = batch.column(7).to_pylist()
+            kind = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+            at = np.nonzero(kind != UNSEEN)[0]  # the last of each text is one
+            gap = np.diff(at, prepend=-1) - 1
+            now, before = kind[at], np.r_[0, kind[at[:-1]]]
+            moves, lost = model.log_next[before, now], np.zeros(len(at))
+            for length in np.unique(gap[gap > 0]).tolist():
+                here = np.nonzero(gap == length)[0]
+                both, run_alone = runs.of(length)
+                lost[here] = run_alone[before[here]]
+                moves[here] = both[before[here], now[here]] - lost[here]
+            starts = np.searchsorted(at, np.cumsum([0, *map(len, texts[:-1])]))
+            known = batch.column(6).to_numpy() + np.add.reduceat(moves - shares[now], starts)
+            whole = known + np.add.reduceat(lost, starts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(whole), batch.column(5), pa.array(known)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "known_base", "known_score"])
+
+    return map_arrow(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, known_base double, known_score double")
+
+
+def class_model(docs: DataFrame, held_out: Column, core_words: int = CORE) -> tuple[DataFrame, Model, DataFrame] | None:
+    """as_classes() of all docs, the model, and word, n, class, from the rows that are not held out; None if there are none."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("held_out", held_out)
-    bytes_of = F.coalesce(F.octet_length("text").cast("double"), F.lit(0.0)) + 16
-    dealt = ranges(source, "doc_id", bytes_of, BLOCK_BYTES).assigned(source, "doc_id", F.xxhash64("doc_id", "text"))
-    dealt = dealt.withColumn("train", ~F.col("held_out"))
-    in_blocks = staged(count_words(dealt), "brown-words")
-    vocabulary = staged(in_blocks.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "brown-vocabulary")
-    training = source.where("not held_out").select("text")
-    model = fit(training, vocabulary, training.count())
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    if model is None:
-        return untrained(source).withColumn("train_tokens", F.lit(0).cast("bigint")).select(*names)
-    known = staged(word_classes(training, vocabulary, model), "brown-classes")
-    dictionary = in_blocks.select("block", "word").join(known, "word")
-    texts = staged(as_classes(dealt, dictionary, model), "brown-texts")
-    pair = class_bigrams(texts.where("not held_out"), len(model.pair))
+    blocks = blocks_of(source)
+    ends = blocks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)).cast("bigint")).alias("n")).first()["n"]
+    if not ends:
+        unstage(blocks)
+        return None
+    vocabulary = staged(postings(blocks).where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "brown-vocabulary")
+    total = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
+    n1, n2 = total["n1"], total["n2"]
+    discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
+    model = Model((total["n"] or 0) + ends, total["v"] + 1, ends, discount, max(1.0, n1 * n1 / (2 * n2) if n2 else n1 * (n1 - 1) / 2))
+    tables, before = clustered(blocks, vocabulary, core_words)
+    texts, pair = None, None
+    while True:
+        known = tables.pop(0)
+        texts = staged(as_classes(blocks, known, model), "brown-texts")
+        pair = class_bigrams(texts.where("not held_out"), CLASSES)
+        if not tables or likelihood(pair) >= before:
+            break
+        unstage(texts, known)
     types = np.zeros(len(pair))
     for r in known.groupBy("class").count().collect():
         types[r["class"]] = r["count"]
-    log_next, class_tokens, unseen = probabilities(pair, types, model.discount)
-    model = replace(model, log_next=log_next, class_tokens=class_tokens, unseen=unseen, pair=pair)
-    unstage(in_blocks, vocabulary, known)
+    model.log_next, model.class_tokens, model.unseen = probabilities(pair, types, discount)
+    unstage(blocks, vocabulary, *tables)
+    return texts, model, known
+
+
+def class_model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, known_base, known_score: a row for each row of docs (doc_id, text),
+    with what is learned from the rows that are not held out."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "known_base", "known_score"]
+    made = class_model(docs, held_out)
+    if made is None:
+        return untrained(docs, held_out).withColumn("train_tokens", F.lit(0).cast("bigint")).select(*names)
+    texts, model, known = made
+    unstage(known)
     return score(texts, model).withColumn("train_tokens", F.lit(model.tokens).cast("bigint")).select(*names)
 
 
-def untrained(source: DataFrame) -> DataFrame:
+def untrained(docs: DataFrame, held_out: Column) -> DataFrame:
     """Scores without training texts: only tokens are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = Sink(doc_id=pa.int64(), held_out=pa.bool_(), n_tokens=pa.int64())
         for batch in batches:
-            n = pa.array([len(words_of(t)) + 1 for t in batch.column(2).to_pylist()], pa.int64())
-            none = pa.array(np.zeros(len(n)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n, pa.array(np.zeros(len(n), np.int64)), none, none], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            for doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sink.add(doc_id, out, len(split_words(text)) + 1):
+                    yield from sink.drain()
+        yield from sink.drain()
 
-    return map_arrow(source.select("doc_id", "held_out", "text"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("held_out", held_out)
+    counted = map_arrow(source.select("doc_id", "held_out", "text"), run, "doc_id long, held_out boolean, n_tokens long")
+    zero = F.lit(0.0)
+    return counted.select("*", F.lit(0).cast("bigint").alias("n_known"), *(zero.alias(c) for c in ("base_score", "score", "known_base", "known_score")))
 
 
 def op4_class_lm_scoring(spark, sf_dir: str) -> DataFrame:
