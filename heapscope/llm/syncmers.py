@@ -29,7 +29,10 @@ from .common import Sink, map_arrow, ship, shuffle_partitions, table
 from .minhash import mix
 
 K, S, SIZE = 12, 5, 64
-RANGE_BYTES, MAX_RANGES = 8 << 20, 4096
+#: Ranges have LEAST_BYTES at least and about RANGE_BYTES at most, up to MAX_RANGES of them.
+LEAST_BYTES, RANGE_BYTES, MAX_RANGES = 1 << 20, 64 << 20, 1 << 16
+#: Finest parts that the rows of one doc_id are cut in by their hashes.
+FINE = 256
 _R = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_R, i, 1 << 64)) for i in range(9)]
 
@@ -120,34 +123,102 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id long, fingerprint string, anchor_positions array<bigint>, anchor_hashes array<bigint>")
 
 
+class Cuts:
+    """Values cut into ranges in ascending order. A cut that comes up several times is a value with as many ranges' rows: it gets ranges of its own."""
+
+    def __init__(self, cuts: list[int]):
+        self.values, self.times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.heavy = self.times > 1
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval (up to a cut) of each x, and whether x is that cut and heavy."""
+        j = np.searchsorted(self.values, x, side="left")
+        at = np.minimum(j, len(self.values) - 1)
+        return j, (j < len(self.values)) & (self.values[at] == x) & self.heavy[at] if len(self.values) else np.zeros(len(x), bool)
+
+
+class Places:
+    """Numbers of ranges of rows in order of doc_id descending (nulls last), then hash ascending. Ids with more rows than a range are cut by hash, and
+    hashes with more by a number of the row, which equal rows only can share."""
+
+    def __init__(self, cuts: list[int], of_heavy: dict[int | None, list[int]]):
+        self.ids, self.by_hash, self.count = Cuts(cuts), {k: Cuts(v) for k, v in of_heavy.items()}, 0
+        u = len(self.ids.values)
+        self.rest, self.first = np.zeros(u + 1, np.int64), {}
+        for j in range(u, -1, -1):
+            if j < u and self.ids.heavy[j]:
+                self.reserve(int(self.ids.values[j]))
+            self.rest[j], self.count = self.count, self.count + 1
+        self.reserve(None)
+
+    def reserve(self, key: int | None) -> None:
+        """Ranges of one id: for each interval of hashes one, and behind it those of a heavy hash, its upper end."""
+        hashes = self.by_hash.setdefault(key, Cuts([]))
+        sizes = np.r_[1 + np.where(hashes.heavy, hashes.times, 0), 1].astype(np.int64)
+        self.first[key] = self.count + np.cumsum(sizes) - sizes
+        self.count += int(sizes.sum())
+
+    def within(self, key: int | None, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        cuts = self.by_hash[key]
+        i, heavy = cuts.interval(hashes)
+        out = self.first[key][i]
+        out[heavy] += 1 + rows[heavy] % cuts.times[i[heavy]]
+        return out
+
+    def of(self, ids: np.ndarray, unknown: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        j, heavy = self.ids.interval(ids)
+        out = self.rest[j]
+        for i in np.unique(j[heavy & ~unknown]).tolist():
+            here = heavy & ~unknown & (j == i)
+            out[here] = self.within(int(self.ids.values[i]), hashes[here], rows[here])
+        out[unknown] = self.within(None, hashes[unknown], rows[unknown])
+        return out
+
+
+def places(rows: DataFrame) -> Places:
+    """rows: doc_id, text, hash. The driver gets quantiles."""
+    seen = rows.agg(F.sum(F.octet_length("text").cast("double")).alias("size"), F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
+    size, n_rows, n_ids = seen["size"] or 0.0, seen["rows"], seen["ids"]
+    n = int(max(1, min(MAX_RANGES, max(size // RANGE_BYTES, min(shuffle_partitions(rows.sparkSession), size // LEAST_BYTES)))))
+    of_ids, of_none = (round(n * k / max(1, n_rows)) for k in (n_ids, n_rows - n_ids))
+    cuts = []
+    if of_ids > 1:
+        cuts = rows.agg(F.percentile_approx("doc_id", [i / of_ids for i in range(1, of_ids)], 100_000).alias("cuts")).first()["cuts"]
+    heavy = Cuts(cuts)
+    parts = {int(v): int(t) for v, t in zip(heavy.values[heavy.heavy], heavy.times[heavy.heavy], strict=True)} | ({None: of_none} if of_none > 1 else {})
+    of_heavy = {}
+    if parts:
+        wanted = F.col("doc_id").isin([k for k in parts if k is not None]) | (F.col("doc_id").isNull() & F.lit(None in parts))
+        fine = F.percentile_approx("hash", [i / FINE for i in range(1, FINE)], 100_000)
+        for r in rows.where(wanted).groupBy("doc_id").agg(fine.alias("cuts")).collect():  # at most one for each two ranges
+            step = max(1, FINE // parts[r["doc_id"]])
+            of_heavy[r["doc_id"]] = r["cuts"][step - 1 :: step]
+    return Places(cuts, of_heavy)
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text, range, ghost: rows in ranges of doc_id, sorted descending within; each range ends with a ghost, the row
-    that follows its last one. No row is in more than two ranges; the driver gets one number a range."""
+    """doc_id, text, range, ghost: rows in ranges of (doc_id descending, hash), sorted within; each range ends with ghosts, copies of the first
+    row of the next range. No row is in more than two ranges; the driver gets one row a range."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("double")).alias("size")).first()["size"] or 0.0
-    n = int(min(MAX_RANGES, max(1, size // RANGE_BYTES)))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100_000).alias("cuts")).first()["cuts"] or []
-    cuts = np.array(sorted(set(cuts)) if n > 1 else [], np.int64)
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int32)
-        out[known] = np.searchsorted(cuts, ids[known].to_numpy(np.int64), side="left") + 1
-        return pd.Series(out)  # 0: no doc_id
-
-    tops = {r["range"]: r["top"] for r in rows.select(range_of("doc_id").alias("range"), "doc_id").groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    back = [(r, tops[r], order[i - 1]) for i, r in enumerate(order)]  # the first range's top comes after the last range's rows
-    back = F.broadcast(spark.createDataFrame(back or [(0, None, 0)], "range int, top long, before int"))  # at most MAX_RANGES + 1 rows
-    dealt = rows.withColumn("range", range_of("doc_id")).join(back, "range")
-    copies = F.when(F.expr("doc_id <=> top"), F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("g")), F.struct(F.col("before").alias("r"), F.lit(True).alias("g"))))
-    copies = copies.otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("g"))))
-    each = dealt.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", F.col("c.r").alias("range"), F.col("c.g").alias("ghost"))
-    each = each.repartition(shuffle_partitions(spark), "range")
-    return each.sortWithinPartitions("range", "ghost", F.desc("doc_id"), F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    found = places(rows)
+
+    @F.pandas_udf("long")
+    def range_of(ids: pd.Series, unknown: pd.Series, hashes: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series(found.of(ids.to_numpy(np.int64), unknown.to_numpy(bool), hashes.to_numpy(np.int64), numbers.to_numpy(np.int64)))
+
+    # ids as they are, without nulls: Arrow would make them floats
+    ranged = rows.withColumn("range", range_of(F.coalesce("doc_id", F.lit(0).cast("bigint")), F.col("doc_id").isNull(), "hash", F.monotonically_increasing_id()))
+    tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max(F.struct("doc_id", F.bitwise_not("hash").alias("h"))).alias("top")).collect()}
+    order = sorted(tops)
+    back = [(r, tops[r]["doc_id"], ~tops[r]["h"], order[i - 1]) for i, r in enumerate(order)]  # the first range's top comes after the last range's rows
+    back = F.broadcast(spark.createDataFrame(back or [(0, None, 0, 0)], "range long, top long, top_hash long, before long"))  # at most a few MAX_RANGES rows
+    own = F.struct(F.col("range").alias("r"), F.lit(False).alias("g"))
+    copies = F.when(F.expr("doc_id <=> top and hash = top_hash"), F.array(own, F.struct(F.col("before").alias("r"), F.lit(True).alias("g")))).otherwise(F.array(own))
+    each = ranged.join(back, "range").select("doc_id", "text", "hash", F.explode(copies).alias("c")).select("doc_id", "text", "hash", F.col("c.r").alias("range"), F.col("c.g").alias("ghost"))
+    dealt = each.repartitionById(found.count, F.col("range").cast("int"))
+    return dealt.sortWithinPartitions("range", "ghost", F.desc("doc_id"), "hash").select("doc_id", "text", "range", "ghost")
 
 
 def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
