@@ -31,7 +31,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         point = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), f"{name}-points")
         pointers.append(point)
         left, right = point.select("a", F.col("m").alias("ma")), point.select(F.col("a").alias("b"), F.col("m").alias("mb"))
-        moved = now.join(left, "a").join(right, "b").select(F.col("ma").alias("a"), F.col("mb").alias("b")).where("a <> b")
+        moved = now.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b")).where("a <> b")
         following = staged(ordered(moved), f"{name}-edges")
         unstage(now)
         now = following
@@ -41,10 +41,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     def through(later: DataFrame, earlier: DataFrame) -> DataFrame:
         on = later.select(F.col("a").alias("m"), F.col("m").alias("__m"))
-        return earlier.join(on, "m", "left").select("a", F.coalesce("__m", "m").alias("m"))
+        return earlier.join(on.hint("merge"), "m", "left").select("a", F.coalesce("__m", "m").alias("m"))
 
     last = reduce(through, reversed(pointers))
-    out = staged(ids.select(F.col("a").alias("id"), F.xxhash64("a").alias("a")).join(last, "a").select("id", F.col("m").alias("label")), f"{name}-labels")
+    out = staged(ids.select(F.col("a").alias("id"), F.xxhash64("a").alias("a")).join(last.hint("merge"), "a").select("id", F.col("m").alias("label")), f"{name}-labels")
     unstage(*pointers)
     return out
 

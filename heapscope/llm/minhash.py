@@ -151,17 +151,20 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs a, b those whose full sets have the similarity; repeated rows of a node are compared each."""
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.expr(f"100L * i >= {percent}L * u")).select("a", "b").distinct()
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """centre, node, n, cn: for each bucket its centre, the member met in most buckets, with every other member."""
+    """centre, node, n, cn: for each bucket its centre, the member met in most buckets, with every other member; a written table."""
     weight = members.groupBy("node").agg(F.count("*").alias("w"))
-    centre = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("w", "node", "n")).alias("c"))
-    at = centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
-    return members.join(at, "bucket").where("node <> centre").select("centre", "node", "n", "cn").distinct()
+    centre = members.join(weight.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("w", "node", "n")).alias("c"))
+    # written, so that the join's sides are both dealt afresh and Spark can split a large bucket's
+    at = staged(centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("cn")), "minhash-centres")
+    out = staged(members.join(at.hint("merge"), "bucket").where("node <> centre").select("centre", "node", "n", "cn").distinct(), "minhash-stars")
+    unstage(at)
+    return out
 
 
 class Roots:
@@ -248,32 +251,35 @@ def compare(percent: int):
 
 
 def rest_of_stars(star: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b that connect what links of two members of one star connect, where the star's links have not. Such a
+    """A written table of edges a, b that connect what links of two members of one star connect, where the star's links have not. Such a
     pair has an end outside the centre's component: those members form blocks, which all others visit, in chunks."""
     part = label.withColumnRenamed("id", "node")
     of_centre = label.select(F.col("id").alias("centre"), F.col("label").alias("centre_part"))
-    sided = star.select("centre", "node", "n").join(part, "node", "left").join(of_centre, "centre", "left")
+    sided = star.select("centre", "node", "n").join(part.hint("merge"), "node", "left").join(of_centre.hint("merge"), "centre", "left")
     sided = sided.select("centre", "node", "n", F.coalesce("label", F.xxhash64("node")).alias("part"), F.coalesce("centre_part", F.xxhash64("centre")).alias("centre_part"))
-    sided = sided.withColumn("outside", F.col("part") != F.col("centre_part"))
+    # written, as are the shapes, so that Spark can split the members of a centre that has very many
+    sided = staged(sided.withColumn("outside", F.col("part") != F.col("centre_part")), "minhash-sided")
     per = sided.groupBy("centre").agg(F.sum(F.expr("if(outside, n, 0)")).alias("words"), F.count_if("outside").alias("k"), F.count("*").alias("all"))
-    shape = per.where("k > 0 and all > 1").select("centre", F.ceil(F.col("words") / BLOCK_SHINGLES).alias("blocks"), F.ceil(F.col("all") / CHUNK_MEMBERS).alias("chunks"))
-    placed = sided.join(shape, "centre").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")))
+    shape = staged(per.where("k > 0 and all > 1").select("centre", F.ceil(F.col("words") / BLOCK_SHINGLES).alias("blocks"), F.ceil(F.col("all") / CHUNK_MEMBERS).alias("chunks")), "minhash-shapes")
+    placed = sided.join(shape.hint("merge"), "centre").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")))
     one = ["node", "part"]
     homes = placed.where("outside").select("centre", "block", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), F.lit(False).alias("visitor"), *one)
     within = placed.where("outside and block > 0").select("centre", F.explode(F.expr("sequence(0L, block - 1)")).alias("block"), "chunk", F.lit(True).alias("visitor"), *one)
     others = placed.where("not outside").select("centre", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "chunk", F.lit(True).alias("visitor"), *one)
-    met = homes.union(within).union(others).join(sets, "node").select("centre", "block", "chunk", "visitor", "node", "part", "set")
+    met = homes.union(within).union(others).join(sets.hint("merge"), "node").select("centre", "block", "chunk", "visitor", "node", "part", "set")
     met = met.repartition(shuffle_partitions(star.sparkSession), "centre", "block", "chunk").sortWithinPartitions("centre", "block", "chunk", "visitor")
-    return map_arrow(met, compare(percent), "a long, b long")
+    out = staged(map_arrow(met, compare(percent), "a long, b long"), "minhash-rest")
+    unstage(sided, shape)
+    return out
 
 
 def linked(members: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
     """Staged tables of edges a, b that connect all nodes connected by links of nodes with a bucket in common."""
-    star = staged(stars(members), "minhash-stars")
+    star = stars(members)
     fits = star.where(F.expr(f"100 * least(n, cn) >= {percent} * greatest(n, cn)"))
     links = staged(confirmed(fits.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets, percent), "minhash-links")
     label = components(links, "minhash-parts")
-    rest = staged(rest_of_stars(star, label, sets, percent), "minhash-rest")
+    rest = rest_of_stars(star, label, sets, percent)
     unstage(star, label)
     return [links, rest]
 
@@ -283,26 +289,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     have 100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable."""
     rows = staged(sketches(docs, width), "minhash-rows")
     able = rows.where("set_key is not null and doc_id is not null")
-    classes = able.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    nodes = able.join(classes.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"])
+    # written, so that Spark can split the rows of a set that very many documents share
+    classes = staged(able.groupBy("set_key").agg(F.min("doc_id").alias("node")), "minhash-classes")
+    nodes = able.join(classes.withColumnRenamed("node", "doc_id").hint("merge"), ["set_key", "doc_id"])
     bucketed = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
     shared = bucketed.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
-    members = staged(bucketed.join(shared, "bucket").distinct(), "minhash-members")
-    wanted = members.select(F.col("node").alias("doc_id")).distinct().join(nodes.select("doc_id", "set_key").distinct(), "doc_id")
-    sets = staged(full_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id"), width), "minhash-sets")
+    members = staged(bucketed.join(shared.hint("merge"), "bucket").distinct(), "minhash-members")
+    wanted = members.select(F.col("node").alias("doc_id")).distinct().join(nodes.select("doc_id", "set_key").distinct().hint("merge"), "doc_id")
+    sets = staged(full_sets(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id"), width), "minhash-sets")
     links = linked(members, sets, percent)
 
     # each document's node; a doc_id with rows in several classes ties their nodes together
-    of_class = able.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "node")
+    of_class = staged(able.select("doc_id", "set_key").join(classes.hint("merge"), "set_key").select("doc_id", "node"), "minhash-of-class")
     of_doc = staged(of_class.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")), "minhash-nodes")
     several = of_doc.where("node < other")
     ties = of_class.join(several.select("doc_id", F.col("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
     label = components(reduce(DataFrame.union, links, ties), "minhash-all")
-    unstage(members, sets, *links)
     smallest = label.groupBy("label").agg(F.min("id").alias("component"))
-    part = label.join(smallest, "label").select(F.col("id").alias("node"), "component")
-    of_part = of_doc.select("doc_id", "node").join(part, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n_shingles").join(of_part, "doc_id", "left")
+    part = staged(label.join(smallest.hint("merge"), "label").select(F.col("id").alias("node"), "component"), "minhash-components")
+    unstage(members, sets, classes, of_class, label, *links)
+    of_part = of_doc.select("doc_id", "node").join(part.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    out = rows.select("doc_id", "n_shingles").join(of_part.hint("merge"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -96,3 +96,28 @@ def test_keep_one_of_rows_that_share_an_id(docs):
     assert sorted(((i, t) for i, t, _ in got), key=repr) == sorted([(1, a), (1, b), (None, "alone " * 9), (3, None), (3, ""), (4, "")], key=repr)
     plain = minhash.keep_one(docs([(1, a, "x"), (2, a + " end", "y"), (3, b, "z")]).withColumn("kept", minhash.F.lit(0)))
     assert sorted(r["doc_id"] for r in plain.collect()) == [1, 3]
+
+
+def test_recall_near_the_bound(docs):
+    """Pairs whose similarity is 0.80 to 0.84, with two-word shingles, of sizes from 5 to 3,000: every one is found, none of 0.78 to 0.80."""
+    rng = random.Random(11)
+    rows, linked = [], set()
+    for i in range(700):
+        n = rng.choice([6, 20, 60, 200, 3000])
+        a = [f"{i}w{k}" for k in range(n)]
+        least = rng.random() < 0.5
+        # replacing the last k words of n takes k of the n - 1 shingles: similarity (n - 1 - k) / (n - 1 + k)
+        k = max((k for k in range(n) if 100 * (n - 1 - k) >= 80 * (n - 1 + k)), default=0) + (not least)
+        b = a[: n - k] + [f"{i}x{j}" for j in range(k)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        if least:
+            linked.add(i)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(rows).repartition(4), width=2).collect()}
+    found = {i for i in range(700) if got[2 * i + 1] == 2 * i}
+    assert found == linked and len(linked) > 300
+
+
+def test_very_long_text_and_clashing_columns(docs):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    df = docs([(1, long), (2, long + " end"), (3, "other words here")]).withColumn("node", minhash.F.lit(1)).withColumn("Bucket", minhash.F.lit("x"))
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 3)}
