@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import posixpath
 import tempfile
 import uuid
@@ -45,21 +47,41 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[key]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Staged tables that are still there, with the session's way to delete them.
+_left: dict[str, tuple] = {}
+
+
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and rereads it: this cuts the lineage, and the table outlives any
-    executor. The schema is given, so rereading needs no footer scan."""
+    executor. The schema is given, so rereading needs no footer scan. by: a column whose values lie in folders of their own, so
+    that a filter on it reads nothing else."""
     spark = df.sparkSession
     path = posixpath.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    _left[path] = (spark._jvm, spark._jsc.hadoopConfiguration())
     return out
 
 
+def _delete(path: str) -> None:
+    jvm, conf = _left.pop(path)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in tables:
         path = getattr(df, "_staged_path", None)
-        if path:
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _left:
+            _delete(path)
+
+
+@atexit.register
+def _remove_left() -> None:
+    """Tables that lazy results may have read until now go when the driver's program ends."""
+    for path in list(_left):
+        with contextlib.suppress(Exception):  # the session's JVM may be gone already
+            _delete(path)

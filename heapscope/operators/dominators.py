@@ -23,6 +23,8 @@ from ..functions.staging import staged, unstage
 PEELS = 40
 #: Depth of the core's dominator tree up to which objects carry paths.
 MAX_DEPTH = 256
+#: References that one task may hold: about 150 bytes each, 6 GB in all. A larger core is an error, not a lost executor.
+MAX_CORE = 40_000_000
 TOP, SIZE = -1, -2
 
 
@@ -31,25 +33,32 @@ def dominator_paths(edges: DataFrame, roots: DataFrame, peels: int = PEELS, max_
     objects; roots: object_id. Objects that no root reaches have no row. None if paths would be longer than max_depth and the peels."""
     starts = staged(roots.select("object_id").distinct(), "dom-roots")
     inner = edges.select("src", "dst").where("src <> dst").distinct().join(starts.select(F.col("object_id").alias("dst")), "dst", "left_anti")
-    every = staged(inner.select("src", "dst"), "dom-edges")
-    left, layers = every, []
+    left, layers, rounds, slow = inner.select("src", "dst"), [], [], 0
     for _ in range(peels):
-        sources = left.select(F.col("src").alias("dst")).distinct()
-        sinks = left.join(sources, "dst", "left_anti").select("dst").distinct()
-        layer = staged(left.join(sinks, "dst"), "dom-layer")  # the edges into this round's objects
-        if layer.isEmpty():
-            unstage(layer)
+        # one join a round: edges into objects without references (goes) and the others lie in folders of their own
+        sources = left.select(F.col("src").alias("at")).distinct()
+        parted = left.join(sources.hint("merge"), F.col("dst") == F.col("at"), "left").select("src", "dst", F.col("at").isNull().alias("goes"))
+        parted = staged(parted, "dom-round", by="goes")
+        rounds.append(parted)
+        sizes = dict(parted.groupBy("goes").count().collect())
+        left = parted.where("not goes").select("src", "dst")
+        if not sizes.get(True):
+            break
+        layers.append(parted.where("goes").select("src", "dst"))
+        if not sizes.get(False):
+            break
+        # what peels by a few objects a round is long lists: the core does them at once, if it may hold them
+        slow = slow + 1 if sizes[True] * 1000 < sizes[False] + 1000 else 0
+        if slow == 3 and sizes[False] <= MAX_CORE:
             break
-        layers.append(layer)
-        following = staged(left.join(sinks, "dst", "left_anti"), "dom-left")
-        if left is not every:
-            unstage(left)
-        left = following
     done = [starts.select("object_id", F.array("object_id").alias("path"))]
-    if not left.isEmpty():
+    core = left.count()
+    if core:
+        if core > MAX_CORE:
+            raise MemoryError(f"{core} references on cycles or lists deeper than {peels}: more than the {MAX_CORE} that one task may hold")
         done = [staged(core_paths(left, starts, max_depth), "dom-core")]
         if not done[0].where(F.col("object_id") == TOP).isEmpty():
-            unstage(every, left, *done, *layers)
+            unstage(starts, *done, *rounds)
             return None
     for layer in reversed(layers):
         known = reduce(DataFrame.unionAll, done).select(F.col("object_id").alias("src"), "path")
@@ -59,7 +68,7 @@ def dominator_paths(edges: DataFrame, roots: DataFrame, peels: int = PEELS, max_
         same = F.coalesce(F.get(unequal, F.lit(0)), short)
         common = F.slice("a", F.lit(1), same)
         done.append(staged(ends.select(F.col("dst").alias("object_id"), F.concat(common, F.array("dst")).alias("path")), "dom-paths"))
-    unstage(every, *layers)
+    unstage(*rounds)
     return reduce(DataFrame.unionAll, done)
 
 
@@ -131,7 +140,7 @@ def immediate_dominators(src, dst, starts, n: int) -> list[tuple[int, int]]:
     bucket: list[list[int]] = [[] for _ in range(m)]
 
     def lowest(v: int) -> int:
-        """The vertex of least semi-dominator on the path above v, halving the path on the way."""
+        """The vertex of least semi-dominator on the path above v, compressing the path on the way."""
         if ancestor[v] < 0:
             return v
         trail = []
@@ -225,6 +234,9 @@ def deep_dominators(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> D
             yield pa.RecordBatch.from_arrays(columns, names=["object_id", "idom", "depth", "path", "pre", "last", "retained"])
 
     zero = F.lit(0).cast("bigint")
+    n = edges.count()
+    if n > MAX_CORE:
+        raise MemoryError(f"a dominator tree deeper than {MAX_DEPTH} of a graph with {n} references: more than the {MAX_CORE} that one task may hold")
     lines = edges.where("src <> dst").select("src", "dst", zero.alias("size")).distinct()
     lines = lines.unionAll(roots.select(F.lit(TOP).cast("bigint"), "object_id", zero)).unionAll(objects.select(F.lit(SIZE).cast("bigint"), "object_id", "used_size"))
     return lines.repartition(1).mapInArrow(run, "object_id long, idom long, depth int, path array<bigint>, pre long, last long, retained long")

@@ -66,13 +66,58 @@ def deep_search(edges: DataFrame, known: DataFrame, frontier: DataFrame) -> Data
     return at.repartition(1).mapInArrow(run, "object_id long, distance int")
 
 
+def reached(edges: DataFrame, starts: DataFrame, rounds: int = 12) -> DataFrame:
+    """object_id of everything reachable. edges: src, dst, each once. After some rounds of search the rest is contracted: an object
+    that one other refers to is reached just when that one is, so trees and lists, however deep, shrink to their tops by doubling pointers;
+    only objects with several referrers are searched on."""
+    first = starts.select("object_id").distinct()
+    known = [staged(first, "reach")]
+    for _ in range(rounds):
+        frontier = known[-1].select(F.col("object_id").alias("src"))
+        found = edges.select("src", F.col("dst").alias("object_id")).join(frontier, "src", "left_semi").select("object_id").distinct()
+        following = staged(found.join(reduce(DataFrame.unionAll, known), "object_id", "left_anti"), "reach")
+        if following.isEmpty():
+            unstage(following)
+            return reduce(DataFrame.unionAll, known)
+        known.append(following)
+    seen = reduce(DataFrame.unionAll, known)
+    fresh = edges.select("src", "dst").join(seen.select(F.col("object_id").alias("dst")), "dst", "left_anti")
+    behind = staged(fresh.join(known[-1].select(F.col("object_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("object_id")).distinct(), "reach-behind")
+    among = staged(fresh.where("src <> dst").join(seen.select(F.col("object_id").alias("src")), "src", "left_anti").select("src", "dst"), "reach-among")
+    referrers = among.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("up"))
+    hung = referrers.where("n = 1").join(behind.select(F.col("object_id").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("object_id"), "up")
+    tops = doubled(staged(hung, "reach-hung"))
+    ups = tops.select(F.col("object_id").alias("src"), "up")
+    several = among.join(tops.select(F.col("object_id").alias("dst")), "dst", "left_anti")
+    short = staged(several.join(ups, "src", "left").select(F.coalesce("up", "src").alias("src"), "dst").distinct(), "reach-short")
+    there = staged(search(short, behind).select("object_id"), "reach-there")
+    held = tops.join(there.select(F.col("object_id").alias("up")), "up", "left_semi").select("object_id")
+    return seen.unionAll(there).unionAll(staged(held, "reach-held"))
+
+
+def doubled(pointers: DataFrame) -> DataFrame:
+    """object_id, up: the top that each object's pointers lead to, an object without a pointer. Objects on rings of pointers have none and no row.
+    pointers: object_id, up (staged)."""
+    now, rings_left = pointers, None
+    steps = max(1, pointers.count().bit_length() + 1)
+    for _ in range(steps):
+        further = now.select(F.col("object_id").alias("up"), F.col("up").alias("further"))
+        joined = now.select("object_id", "up").join(further.hint("merge"), "up", "left")
+        following = staged(joined.select("object_id", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("open")), "reach-doubled")
+        unstage(now)
+        now, rings_left = following, following.where("open")
+        if rings_left.isEmpty():
+            break
+    return now.where("not open").select("object_id", "up")
+
+
 def usable_roots(roots: DataFrame) -> DataFrame:
     """Ids to mark from: known objects, and no thread's locals, which their thread holds."""
     return roots.where("object_id >= 0 and thread_address = 0").select("object_id").distinct()
 
 
 def marked(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    return search(edges, usable_roots(roots)).select("object_id")
+    return reached(edges, usable_roots(roots))
 
 
 def compacted(objects: DataFrame, edges: DataFrame, reachable: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -113,7 +158,7 @@ def artificial_roots(objects: DataFrame, edges: DataFrame, reachable: DataFrame)
     among = edges.select("src", "dst").where("src <> dst").distinct().join(lost.select(F.col("object_id").alias("src")), "src", "left_semi")
     among = staged(among.join(lost.select(F.col("object_id").alias("dst")), "dst", "left_semi"), "lost-edges")
     free = staged(lost.join(among.select(F.col("dst").alias("object_id")), "object_id", "left_anti"), "free")
-    held = search(among, free).select("object_id")
+    held = reached(among, free)
     rest = staged(lost.join(held, "object_id", "left_anti"), "residue")
     # counts of references cover all unreachable referrers, those reached meanwhile too
     count = among.join(rest.select(F.col("object_id").alias("dst")), "dst", "left_semi").groupBy("dst").agg(F.least(F.count("*"), F.lit(255)).alias("n"))

@@ -173,3 +173,34 @@ def test_comparison_and_estimate(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "x long"), spark.createDataFrame([(1,), (3,)], "x long")
     assert sorted((r["x"], r["side"]) for r in aggregates.differences(a, b).collect()) == [(1, "a"), (2, "a"), (3, "b")]
     assert aggregates.estimate(1000, 2000, 10)["memory"] == int(44_000 * 1.35)
+
+
+def test_reached_equals_search_on_lists_rings_and_random_graphs(spark):
+    rng = random.Random(5)
+    pairs, starts = [], [0, 5000, 9000]
+    pairs += [(i, i + 1) for i in range(300)] + [(300, 400), (400, 401), (401, 400), (150, 400)]  # a list and a ring behind it
+    pairs += [(600 + i, 600 + (i + 1) % 50) for i in range(50)]  # a ring that nothing refers to
+    pairs += [(5000 + i, 5001 + i) for i in range(120)] + [(5001 + i, 5000 + i) for i in range(120)]  # a list linked both ways
+    pairs += [(9000 + rng.randrange(200), 9000 + rng.randrange(200)) for _ in range(330)]
+    pairs = sorted(set(pairs))
+    _, table = heap_of(spark, 1, pairs)
+    roots = spark.createDataFrame([(s,) for s in starts], "object_id long")
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    seen, stack = set(starts), list(starts)
+    while stack:
+        for t in out.get(stack.pop(), ()):
+            if t not in seen:
+                seen.add(t)
+                stack.append(t)
+    for rounds in (2, 5):
+        got = [r["object_id"] for r in reach.reached(table.select("src", "dst"), roots, rounds).collect()]
+        assert len(got) == len(set(got)) and set(got) == seen
+
+
+def test_a_core_beyond_memory_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(dominators, "MAX_CORE", 5)
+    objects, table = heap_of(spark, 9, [(0, 1), *[(i, i % 8 + 1) for i in range(1, 9)], (0, 4)])
+    with pytest.raises(MemoryError):
+        dominators.dominator_table(objects, table, objects.where("object_id = 0").select("object_id"))
