@@ -117,7 +117,8 @@ def consumers(graph: Graph, percent: float = 1.0) -> DataFrame:
 
 def reference_statistics(graph: Graph, referents: DataFrame) -> DataFrame:
     """What reference objects point at (referents: src, dst), by class: name, n_objects, n_only, where n_only are those that nothing else reaches."""
-    strong = distances(graph, referents).select("object_id")
+    edges = graph.edges.select("src", "dst").join(referents.select("src", "dst"), ["src", "dst"], "left_anti")
+    strong = reach.reached(edges, reach.usable_roots(graph.roots))
     aimed = referents.select(F.col("dst").alias("object_id")).distinct()
     only = aimed.join(strong, "object_id", "left_anti").withColumn("only", F.lit(1))
     named = graph.objects.join(graph.classes.select(F.col("object_id").alias("class_id"), "name"), "class_id").select("object_id", "name")

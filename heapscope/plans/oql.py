@@ -292,15 +292,24 @@ class Lowering:
         fields = getattr(self.graph, "fields", None)
         if fields is None:
             raise OqlError("this heap has no field values")
+        if "hidden" in fields.columns:
+            fields = fields.where("not hidden")
         if name == "length" and fields.where(F.col("field") == name).isEmpty():
             return self.attribute(of, "@length")
         own = fields.where(F.col("field") == name)
         kinds = {r["kind"] for r in own.select("kind").distinct().collect()}
         if not kinds:
             raise OqlError(f"no object has a field {name}")
+        if len(kinds) > 1:  # classes declare the name with several types: what counts is the objects that the path leads to
+            here = self.df.select(of.column.alias("object_id")).where("object_id is not null").distinct()
+            own = own.join(here, "object_id", "left_semi")
+            kinds = {r["kind"] for r in own.select("kind").distinct().collect()} or {"object"}
         if kinds == {"object"}:
             return Value(self.attach(of.column, own, "object_id", "ref_id"), "object")
-        column = {"integer": "i", "real": "f", "boolean": "b"}.get(next(iter(kinds)), "text") if len(kinds) == 1 else "text"
+        if len(kinds) > 1:  # still several: their values as text
+            own = own.withColumn("text", F.coalesce("text", *(F.col(c).cast("string") for c in ("i", "f", "b", "ref_id"))))
+            return Value(self.attach(of.column, own, "object_id", "text"))
+        column = {"integer": "i", "real": "f", "boolean": "b"}.get(next(iter(kinds)), "text")
         return Value(self.attach(of.column, own, "object_id", column))
 
     def value(self, node: Node) -> Value:

@@ -3,6 +3,8 @@ the results relationally: recursive queries for reachability, counts of distinct
 
 from __future__ import annotations
 
+from . import dump_queries
+
 K = 1 << 40
 
 #: number, name, superclass, loader: the class table of the relational heap (fixed values).
@@ -162,3 +164,5 @@ ORACLE |= {
     "snapshot_counts": sql(LIVE, """SELECT 'objects' AS name, count(*) AS n FROM n UNION ALL SELECT 'classes', count(*) FROM cls JOIN n USING (address) UNION ALL SELECT 'roots', count(DISTINCT address) FROM rts
         UNION ALL SELECT 'references', (SELECT count(*) FROM n) + (SELECT count(*) FROM held h JOIN n s ON s.address=h.s JOIN n t ON t.address=h.d)"""),
 }
+
+ORACLE |= dump_queries.oracle_sql()

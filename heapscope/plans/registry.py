@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.staging import staged
 from ..operators import aggregates, asof, dominators, edges, ids, layout, reach
 from ..sources import tables
-from . import commands, oql
+from . import commands, dump_queries, oql
 from .graph import Graph
 
 _graphs: dict[tuple, Graph] = {}
@@ -32,9 +32,16 @@ class TableGraph(Graph):
         return staged(values.join(target, "ref_address", "left").select("object_id", "field", "kind", "i", "f", "b", "text", "ref_id"), "table-fields")
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> int:
+    """Changes when a file of the folder does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return hash(tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files)))
+
+
 def graph(spark: SparkSession, sf_dir: str, keep_unreachable: bool = False) -> Graph:
-    """The graph of a folder's tables; queries of one session share its staged tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, keep_unreachable)
+    """The graph of a folder's tables; queries of one session share its staged tables as long as the folder does not change."""
+    key = (spark.sparkContext.applicationId, sf_dir, keep_unreachable, stamp(spark, sf_dir))
     if key not in _graphs:
         _graphs[key] = TableGraph(spark, sf_dir, keep_unreachable)
     return _graphs[key]
@@ -292,7 +299,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name, text in oql.REGISTERED.items():
         out[name] = lambda spark, sf_dir, text=text: oql.run(graph(spark, sf_dir), text)
-    return out
+    return out | dump_queries.queries()
 
 
 def _paths_of_class(g: Graph, name: str) -> DataFrame:

@@ -18,6 +18,7 @@ from .graph import Graph
 from .ingest import Dump, strings_of
 
 KINDS = {2: "object", 4: "boolean", 5: "char", 6: "real", 7: "real", 8: "integer", 9: "integer", 10: "integer", 11: "integer"}
+DEFAULTS = {"object": None, "boolean": False, "char": 0, "real": 0.0, "integer": 0}
 CODES = {4: ">?", 5: ">H", 6: ">f", 7: ">d", 8: ">b", 9: ">h", 10: ">i", 11: ">q"}
 NUMPY = {4: "?", 5: ">u2", 6: ">f4", 7: ">f8", 8: "i1", 9: ">i2", 10: ">i4", 11: ">i8"}
 
@@ -30,30 +31,31 @@ def decode(data: bytes, at: int, kind: int, id_size: int):
 
 def field_values(dump: Dump) -> DataFrame:
     """address, class_address (that declares the field), field, kind, i, f, b, text, ref_address: a row for each field of each instance; characters are
-    code units in `i` and, where one stands alone, in `text`. Fields that the data do not reach have no row."""
+    code units in `i` and, where one stands alone, in `text`. Fields that the data do not reach have their type's default: no object, 0, false.
+    A field is hidden if a class below its own declares one of its name."""
     layouts = {a: dump.layout_of(a) for a in dump.classes}
     id_size = dump.header.id_size
 
     def run(batches):
-        names = ["address", "class_address", "field", "kind", "i", "f", "b", "text", "ref_address"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.int64()]
+        names = ["address", "class_address", "field", "kind", "i", "f", "b", "text", "ref_address", "hidden"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.int64(), pa.bool_()]
         for batch in batches:
             rows: list[tuple] = []
             for address, of, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seen: set[str] = set()
                 for owner, name, kind, at in layouts.get(of, ()):
                     size = id_size if kind == H.OBJECT else layout.TYPE_BYTES[kind]
-                    if at + size > len(data or b""):
-                        continue
-                    v = decode(data, at, kind, id_size)
                     label = KINDS[kind]
+                    v = decode(data, at, kind, id_size) if at + size <= len(data or b"") else DEFAULTS[label]
                     char = chr(v) if label == "char" and not 0xD800 <= v < 0xE000 else None
-                    rows.append((address, owner, name, label, v if label in ("integer", "char") else None, v if label == "real" else None, v if label == "boolean" else None, char, v if label == "object" else None))
+                    rows.append((address, owner, name, label, v if label in ("integer", "char") else None, v if label == "real" else None, v if label == "boolean" else None, char, v if label == "object" else None, name in seen))
+                    seen.add(name)
             for low in range(0, len(rows), 50_000):
                 part = list(zip(*rows[low : low + 50_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types, strict=True)], names=names)
 
     bodies = first_records(dump.records.where(F.col("tag") == H.INSTANCE).select(F.col("id").alias("address"), "pos", "ref", "data"))
-    return bodies.select("address", "ref", "data").mapInArrow(run, "address long, class_address long, field string, kind string, i long, f double, b boolean, text string, ref_address long")
+    return bodies.select("address", "ref", "data").mapInArrow(run, "address long, class_address long, field string, kind string, i long, f double, b boolean, text string, ref_address long, hidden boolean")
 
 
 def array_bodies(dump: Dump) -> DataFrame:
@@ -63,21 +65,26 @@ def array_bodies(dump: Dump) -> DataFrame:
 
 
 def elements(arrays: DataFrame, first: int, count: int) -> DataFrame:
-    """A slice of each array: address, values (numbers as doubles; null elements of object arrays null), from `first` on."""
+    """A slice of each array from `first` on: address, kind, and of the columns integers, reals, flags and refs (addresses, null for no object) the one
+    of the kind; characters are code units among the integers."""
 
     def run(batches):
         import numpy as np
 
         for batch in batches:
-            out = []
+            out: dict[str, list] = {"integers": [], "reals": [], "flags": [], "refs": []}
             for kind, data, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if kind == H.OBJECT:
-                    out.append([float(x) if x else None for x in (ids or [])[first : first + count]])
+                    column, values = "refs", [x or None for x in (ids or [])[first : first + count]]
                 else:
-                    out.append(np.frombuffer(data or b"", NUMPY[kind])[first : first + count].astype(float).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["address", "values"])
+                    column = {"real": "reals", "boolean": "flags"}.get(KINDS[kind], "integers")
+                    values = np.frombuffer(data or b"", NUMPY[kind])[first : first + count].tolist()
+                for name, rows in out.items():
+                    rows.append(values if name == column else None)
+            types = {"integers": pa.int64(), "reals": pa.float64(), "flags": pa.bool_(), "refs": pa.int64()}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows, pa.list_(types[name])) for name, rows in out.items())], names=["address", "kind", *out])
 
-    return arrays.select("address", "kind", "data", "ids").mapInArrow(run, "address long, values array<double>")
+    return arrays.select("address", "kind", "data", "ids").mapInArrow(run, "address long, kind int, integers array<bigint>, reals array<double>, flags array<boolean>, refs array<bigint>")
 
 
 def java_strings(dump: Dump, fields: DataFrame) -> DataFrame:
@@ -107,7 +114,7 @@ def with_values(dump: Dump, graph: Graph) -> Graph:
     here = graph.objects.select("address", "object_id")
     target = here.select(F.col("address").alias("ref_address"), F.col("object_id").alias("ref_id"))
     values = staged(field_values(dump), "field-values")
-    graph.fields = staged(values.join(here, "address").join(target, "ref_address", "left").select("object_id", "field", "kind", "i", "f", "b", "text", "ref_id"), "fields")
+    graph.fields = staged(values.join(here, "address").join(target, "ref_address", "left").select("object_id", "class_address", "field", "kind", "i", "f", "b", "text", "ref_id", "hidden"), "fields")
     graph.strings = staged(java_strings(dump, values).join(here, "address").select("object_id", "value"), "strings")
     graph.lengths = staged(array_bodies(dump).join(here, "address").select("object_id", F.col("length").cast("bigint").alias("length")), "lengths")
     return graph
@@ -138,10 +145,32 @@ def reference_statistics(graph: Graph, kind: str) -> DataFrame:
     return commands.reference_statistics(graph, referents(graph, kind))
 
 
+def declared(graph: Graph, field: str, owner: str) -> DataFrame:
+    """object_id, ref_id of a field as declared by one class; a subclass may declare another of that name."""
+    owners = graph.raw.classes.where(F.col("name") == owner).select(F.col("address").alias("class_address"))
+    return graph.fields.where(F.col("field") == field).join(F.broadcast(owners), "class_address", "left_semi").select("object_id", "ref_id")
+
+
+def finalizers(graph: Graph) -> DataFrame:
+    """object_id, referent, queued of java.lang.ref.Finalizer objects. The queue is linked by the `next` that Reference declares; the finalizers' own
+    `next` links all of them, finalized or not."""
+    own = commands.of_class(graph, "java.lang.ref.Finalizer", subclasses=True).select("object_id")
+    referent = declared(graph, "referent", "java.lang.ref.Reference").withColumnRenamed("ref_id", "referent")
+    queue = declared(graph, "next", "java.lang.ref.Reference").select("object_id", F.col("ref_id").isNotNull().alias("queued"))
+    return own.join(referent, "object_id", "left").join(queue, "object_id", "left").select("object_id", "referent", F.coalesce("queued", F.lit(False)).alias("queued"))
+
+
 def finalizer_queue(graph: Graph) -> DataFrame:
-    """object_id of objects whose java.lang.ref.Finalizer waits in the queue: a finalizer that is chained by `next`."""
-    waiting = typed_view(graph, "java.lang.ref.Finalizer", ["referent", "next"], False)
-    return waiting.where("next is not null and referent is not null").select(F.col("referent").alias("object_id")).distinct()
+    """object_id of objects whose finalizer waits in the queue."""
+    return finalizers(graph).where("queued and referent is not null").select(F.col("referent").alias("object_id")).distinct()
+
+
+def array_fill_ratios(dump: Dump, buckets: int = 5) -> DataFrame:
+    """bucket (0 empty to buckets - 1 full), n_objects, n_elements of object arrays by the share of elements that refer to something."""
+    arrays = array_bodies(dump).where(F.col("kind") == H.OBJECT).where("length > 0")
+    used = F.size(F.filter("ids", lambda x: x != 0))
+    bucket = F.least(F.lit(buckets - 1), F.floor(used * buckets / F.col("length"))).cast("int")
+    return arrays.select(bucket.alias("bucket"), used.alias("used")).groupBy("bucket").agg(F.count("*").alias("n_objects"), F.sum("used").cast("bigint").alias("n_elements"))
 
 
 def map_entries(graph: Graph, map_class: str = "java.util.HashMap", node_class: str = "java.util.HashMap$Node") -> DataFrame:

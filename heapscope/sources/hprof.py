@@ -5,7 +5,8 @@
 
 One row a record or heap sub-record, in any order; `pos` is the offset of its tag byte. The record headers are read once on the driver (bodies are skipped), and each heap
 segment and each run of other records is a partition. Option `payload` (default true): whether instance and array contents are
-read. Paths are opened by every task, so they lie on storage that all executors share.
+read. Paths are opened by every task, so they lie on storage that all executors share: a mounted folder, or a URI of a file system that Arrow
+knows (hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -73,6 +74,18 @@ def read_header(f) -> Header:
     return Header(version.decode("utf-8", "replace"), id_size, created, len(version) + 13)
 
 
+def opened(path: str, mode: str = "rb"):
+    """A local path, a file: URI or a URI of one of Arrow's file systems, opened to read by position or to write."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" in path:
+        from pyarrow import fs
+
+        store, inside = fs.FileSystem.from_uri(path)
+        return store.open_output_stream(inside) if "w" in mode else store.open_input_file(inside)
+    return open(path, mode, buffering=1 << 20)
+
+
 def checked_path(path: str) -> str:
     if path.endswith(".gz"):
         raise HprofError("compressed heap dumps cannot be read by position; decompress it first")
@@ -89,8 +102,9 @@ class Segment(InputPartition):
 def segments(path: str) -> tuple[Header, list[Segment]]:
     """The partitions of a file, from its record headers alone."""
     out: list[Segment] = []
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    with opened(path) as f:
+        size = f.seek(0, os.SEEK_END)
+        f.seek(0)
         header = read_header(f)
         at, run = header.length, None
         while at + 9 <= size:
@@ -253,7 +267,7 @@ class HprofReader(DataSourceReader):
         return segments(self.path)[1] or [Segment(0, 0, False)]
 
     def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
-        with open(self.path, "rb", buffering=1 << 20) as f:
+        with opened(self.path) as f:
             header = read_header(f)
             cursor = Cursor(f, partition.start, partition.end, header.id_size)
             rows, held = [], 0
