@@ -4,8 +4,8 @@ Method: words are assigned to classes by exchange clustering: a word is taken ou
 likelihood of the class bigrams. The CORE most frequent words are exchanged one by one until nothing moves, with all rarer words as one
 class beside them; that gives the first classes. Then follow ROUNDS rounds in which every word of the training texts, of whatever count,
 proposes its own best move from its counts with its neighbours' classes, which the executors aggregate by word; the moves of a round are
-made at once, from the same class bigrams. In the first round only the rarer words move. Of the rounds' assignments the likeliest is
-kept. The text's end is a class by itself.
+made at once, from the same class bigrams. In the first round only the words outside the core move, in the later ones all words met more
+than once. Of the rounds' assignments the likeliest is kept. The text's end is a class by itself.
 
 A token's probability is P(its class | class before) * P(word | its class). Transitions are smoothed towards the classes' own shares (PRIOR
 pseudo-counts); in a class each word gives up a discount, which is the probability of the class's unseen words. There are U unseen words
@@ -32,7 +32,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +39,11 @@ from pyspark.sql import functions as F
 from .common import Sink, map_arrow, staged, table, unstage
 
 CORE = 768
-CLASSES = 128
+CLASSES = 64
 SWEEPS = 10
-ROUNDS = 2
+ROUNDS = 1
 PRIOR = 20.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Entries of words' classes that a task holds before it gives them on by block; most partitions that blocks are dealt to.
 HELD, MOST_PARTS = 1 << 20, 1 << 15
 #: Stands for the class of an unseen word in a text's classes.
@@ -71,13 +70,21 @@ def likelihood(pair: np.ndarray) -> float:
 BLOCKS = "part int, seq int, words array<binary>, n array<int>, doc_ids array<bigint>, held array<boolean>, sizes array<int>, ids binary"
 
 
+class Index(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def blocks_of(source: DataFrame) -> DataFrame:
     """source: doc_id, held_out, text. A written table of blocks: block (a number from 0), words (distinct), n (their counts in the block's training
     texts), doc_ids, held, sizes (words of each text), ids (places in words, of one text after the other)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        index, doc_ids, held, rows, held_bytes = {}, [], [], [], 0
+        index, doc_ids, held, rows, held_bytes = Index(), [], [], [], 0
 
         def made() -> pa.RecordBatch:
             sizes = np.array([len(r) for r in rows], np.int32)
@@ -90,14 +97,13 @@ def blocks_of(source: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = split_words(text)
-                put = index.setdefault
                 doc_ids.append(doc_id)
                 held.append(out)
-                rows.append(np.array([put(w, len(index)) for w in words], np.int32))
+                rows.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
                 held_bytes += 16 + (len(text) if text else 0)
                 if held_bytes >= BLOCK_BYTES:
                     yield made()
-                    index, doc_ids, held, rows, held_bytes, seq = {}, [], [], [], 0, seq + 1
+                    index, doc_ids, held, rows, held_bytes, seq = Index(), [], [], [], 0, seq + 1
         if doc_ids:
             yield made()
 
@@ -217,11 +223,12 @@ def best_classes(pair: np.ndarray, old: np.ndarray, after: np.ndarray, before: n
 
     def sums(table, counts):  # over d, of grown(table[:, d], counts[d])
         word, d = np.nonzero(counts)
-        keys, place = np.unique(np.stack((d, counts[word, d].astype(np.int64))), axis=1, return_inverse=True)
-        gains = grown(table[:, keys[0]].T, keys[1][:, None].astype(float))
+        n = counts[word, d].astype(np.int64)
+        keys, place = np.unique(d + classes * n, return_inverse=True)
+        gains = grown(table[:, keys % classes].T, (keys // classes)[:, None].astype(float))
         out = np.zeros((len(counts), classes))
         starts = np.nonzero(np.diff(word, prepend=-1))[0]
-        out[word[starts]] = np.add.reduceat(gains[place.ravel()], starts, axis=0) if len(starts) else 0
+        out[word[starts]] = np.add.reduceat(gains[place], starts, axis=0) if len(starts) else 0
         return out
 
     gain = sums(pair, after) + sums(pair.T, before)
@@ -245,76 +252,146 @@ def best_classes(pair: np.ndarray, old: np.ndarray, after: np.ndarray, before: n
     return np.where(gain[g, new] <= stay + 1e-9 * np.maximum(1.0, np.abs(stay)), old, new)
 
 
-NEIGHBOURS = "word binary, class int, code int, n long"
-
-
-def neighbours(words: pa.Array, kind: np.ndarray, texts: np.ndarray, movable: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
-    """Of one block: word, class, code, n, how often a word has a neighbour of a class. Codes: the class of the word that follows,
-    classes + the class of the one before, 2 * classes for the word itself as its own follower. Rows without a word are the class bigrams.
-    kind: classes by place in words, the end's last; texts: places, ends among them; movable: which places are wanted."""
-    width, end = 2 * classes + 1, len(kind) - 1
-    texts = np.r_[end, texts]
-    of = kind[texts]
-    pairs = np.bincount(of[:-1] * classes + of[1:], minlength=classes * classes)
-    at = np.nonzero(pairs)[0]
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(pairs[at])], names=["word", "class", "code", "n"])
-    at = np.nonzero(movable[texts])[0]  # never the first, which is an end, nor the last
-    ids = texts[at]
-    repeats, again = texts[at + 1] == ids, texts[at - 1] == ids
-    after = np.where(repeats, 2 * classes, of[at + 1])
-    found, n = np.unique(np.concatenate((ids * width + after, ids[~again] * width + classes + of[at[~again] - 1])), return_counts=True)
-    for low in range(0, len(found), 1 << 16):
-        part = found[low : low + (1 << 16)]
-        place = part // width
-        yield pa.RecordBatch.from_arrays([words.take(pa.array(place)), pa.array(kind[place].astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(n[low : low + (1 << 16)])], names=["word", "class", "code", "n"])
+NEIGHBOURS = "word binary, class int, counts binary"
+COUNTED = np.dtype([("code", "<u2"), ("n", "<u4")])
+
+
+class Neighbours:
+    """How often words have neighbours of a class, block by block, as rows word, class, counts. counts: pairs of a code and a number, ascending by
+    code: the class of the word that follows, classes + the class of the one before, 2 * classes for the word itself as its own follower. A word
+    has a row a block, but the core words, which every block has, a row a task. A row without a word is the class bigrams (numbers only)."""
+
+    def __init__(self, classes: int, core: list[bytes]):
+        self.classes, self.width = classes, 2 * classes + 1
+        self.core, self.place = pa.array(core, pa.binary()), {w: i for i, w in enumerate(core)}
+        self.core_class = np.zeros(len(core), np.int64)
+        self.core_counts = np.zeros((len(core), self.width), np.int64)
+        self.pairs = np.zeros(classes * classes, np.int64)
+
+    def block(self, words: pa.Array, in_core: np.ndarray, kind: np.ndarray, texts: np.ndarray, movable: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """in_core: each word's place in the core or -1; kind: classes by place in words, the end's last; texts: places, ends among them; movable:
+        which places are wanted."""
+        classes, width, end = self.classes, self.width, len(kind) - 1
+        texts = np.r_[end, texts]
+        of = kind[texts]
+        self.pairs += np.bincount(of[:-1] * classes + of[1:], minlength=classes * classes)
+        at = np.nonzero(movable[texts])[0]  # never the first, which is an end, nor the last
+        found = texts[at]
+        repeats, again = texts[at + 1] == found, texts[at - 1] == found
+        after = np.where(repeats, 2 * classes, of[at + 1])
+        found, n = np.unique(np.concatenate((found * width + after, found[~again] * width + classes + of[at[~again] - 1])), return_counts=True)
+        place, code = found // width, found % width
+        frequent = in_core[place]
+        here = frequent >= 0
+        np.add.at(self.core_counts, (frequent[here], code[here]), n[here])
+        self.core_class[frequent[here]] = kind[place[here]]
+        place, pairs = place[~here], np.empty(int((~here).sum()), COUNTED)
+        pairs["code"], pairs["n"] = code[~here], n[~here]
+        starts = np.r_[np.nonzero(np.diff(place, prepend=-1))[0], len(place)]
+        yield from self.rows(words, place[starts[:-1]], kind[place[starts[:-1]]], pairs, starts)
+
+    def rows(self, words: pa.Array, place: np.ndarray, kind: np.ndarray, pairs: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        raw, offsets = pa.py_buffer(pairs.tobytes()), (starts * COUNTED.itemsize).astype(np.int32)
+        counts = pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets.tobytes()), raw])
+        for low in range(0, len(place), 1 << 16):
+            some = slice(low, low + (1 << 16))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(place[some])), pa.array(kind[some].astype(np.int32)), counts.slice(low, 1 << 16)], names=["word", "class", "counts"])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        word, code = np.nonzero(self.core_counts)
+        pairs = np.empty(len(word), COUNTED)
+        pairs["code"], pairs["n"] = code, self.core_counts[word, code]
+        starts = np.r_[np.nonzero(np.diff(word, prepend=-1))[0], len(word)]
+        place = word[starts[:-1]]
+        yield from self.rows(self.core, place, self.core_class[place], pairs, starts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([self.pairs.astype("<i8").tobytes()], pa.binary())], names=["word", "class", "counts"])
 
 
 def first_neighbours(blocks: DataFrame, core: list[bytes], label: np.ndarray, classes: int) -> DataFrame:
-    """neighbours() of the words outside the core, all of them in the last class."""
+    """Neighbours of the words outside the core, all of them in the last class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = {w: int(label[i + 1]) for i, w in enumerate(core)}.get
+        get, counted = {w: int(label[i + 1]) for i, w in enumerate(core)}.get, Neighbours(classes, [])
         for batch in batches:
             for words, held, sizes, ids in zip(*batch.columns, strict=True):
                 found = np.array([*(get(w, -1) for w in words.values.to_pylist()), 0], np.int64)
                 texts = sequence(np.frombuffer(ids.as_py(), "<i4"), sizes.values.to_numpy(), ~np.array(held.as_py(), bool), len(found) - 1)
-                yield from neighbours(words.values, np.where(found < 0, classes - 1, found), texts, found < 0, classes)
+                yield from counted.block(words.values, np.full(len(found), -1), np.where(found < 0, classes - 1, found), texts, found < 0)
+        yield from counted.end()
 
     return map_arrow(blocks.select("words", "held", "sizes", "ids"), run, NEIGHBOURS)
 
 
+#: Counts whose best move a task remembers: most words are rare and many of them have the same few neighbours.
+REMEMBERED = 500_000
+
+
 def moved(counted: DataFrame, classes: int) -> tuple[DataFrame, np.ndarray]:
-    """word, n, class after each word's best move, and the class bigrams before. counted: neighbours(), aggregated and staged."""
-    pair = np.zeros(classes * classes)
-    for r in counted.where("word is null").select("code", "n").collect():  # at most classes squared
-        pair[r["code"]] = r["n"]
-    pair = pair.reshape(classes, classes)
+    """word, n, class after each word's best move, and the class bigrams before. counted: rows of Neighbours, staged."""
+    pair = np.zeros(classes * classes, np.int64)
+    for r in counted.where("word is null").select("counts").toLocalIterator():  # one row a task
+        pair += np.frombuffer(r["counts"], "<i8")
+    pair = pair.reshape(classes, classes).astype(np.float64)
     width = 2 * classes + 1
 
-    def chosen(words: pa.Array, old: np.ndarray, group: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        counts = np.bincount(group * width + code, weights=n, minlength=len(words) * width).reshape(-1, width)
-        after, before, own = counts[:, :classes], counts[:, classes:-1], counts[:, -1]
-        new = best_classes(pair, old, after, before, own)
-        return pa.RecordBatch.from_arrays([words, pa.array((before.sum(1) + own).astype(np.int64)), pa.array(new.astype(np.int32))], names=["word", "n", "class"])
+    def best(old: list[int], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Class and number of each word."""
+        new, total = [], []
+        for low in range(0, len(old), 2048):
+            part = counts[low : low + 2048]
+            group = np.repeat(np.arange(len(part)), [len(c) // COUNTED.itemsize for c in part])
+            pairs = np.frombuffer(b"".join(part), COUNTED)
+            dense = np.bincount(group * width + pairs["code"], weights=pairs["n"], minlength=len(part) * width).reshape(-1, width)
+            after, before, own = dense[:, :classes], dense[:, classes:-1], dense[:, -1]
+            new.append(best_classes(pair, np.array(old[low : low + 2048]), after, before, own))
+            total.append((before.sum(1) + own).astype(np.int64))
+        return np.concatenate(new), np.concatenate(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []  # rows of the last word, which may go on
+        known: dict[tuple[int, bytes], tuple[int, int]] = {}
+        word, kind, parts = None, 0, []
+        words, keys = [], []
+
+        def settled() -> pa.RecordBatch:
+            new = [k for k in dict.fromkeys(keys) if k not in known]
+            if new:
+                found = best([k[0] for k in new], [k[1] for k in new])
+                known.update(zip(new, zip(*(f.tolist() for f in found), strict=True), strict=True))
+            rows = [known[k] for k in keys]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32())], names=["word", "n", "class"])
+            words.clear()
+            keys.clear()
+            if len(known) > REMEMBERED:
+                known.clear()
+            return out
+
+        def joined() -> bytes:
+            if len(parts) == 1:
+                return parts[0]
+            pairs = np.frombuffer(b"".join(parts), COUNTED)
+            dense = np.bincount(pairs["code"], weights=pairs["n"], minlength=width)
+            out = np.empty(int((dense > 0).sum()), COUNTED)
+            out["code"], out["n"] = np.nonzero(dense)[0], dense[dense > 0]
+            return out.tobytes()
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
-            words = rows.column(0)
-            starts = np.r_[0, np.nonzero(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))[0] + 1]
-            last = int(starts[-1])
-            if last:
-                group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                yield chosen(words.take(pa.array(starts[:-1])), rows.column(1).to_numpy()[starts[:-1]], group, rows.column(2).to_numpy()[:last], rows.column(3).to_numpy()[:last])
-            rest = [rows.slice(last)]
-        if rest:
-            rows = rest[0]
-            yield chosen(rows.column(0)[:1].take(pa.array([0])), rows.column(1).to_numpy()[:1], np.zeros(rows.num_rows, np.int64), rows.column(2).to_numpy(), rows.column(3).to_numpy())
-
-    # a word has at most `width` rows by now
+            for w, c, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if w != word:
+                    if parts:
+                        words.append(word)
+                        keys.append((kind, joined()))
+                    word, kind, parts = w, c, []
+                parts.append(raw)
+                if len(parts) >= 64:
+                    parts = [joined()]
+            if len(keys) >= 20_000:
+                yield settled()
+        if parts:
+            words.append(word)
+            keys.append((kind, joined()))
+        if keys:
+            yield settled()
+
     met = counted.where("word is not null").repartition("word").sortWithinPartitions("word")
     return map_arrow(met, run, "word binary, n long, class int"), pair
 
@@ -382,14 +459,16 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             entries = []
 
 
-def next_neighbours(blocks: DataFrame, known: DataFrame, classes: int) -> DataFrame:
-    """neighbours() of all words with all words in their classes."""
+def next_neighbours(blocks: DataFrame, known: DataFrame, core: list[bytes], classes: int) -> DataFrame:
+    """Neighbours of all words met more than once, with all words in their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, kind, _, _, held, sizes, ids in each_block(batches):
-            movable = np.ones(len(kind), bool)
-            movable[-1] = False
-            yield from neighbours(words, kind, sequence(ids, sizes, ~held, len(kind) - 1), movable, classes)
+        counted = Neighbours(classes, core)
+        for words, kind, n, _, held, sizes, ids in each_block(batches):
+            movable = n > 1  # not the end, either
+            in_core = np.array([*(counted.place.get(w, -1) for w in words.to_pylist()), -1])
+            yield from counted.block(words, in_core, kind, sequence(ids, sizes, ~held, len(kind) - 1), movable)
+        yield from counted.end()
 
     return map_arrow(with_classes(blocks, known), run, NEIGHBOURS)
 
@@ -428,13 +507,15 @@ def clustered(blocks: DataFrame, vocabulary: DataFrame, core_words: int = CORE,
     of_core = F.broadcast(spark.createDataFrame([(w, int(label[i + 1])) for i, w in enumerate(core)], "word binary, class int"))  # at most CORE rows
     best: list[tuple[float, DataFrame]] = []
     for r in range(max(1, rounds)):
-        met = first_neighbours(blocks, core, label, classes) if not r else next_neighbours(blocks, best[0][1], classes)
-        counted = staged(met.groupBy("word", "class", "code").agg(F.sum("n").alias("n")), "brown-neighbours")
+        met = first_neighbours(blocks, core, label, classes) if not r else next_neighbours(blocks, best[0][1], core, classes)
+        counted = staged(met, "brown-neighbours")
         after, pair = moved(counted, classes)
         if r:
             best[0] = (likelihood(pair), best[0][1])
         else:
             after = vocabulary.join(of_core, "word").select("word", "n", "class").union(after)
+        if r:  # words met once stay where they are
+            after = after.union(best[0][1].where("n = 1").select("word", "n", "class"))
         known = staged(after, "brown-classes")
         unstage(counted)
         best = [(-math.inf, known), *sorted(best, key=lambda b: -b[0])]

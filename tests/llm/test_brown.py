@@ -51,7 +51,8 @@ def test_beats_the_baseline_on_held_out_texts_and_on_known_tokens(scored):
         assert r["known_score"] >= r["score"] - 1e-9 and (r["n_known"] < r["n_tokens"] or math.isclose(r["known_score"], r["score"]))
 
 
-def test_equals_a_plain_scorer(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_equals_a_plain_scorer(spark, monkeypatch, rounds):
     """Scores written again with dictionaries; runs of unseen words are summed over all assignments of classes."""
     monkeypatch.setattr(brown, "CLASSES", 5)
     monkeypatch.setattr(brown, "BLOCK_BYTES", 3000)
@@ -59,7 +60,7 @@ def test_equals_a_plain_scorer(spark, monkeypatch):
     rows = [(7 * i + 2 if i and i >= 900 else 7 * i if i is not None else None, t) for i, t in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     clustered = brown.clustered
-    monkeypatch.setattr(brown, "clustered", lambda b, v, c: clustered(b, v, 10, 5))
+    monkeypatch.setattr(brown, "clustered", lambda b, v, c: clustered(b, v, 10, 5, rounds))
     held = F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))
     texts, model, known = brown.class_model(df, held)
     kind = {bytes(r["word"]).decode(): (r["n"], r["class"]) for r in known.collect()}
@@ -206,9 +207,20 @@ def test_neighbours_of_a_block():
     kind = np.r_[rng.integers(1, 4, 9), 0]
     texts = np.concatenate([np.r_[rng.integers(0, 9, rng.integers(0, 12)), 9] for _ in range(40)])
     got = Counter()
-    for b in brown.neighbours(words, kind, texts, np.arange(10) < 9, 4):
-        for w, c, code, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            got[w, c, code] += n
+    counted = brown.Neighbours(4, [b"w3", b"w7"])
+    for _ in range(2):
+        in_core = np.array([0 if i == 3 else 1 if i == 7 else -1 for i in range(10)])
+        for b in counted.block(words, in_core, kind, texts, np.arange(10) < 9):
+            for w, c, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                for code, n in np.frombuffer(raw, brown.COUNTED).tolist():
+                    got[w, c, code] += n
+    for b in counted.end():
+        for w, c, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if w is None:
+                got.update({(None, None, i): int(n) for i, n in enumerate(np.frombuffer(raw, "<i8")) if n})
+            else:
+                assert w in (b"w3", b"w7")
+                got.update({(w, c, code): n for code, n in np.frombuffer(raw, brown.COUNTED).tolist()})
     want = Counter()
     for a, b in zip([9, *texts[:-1]], texts, strict=True):
         want[None, None, kind[a] * 4 + kind[b]] += 1
@@ -219,7 +231,7 @@ def test_neighbours_of_a_block():
             want[f"w{a}".encode(), kind[a], kind[b]] += 1
         if b != 9:
             want[f"w{b}".encode(), kind[b], 4 + kind[a]] += 1
-    assert got == want
+    assert got == Counter({k: 2 * n for k, n in want.items()})
 
 
 def test_very_long_text_and_other_columns(spark, monkeypatch):
