@@ -28,7 +28,7 @@ from .common import Sink, map_arrow
 SHORT = 48
 NO_RANK = np.int32(2**31 - 1)
 #: Words and pieces remembered by one Python worker; the memory is emptied when full.
-CACHE = 500_000
+CACHE = 250_000
 
 
 def byte_symbols() -> list[str]:

@@ -42,7 +42,7 @@ BANDS = BINS // ROWS
 #: Shingles of a block of members outside the centre's component, and visitors of a block in one task.
 BLOCK_SHINGLES, CHUNK_MEMBERS = 1 << 20, 1 << 11
 #: Distinct words of which a Python worker remembers the hash.
-CACHE = 500_000
+CACHE = 150_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

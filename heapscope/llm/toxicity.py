@@ -38,7 +38,7 @@ PREFIXES = (3, 4, 5, 6)
 L2, FAIRNESS = 0.1, 10.0
 THRESHOLD = 0.7
 #: Features that a task counts before it gives them on; words whose features a worker remembers.
-HELD = 300_000
+HELD = 150_000
 #: Groups of interchangeable identity terms, in the languages of the corpus. A parameter.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "transgender", "nonbinary"),
@@ -73,12 +73,16 @@ def features_of(words: set[str]) -> set[str]:
 class Model:
     intercept: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict)  # words met -> their features that have weights
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict)  # words met -> the numbers of their features that have weights
+    numbers: dict[str, int] = field(default_factory=dict)
+    values: list[float] = field(default_factory=list)
 
-    def features(self, word: str) -> tuple[str, ...]:
+    def features(self, word: str) -> tuple[int, ...]:
+        if len(self.numbers) != len(self.weights):
+            self.numbers, self.values = {f: i for i, f in enumerate(self.weights)}, list(self.weights.values())
         if len(self.known) > HELD:
             self.known.clear()
-        found = self.known[word] = tuple(f for f in features_of({word}) if f in self.weights)
+        found = self.known[word] = tuple([self.numbers[f] for f in features_of({word}) if f in self.numbers])
         return found
 
     def logit(self, text: str | None) -> float:
@@ -89,7 +93,7 @@ class Model:
                 f = self.features(w)
             if f:
                 found.update(f)
-        return self.intercept + math.fsum(self.weights[f] for f in found)
+        return self.intercept + math.fsum([self.values[i] for i in found])
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.logit(text)))))
@@ -139,8 +143,9 @@ def fit_weights(rows: list, y: np.ndarray, changes: list[tuple[list[int], list[i
         step, rest = np.zeros(n + 1), gradient.copy()
         eased = rest / scale
         way, size = eased.copy(), float(rest @ eased)
-        for _ in range(200):
-            if size <= 1e-20 * (1 + n):
+        enough = size * min(0.01, size)  # far from the minimum a rough step does
+        for _ in range(100):
+            if size <= enough or size <= 1e-24:
                 break
             image = x.back(curve * x.dot(way), n + 1) + ridge * way + d.back(heavy * d.dot(way), n + 1)
             length = size / float(way @ image)
