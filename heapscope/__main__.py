@@ -69,10 +69,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             try:
                 rows = oql.run(opened, text)
                 print("COLUMNS " + "\t".join(rows.columns))
-                found = rows.collect()
-                print(f"ROWS {len(found)}")
-                for row in found:
+                rows = rows.persist()  # counted, then streamed
+                print(f"ROWS {rows.count()}")
+                for row in rows.toLocalIterator():
                     print("\t".join("" if v is None else str(v) for v in row))
+                rows.unpersist()
             except Exception as e:  # noqa: BLE001  an error is a result of that query
                 print(f"ERROR {e}")
             print("END")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.staging import staged, unstage
+from .ids import numbered_within
 
 #: Rounds of peeling; what is deeper is left to the core.
 PEELS = 40
@@ -259,8 +260,8 @@ def below_another(dominators: DataFrame, members: DataFrame) -> DataFrame:
 
 def dominated_children(dominators: DataFrame) -> DataFrame:
     """idom, nr (from 0), object_id, retained: children by retained size descending, then id; idom -1 has the top level."""
-    order = Window.partitionBy("idom").orderBy(F.desc("retained"), "object_id")
-    return dominators.select("idom", (F.row_number().over(order) - 1).cast("bigint").alias("nr"), "object_id", "retained")
+    rows = dominators.select("idom", "object_id", "retained")
+    return numbered_within(rows, "idom", [F.desc("retained"), "object_id"], "nr", ["idom", "object_id", "retained"]).select("idom", "nr", "object_id", "retained")
 
 
 def retained_set(dominators: DataFrame, starts: DataFrame) -> DataFrame:

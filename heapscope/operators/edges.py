@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ids import numbered_within
+
 
 def resolved(refs: DataFrame, ids: DataFrame) -> DataFrame:
     """src, seq, dst by id. Null references (address 0 past the class) and references to absent objects go."""
@@ -37,8 +39,8 @@ def with_class_first(edges: DataFrame, objects: DataFrame) -> DataFrame:
 
 def inbound(edges: DataFrame) -> DataFrame:
     """dst, seq, src: who refers to an object; those whose first reference it is (its instances) before the others, each ascending."""
-    order = Window.partitionBy("dst").orderBy((F.col("seq") > 0).cast("int"), "src")
-    return edges.select("dst", (F.row_number().over(order) - 1).cast("bigint").alias("nr"), "src").withColumnRenamed("nr", "seq").select("dst", "seq", "src")
+    marked = edges.select("dst", "src", (F.col("seq") > 0).cast("int").alias("later"))
+    return numbered_within(marked, "dst", ["later", "src"], "seq", ["dst", "src"]).select("dst", "seq", "src")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

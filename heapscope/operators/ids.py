@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import staged
+from ..functions.staging import ship, staged
 
 
 def ranked(addresses: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -26,6 +26,47 @@ def ranked(addresses: DataFrame, partitions: int | None = None) -> DataFrame:
     return placed.join(table, "part").select("address", (F.col("before") + F.col("place")).alias("object_id"))
 
 
+def numbered_within(rows: DataFrame, key: str, order: list, as_name: str, keep: list[str]) -> DataFrame:
+    """keep and as_name: the place (from 0) of each row among those of its key, in the given order. Rows are range partitioned by key and order, so a
+    key with very many rows lies in many tasks; of each range the driver gets its last key and how many rows of it there are."""
+    spark = rows.sparkSession
+    ship(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).select(*keep)
+    at = keep.index(key)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, now, upto = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(at).to_numpy()
+            starts = np.r_[0, np.nonzero(np.diff(keys))[0] + 1]
+            sizes = np.diff(np.r_[starts, len(keys)])
+            place = np.arange(len(keys)) - np.repeat(starts, sizes)
+            if keys[0] == now:
+                place[: sizes[0]] += upto
+            now, upto = keys[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.astype(np.int64)), pa.array(np.full(len(keys), part))], names=[*keep, "place", "part"])
+
+    types = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in keep)
+    local = staged(dealt.mapInArrow(run, f"{types}, place long, part long"), "numbered")
+    ends = local.groupBy("part").agg(F.max(F.struct(F.col(key).alias("key"), "place")).alias("last")).collect()
+    offsets, last, carried = [(-1, 0, 0)], None, 0
+    for r in sorted(ends, key=lambda r: r["part"]):
+        if last is not None:
+            offsets.append((r["part"], last, carried))
+        carried = r["last"]["place"] + 1 + (carried if r["last"]["key"] == last else 0)
+        last = r["last"]["key"]
+    table = F.broadcast(spark.createDataFrame(offsets, "part long, last long, carried long"))  # a row for each range
+    joined = local.join(table, "part", "left")
+    return joined.select(*keep, (F.col("place") + F.when(F.col(key) == F.col("last"), F.col("carried")).otherwise(0)).alias(as_name))
+
+
 def first_records(objects: DataFrame) -> DataFrame:
     """Of several records of one address the first in file order, without sorting: the least struct of a group."""
     columns = [c for c in objects.columns if c not in ("address", "pos")]

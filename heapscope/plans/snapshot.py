@@ -1,6 +1,6 @@
 """A graph saved as Parquet tables with a manifest that is written last, and opened again without work.
 
-A folder without a manifest is an unfinished snapshot: it is not opened, and saving to it again replaces it.
+A folder without a manifest is no snapshot: it is not opened, and saving replaces it only if nothing but a snapshot's tables lie there.
 """
 
 from __future__ import annotations
@@ -34,12 +34,18 @@ def exists(spark: SparkSession, folder: str) -> bool:
 
 
 def save(graph: Graph, folder: str, info: dict | None = None, overwrite: bool = False) -> Snapshot:
-    """Objects, classes and dominators lie sorted by id, so a lookup reads few row groups; references by source."""
+    """Objects, classes and dominators lie sorted by id, so a lookup reads few row groups; references by source. All is written beside the
+    folder and takes its place when it is whole; a folder with other files in it is not touched."""
     spark = graph.raw.objects.sparkSession
     if exists(spark, folder) and not overwrite:
         raise SnapshotError(f"{folder} holds a snapshot")
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    strange = [f.getPath().getName() for f in store.listStatus(target)] if store.exists(target) else []
+    strange = sorted(set(strange) - {*TABLES, MANIFEST})
+    if strange:
+        raise SnapshotError(f"{folder} holds other files: {strange[0]}")
+    whole, folder = folder, f"{folder.rstrip('/')}.{uuid.uuid4().hex}.unfinished"
     counts = {}
     for name in TABLES:
         table = getattr(graph, name)
@@ -54,7 +60,10 @@ def save(graph: Graph, folder: str, info: dict | None = None, overwrite: bool =
         "n_references": graph.n_references, "n_roots": graph.roots.select("object_id").distinct().count(), "total_heap": graph.total, **(info or {}),
     }
     spark.createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.text(posixpath.join(folder, MANIFEST))
-    return Snapshot(spark, folder)
+    store.delete(target, True)
+    if not store.rename(spark._jvm.org.apache.hadoop.fs.Path(folder), target):
+        raise SnapshotError(f"{folder} could not be moved to {whole}")
+    return Snapshot(spark, whole)
 
 
 def dump_info(dump) -> dict:

@@ -204,3 +204,16 @@ def test_a_core_beyond_memory_is_an_error(spark, monkeypatch):
     objects, table = heap_of(spark, 9, [(0, 1), *[(i, i % 8 + 1) for i in range(1, 9)], (0, 4)])
     with pytest.raises(MemoryError):
         dominators.dominator_table(objects, table, objects.where("object_id = 0").select("object_id"))
+
+
+def test_numbers_within_hot_keys(spark):
+    rng = random.Random(6)
+    rows = [(7, i, rng.randrange(5)) for i in range(500)] + [(rng.randrange(20), i, rng.randrange(5)) for i in range(500, 700)]
+    df = spark.createDataFrame(rows, "k long, v long, w long").repartition(5)
+    got = {(r["k"], r["v"]): r["nr"] for r in ids.numbered_within(df, "k", [F.desc("w"), "v"], "nr", ["k", "v", "w"]).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        for nr, (_, v, _) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1]))):
+            want[k, v] = nr
+    assert got == want
+    assert ids.numbered_within(df.limit(0), "k", ["v"], "nr", ["k", "v"]).count() == 0
