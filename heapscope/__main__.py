@@ -1,6 +1,6 @@
 """Command line: ingest a heap dump, estimate its needs, or run queries on it.
 
-    python -m heapscope ingest heap.hprof [--keep-unreachable] [--overwrite]
+    python -m heapscope ingest heap.hprof [--keep-unreachable] [--no-values] [--overwrite]
     python -m heapscope estimate heap.hprof
     python -m heapscope query heap.hprof 'SELECT ...' ...
 
@@ -25,6 +25,7 @@ def main(argv: list[str] | None = None) -> int:
         sub.add_argument("path")
         if name == "ingest":
             sub.add_argument("--keep-unreachable", action="store_true")
+            sub.add_argument("--no-values", action="store_true", help="leave out fields, strings and array lengths, which OQL on values needs")
             sub.add_argument("--overwrite", action="store_true")
         if name == "query":
             sub.add_argument("queries", nargs="+")
@@ -42,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     from .operators.aggregates import estimate
-    from .plans import oql, snapshot
+    from .plans import oql, snapshot, views
     from .plans.graph import Graph
     from .plans.ingest import ingest
     from .sources import hprof as H
@@ -50,7 +51,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     d = snapshot.Descriptor.read(args.path)
     if args.command == "ingest":
         dump = ingest(spark, d.dump)
-        made = snapshot.save(Graph(dump.raw, args.keep_unreachable), d.snapshot, snapshot.dump_info(dump), args.overwrite)
+        graph = Graph(dump.raw, args.keep_unreachable)
+        made = snapshot.save(graph if args.no_values else views.with_values(dump, graph), d.snapshot, snapshot.dump_info(dump), args.overwrite)
         if d.path.suffix != d.SUFFIX:
             snapshot.Descriptor(d.path.with_suffix(d.SUFFIX), d.snapshot, d.dump, d.memory_budget).write()
         print(json.dumps(made.facts))

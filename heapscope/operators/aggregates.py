@@ -97,7 +97,22 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
 
 
-def estimate(n_objects: int, n_edges: int, n_classes: int) -> dict[str, int]:
-    """Bytes of memory and disk that a graph of this size takes (fixed values: 36 bytes an object and 4 an edge, 1.35 times that;
-    135 bytes an object and 1 KB a class on disk, and 100 MB)."""
-    return {"memory": int((36 * n_objects + 4 * n_edges) * 1.35), "disk": 135 * n_objects + 1024 * n_classes + 100 * (1 << 20)}
+#: Least estimates are rounded up to one of these heap sizes in MB, larger ones to a multiple of 4 GB.
+HEAPS = (512, 1024, 2048, 4096, 8192, 16384)
+
+
+def estimate(n_objects: int, n_edges: int | None, n_classes: int) -> dict[str, int]:
+    """Bytes of memory, of memory with the object columns in files (tight), of the heap to give to either, and of disk that a graph of this size takes. Fixed
+    values: an object has 8 bytes of address, 4 of its bucket, 4 of its edge list, 20 of columns and a quarter of marks (16 MB of them at least), a reference 4 (three an
+    object if their number is not known, one at least), all else 50 MB, and 35 % more for safety; on disk 135 bytes an object, 1 KB a class and 100 MB."""
+    mb = 1 << 20
+    n = max(1, n_objects)
+    references = 3 * n if n_edges is None else max(n, n_edges)
+    tight = (8 + 4 + 4) * n + 4 * references + max(16 * mb, n // 4) + 50 * mb
+    memory, tight = int((tight + 20 * n) * 1.35), int(tight * 1.35)
+
+    def heap(need: int) -> int:
+        rounded = next((size for size in HEAPS if need // mb <= size), None)
+        return (rounded or -(-(need // mb) // 4096) * 4096) * mb
+
+    return {"memory": memory, "memory_tight": tight, "heap": heap(memory), "heap_tight": heap(tight), "disk": 135 * n + 1024 * n_classes + 100 * mb}

@@ -56,12 +56,18 @@ def only_through(graph: Graph, chosen: DataFrame) -> DataFrame:
     return graph.objects.select("object_id").join(reach.search(edges, starts).select("object_id"), "object_id", "left_anti")
 
 
-def of_class(graph: Graph, name: str, subclasses: bool = False, pattern: bool = False) -> DataFrame:
-    """Objects of the classes with a name (or matching a pattern), and of their subclasses."""
+def classes_named(graph: Graph, name: str, subclasses: bool = False, pattern: bool = False) -> DataFrame:
+    """The classes with a name (or matching a pattern), and their subclasses."""
     found = graph.classes.where(F.col("name").rlike(f"^(?:{name})$") if pattern else F.col("name") == name)
     if subclasses:
         up = aggregates.superclass_closure(graph.classes)
         found = graph.classes.join(up.join(found.select(F.col("address").alias("ancestor")), "ancestor", "left_semi").select("address").distinct(), "address")
+    return found
+
+
+def of_class(graph: Graph, name: str, subclasses: bool = False, pattern: bool = False) -> DataFrame:
+    """Objects of the classes with a name (or matching a pattern), and of their subclasses."""
+    found = classes_named(graph, name, subclasses, pattern)
     return graph.objects.join(found.select(F.col("object_id").alias("class_id")), "class_id", "left_semi")
 
 
@@ -71,6 +77,29 @@ def listed(graph: Graph, objects: DataFrame) -> DataFrame:
     return named.join(graph.dominators.select("object_id", "retained"), "object_id").select("object_id", "address", "name", "used_size", "retained")
 
 
+def outbound_tree(graph: Graph, objects: DataFrame, levels: int = 1) -> DataFrame:
+    """What objects refer to, `levels` deep: path (ids from the listed object on), level (0: the object itself), nr (place among the references of the object
+    above), object_id, address, name, used_size, retained. An object has a row for each path that leads to it."""
+    step = objects.select(F.array("object_id").alias("path"), F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("nr"), "object_id")
+    rows = [step]
+    references = graph.read_edges.select(F.col("src").alias("object_id"), F.col("seq").alias("nr"), "dst")
+    for level in range(1, levels + 1):
+        step = step.select("path", "object_id").join(references, "object_id").select(F.concat("path", F.array("dst")).alias("path"), F.lit(level).alias("level"), "nr", F.col("dst").alias("object_id"))
+        rows.append(step)
+    return listed(graph, graph.objects).join(reduce(DataFrame.unionAll, rows), "object_id").select("path", "level", "nr", "object_id", "address", "name", "used_size", "retained")
+
+
+def root_map(graph: Graph) -> DataFrame:
+    """object_id, root_type, n: the roots of each object that are no thread's."""
+    return graph.roots.where("thread_address = 0").groupBy("object_id", "root_type").agg(F.count("*").alias("n"))
+
+
+def thread_local_map(graph: Graph) -> DataFrame:
+    """thread_id, object_id, root_type, n: what each thread that is left holds on its stack."""
+    threads = graph.objects.select(F.col("address").alias("thread_address"), F.col("object_id").alias("thread_id"))
+    return graph.roots.where("thread_address <> 0").join(threads, "thread_address").groupBy("thread_id", "object_id", "root_type").agg(F.count("*").alias("n"))
+
+
 def suspects(graph: Graph, percent: float = 10.0) -> DataFrame:
     """kind, what, n_objects, retained: single objects, and classes of top-level objects together, that keep `percent` of the heap or more."""
     least = graph.total * percent / 100.0

@@ -82,6 +82,15 @@ def roots(d: Dump, g: Graph) -> DataFrame:
     return g.all_roots.select("address", root_kind(F.col("root_type")).alias("kind"), "thread_address")
 
 
+def root_map(d: Dump, g: Graph) -> DataFrame:
+    return _at(g, commands.root_map(g)).select("address", root_kind(F.col("root_type")).alias("kind"), "n")
+
+
+def thread_locals(d: Dump, g: Graph) -> DataFrame:
+    held = _at(g, _at(g, commands.thread_local_map(g)), "thread_id", "thread_address")
+    return held.select("thread_address", "address", root_kind(F.col("root_type")).alias("kind"), "n")
+
+
 def map_entries(d: Dump, g: Graph) -> DataFrame:
     keys = g.strings.select(F.col("object_id").alias("key_id"), F.col("value").alias("key"))
     entries = views.map_entries(g).join(keys, "key_id", "left").select("map_id", "node_id", "key", "value_id")
@@ -147,6 +156,8 @@ QUERIES: dict[str, Callable[[Dump, Graph], DataFrame]] = {
     "dump_array_fill_ratios": lambda d, g: views.array_fill_ratios(d),
     "dump_constant_arrays": lambda d, g: views.constant_arrays(d).select("address", "length"),
     "dump_roots": roots,
+    "dump_root_map": root_map,
+    "dump_thread_locals": thread_locals,
     "dump_threads": lambda d, g: views.thread_overview(d, g),
     "dump_thread_stacks": stacks,
     "dump_system_properties": lambda d, g: views.system_properties(g),
@@ -163,11 +174,17 @@ OQL = {
     "dump_oql_referents": "SELECT r.@objectAddress AS address, r.referent.key AS key FROM INSTANCEOF java.lang.ref.WeakReference r WHERE r.referent.active = true",
     "dump_oql_lists": "SELECT l.size AS size, l.elementData.@length AS capacity FROM java.util.ArrayList l WHERE l.size > 40",
     "dump_oql_array_length": "SELECT a.@objectAddress AS address, a.@length AS n FROM int[] a",
+    "dump_oql_displays": "SELECT b.@displayName AS shown FROM java.math.BigInteger b UNION (SELECT s.@displayName AS shown FROM java.lang.StringBuilder s UNION (SELECT p.@displayName AS shown FROM shop.Level p))",
+    "dump_oql_class_objects": 'SELECT c.@name AS name FROM OBJECTS ${snapshot.getClassesByName("shop.Row", true)} c',
+    "dump_oql_threads": "SELECT t.@classSpecificName AS name, toString(t.buffer) AS buffer, t.priority AS priority FROM java.lang.Thread t",
+    "dump_oql_enum": "SELECT toString(e.name) AS name, e.ordinal AS ordinal FROM INSTANCEOF java.lang.Enum e WHERE e.ordinal > 1",
+    "dump_oql_address": f"SELECT s.@objectAddress AS address, s.@usedHeapSize AS used_size FROM {sample.at(18, 3):#x}, {sample.at(15, 4):#x} s",
+    "dump_oql_unknown": "SELECT t.@threadName FROM java.lang.Thread t",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: of_dump(f) for n, f in QUERIES.items()} | {n: of_dump(lambda d, g, text=text: oql.run(g, text)) for n, text in OQL.items()}
+    return {n: of_dump(f) for n, f in QUERIES.items()} | {n: of_dump(lambda d, g, text=text: oql.answered(g, text)) for n, text in OQL.items()}
 
 
 def _a(kind: int, key: str) -> str:
@@ -201,7 +218,8 @@ def _objects() -> str:
         rows(2, "1", 19, f"24 + 8*{sum(c[2] for c in sample.CLASSES.values())}", "(SELECT 1)", _a(1, "1"), array=True),
         rows(25, "1", 14, "32", "(SELECT 1)", "65536 + 8*15"),
         rows(26, "1", 21, "24 + 8*(SELECT count(*) FROM region)", "(SELECT 1)", _a(25, "1"), array=True),
-        rows(16, "r", 5, "32", "rg", "-1"), *latin(19, 20, "r", "length('worker-' || r)", "rg", _a(16, "r")),
+        rows(16, "r", 5, "64", "rg", "-1"), rows(33, "r", 27, "32", "rg", _a(16, "r")), rows(34, "r", 30, "32", "rg", _a(16, "r")), rows(35, "r", 17, "40", "rg", _a(34, "r"), array=True),
+        rows(36, "r", 31, "32", "rg", _a(16, "r")), rows(37, "r", 18, "32", "rg", _a(36, "r"), array=True), *latin(19, 20, "r", "length('worker-' || r)", "rg", _a(16, "r")),
         rows(32, "r", "long[]", "48", "rg", _a(16, "r"), array=True),
         rows(21, "r", 9, "32", "rg", _a(16, "r")), rows(22, "r", 20, "88", "rg", _a(21, "r"), array=True),
         rows(27, "r", 13, "48", "rg", _a(26, "1")), *latin(28, 29, "r", "length(r_name)", "rg", _a(27, "r")), *latin(30, 31, "r", "length('region ' || r)", "rg", _a(27, "r")),
@@ -240,6 +258,7 @@ def _references() -> str:
         f"SELECT 65536 + 8*n, CASE WHEN app THEN {_a(1, '1')} ELSE 0 END FROM cls",
         *(f"SELECT {sample.class_at(n)}, {target}" for n, c in sample.CLASSES.items() for _, target in c[4]),
         ref(_a(1, "1"), _a(2, "1"), "(SELECT 1)"), ref(_a(2, "1"), "65536 + 8*n", "cls WHERE app"), ref(_a(25, "1"), _a(26, "1"), "(SELECT 1)"), ref(_a(26, "1"), _a(27, "r"), "rg"),
+        *(ref(_a(16, "r"), _a(kind, "r"), "rg") for kind in (33, 34, 36)), ref(_a(33, "r"), _a(19, "r"), "rg"), ref(_a(34, "r"), _a(35, "r"), "rg"), ref(_a(36, "r"), _a(37, "r"), "rg"),
         ref(_a(16, "r"), _a(19, "r"), "rg"), ref(_a(16, "r"), _a(32, "r"), "rg"), ref(_a(16, "r"), _a(21, "r"), "rg"), ref(_a(19, "r"), _a(20, "r"), "rg"), ref(_a(21, "r"), _a(22, "r"), "rg"),
         ref(_a(27, "r"), _a(28, "r"), "rg"), ref(_a(27, "r"), _a(30, "r"), "rg"), ref(_a(28, "r"), _a(29, "r"), "rg"), ref(_a(30, "r"), _a(31, "r"), "rg"),
         ref(f"CASE WHEN before IS NULL THEN {_a(22, 'r')} ELSE {_a(23, 'before')} END", _a(23, "n"), "na"), ref(_a(23, "n"), _a(5, "n"), "na"), ref(_a(23, "n"), _a(8, "n"), "na"),
@@ -285,6 +304,8 @@ it AS (
   SELECT {_a(10, 'n')}, {_a(7, 'c')}::VARCHAR, row_number() OVER (PARTITION BY n ORDER BY c) - 1, 0 FROM cu WHERE listed UNION ALL
   SELECT {_a(10, 'n')}, '-', members + i, 0 FROM na, range(2) t(i) WHERE i < n % 3 UNION ALL
   SELECT {_a(32, 'r')}, ((ARRAY[1152921504606846976 + r, -r, 9007199254740993])[i + 1])::VARCHAR, i, 3 FROM rg, range(3) t(i) UNION ALL
+  SELECT {_a(35, 'r')}, coalesce(unicode(nullif(('built ' || r)[i + 1], '')), 0)::VARCHAR, i, 16 FROM rg, range(16) t(i) UNION ALL
+  SELECT {_a(37, 'r')}, (CASE i WHEN 0 THEN r + 1 ELSE 5 END)::VARCHAR, i, 2 FROM rg, range(2) t(i) UNION ALL
   SELECT {_a(18, 's')}, (CASE WHEN s % 2 = 0 THEN s % 7 WHEN i = 3 THEN 9 ELSE s + i END)::VARCHAR, i, 4 FROM su, range(4) t(i) UNION ALL
   SELECT {_a(6, 'n')}, unicode(n_name[i + 1])::VARCHAR, i, 0 FROM na, range(40) t(i) WHERE i < length(n_name) UNION ALL
   SELECT address, unicode(value[i + 1])::VARCHAR, i, 0 FROM bt, range(60) t(i) WHERE i < length(value))"""
@@ -296,13 +317,13 @@ def oracle_sql() -> dict[str, str]:
 
     counts = {
         1: str(len(sample.Names().ids)), 2: str(len(sample.CLASSES)), 4: "6", 5: "5", 257: "2", 259: "5", 261: str(sum(not c[2] for c in sample.CLASSES.values())), 263: "1", 264: "5", 288: str(len(sample.CLASSES)),
-        289: "2 + 6*(SELECT count(*) FROM rg) + 4*(SELECT count(*) FROM na) + (SELECT count(*)*2 + count(*) FILTER (c % 10 = 0) + count(*) FILTER (c % 3 = 0) FROM cu) + (SELECT count(*) FROM pa) + 2*(SELECT count(*) FROM su)",
-        290: "3 + (SELECT count(*) FROM rg) + (SELECT count(*) FROM na)", 291: "4*(SELECT count(*) FROM rg) + (SELECT count(*) FROM na) + (SELECT count(*) FROM cu) + (SELECT count(*) FROM su)",
+        289: "2 + 9*(SELECT count(*) FROM rg) + 4*(SELECT count(*) FROM na) + (SELECT count(*)*2 + count(*) FILTER (c % 10 = 0) + count(*) FILTER (c % 3 = 0) FROM cu) + (SELECT count(*) FROM pa) + 2*(SELECT count(*) FROM su)",
+        290: "3 + (SELECT count(*) FROM rg) + (SELECT count(*) FROM na)", 291: "6*(SELECT count(*) FROM rg) + (SELECT count(*) FROM na) + (SELECT count(*) FROM cu) + (SELECT count(*) FROM su)",
     }
     # lists of parts have thousands of links: their sizes directly, all others through the tree
     retained = f"""tree AS (SELECT address, idom, used_size FROM ob WHERE live AND name <> 'shop.Part'),
 up AS (SELECT address AS top, idom AS above, used_size FROM tree UNION ALL SELECT t.address, t.idom, up.used_size FROM up JOIN tree t ON t.address = up.above)"""
-    threads = f"""SELECT {_a(16, 'r')}::BIGINT AS thread_address, 32::BIGINT AS used_size, x.retained::BIGINT AS retained, 2::INTEGER AS depth, 1::INTEGER AS n_locals FROM rg
+    threads = f"""SELECT {_a(16, 'r')}::BIGINT AS thread_address, 64::BIGINT AS used_size, x.retained::BIGINT AS retained, 2::INTEGER AS depth, 1::INTEGER AS n_locals FROM rg
 JOIN (SELECT top, sum(used_size) AS retained FROM up GROUP BY 1) x ON x.top = {_a(16, 'r')}"""
     text = f"""SELECT 'Thread ' || {_hexed(_a(16, 'r'))} || chr(10) || '  at shop.Row.run()V (' || CASE r WHEN 0 THEN 'Worker.java(Native Method)' WHEN 1 THEN 'Worker.java(Compiled Code)' WHEN 4 THEN 'Worker.java:42' ELSE 'Worker.java' END || ')' || chr(13) || chr(10)
  || '  at shop.Nation.main([Ljava/lang/String;)V (:7)' || chr(13) || chr(10) || chr(10) || '  locals:' || chr(10) || '    objectId=' || {_hexed(_a(21, 'r'))} || ', line=0' || chr(10) || chr(10) AS text FROM rg"""
@@ -325,6 +346,8 @@ JOIN (SELECT top, sum(used_size) AS retained FROM up GROUP BY 1) x ON x.top = {_
         "dump_array_fill_ratios": sql("SELECT least(4, floor(used*5/length))::INTEGER AS bucket, count(*) AS n_objects, sum(used)::BIGINT AS n_elements FROM (SELECT a.address, count(*) AS length, count(*) FILTER (item <> '-') AS used FROM ob a JOIN it ON it.address = a.address WHERE name LIKE 'java.%[]' GROUP BY 1) GROUP BY 1", ITEMS),
         "dump_constant_arrays": sql("SELECT a.address, count(*)::BIGINT AS length FROM ob a JOIN it ON it.address = a.address WHERE name NOT LIKE 'java.%[]' GROUP BY 1 HAVING count(DISTINCT item) = 1", ITEMS),
         "dump_roots": sql(f"SELECT (65536 + 8*n)::BIGINT AS address, 'SYSTEM_CLASS' AS kind, 0::BIGINT AS thread_address FROM cls WHERE NOT app UNION ALL SELECT {_a(14, '1')}, 'NATIVE_STATIC', 0 UNION ALL SELECT {_a(12, '0')}, 'NATIVE_STATIC', 0 UNION ALL SELECT {_a(15, '0')}, 'BUSY_MONITOR', 0 UNION ALL SELECT {_a(16, 'r')}, 'THREAD_OBJ', 0 FROM rg UNION ALL SELECT {_a(21, 'r')}, 'JAVA_LOCAL', {_a(16, 'r')} FROM rg"),
+        "dump_root_map": sql(f"SELECT (65536 + 8*n)::BIGINT AS address, 'SYSTEM_CLASS' AS kind, 1::BIGINT AS n FROM cls WHERE NOT app UNION ALL SELECT {_a(14, '1')}, 'NATIVE_STATIC', 1 UNION ALL SELECT {_a(12, '0')}, 'NATIVE_STATIC', 1 UNION ALL SELECT {_a(15, '0')}, 'BUSY_MONITOR', 1 UNION ALL SELECT {_a(16, 'r')}, 'THREAD_OBJ', 1 FROM rg"),
+        "dump_thread_locals": sql(f"SELECT {_a(16, 'r')}::BIGINT AS thread_address, {_a(21, 'r')}::BIGINT AS address, 'JAVA_LOCAL' AS kind, 1::BIGINT AS n FROM rg"),
         "dump_threads": sql(threads, retained, recursive=True),
         "dump_thread_stacks": sql(text),
         "dump_system_properties": sql("SELECT lower(r_name) AS key, 'region ' || r AS value FROM rg"),
@@ -337,5 +360,11 @@ JOIN (SELECT top, sum(used_size) AS retained FROM up GROUP BY 1) x ON x.top = {_
         "dump_oql_to_string": sql("SELECT c_name AS text, length(n_name)::BIGINT AS n FROM cu JOIN na USING (n) WHERE listed OR c % 3 = 0"),
         "dump_oql_referents": sql(f"SELECT {_a(13, 'c')}::BIGINT AS address, c AS key FROM cu WHERE c % 3 = 0 AND c % 2 = 1"),
         "dump_oql_lists": sql("SELECT members AS size, (members + n % 3)::BIGINT AS capacity FROM na WHERE n % 5 <> 4 AND members > 40"),
-        "dump_oql_array_length": sql(f"SELECT {_a(18, 's')}::BIGINT AS address, 4::BIGINT AS n FROM su"),
+        "dump_oql_array_length": sql(f"SELECT {_a(18, 's')}::BIGINT AS address, 4::BIGINT AS n FROM su UNION ALL SELECT {_a(37, 'r')}, 2 FROM rg"),
+        "dump_oql_displays": sql(f"SELECT 'java.math.BigInteger @ ' || {_hexed(_a(36, 'r'))} || '  ' || (-((r + 1)*4294967296 + 5))::VARCHAR AS shown FROM rg UNION ALL SELECT 'java.lang.StringBuilder @ ' || {_hexed(_a(34, 'r'))} || '  built ' || r FROM rg UNION ALL SELECT 'shop.Level @ ' || {_hexed(_a(33, 'r'))} FROM rg"),
+        "dump_oql_class_objects": sql("SELECT name FROM cls WHERE name = 'shop.Row' OR up = 22"),
+        "dump_oql_threads": sql("SELECT 'worker-' || r AS name, 'built ' || r AS buffer, (r + 1)::BIGINT AS priority FROM rg"),
+        "dump_oql_enum": sql("SELECT 'worker-' || r AS name, r::BIGINT AS ordinal FROM rg WHERE r > 1"),
+        "dump_oql_address": sql(f"SELECT address, used_size FROM ob WHERE address IN ({_a(18, '3')}, {_a(15, '4')})"),
+        "dump_oql_unknown": "SELECT 'unknown attribute @threadName' AS error",
     }

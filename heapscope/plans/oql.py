@@ -1,10 +1,11 @@
 """A small object query language, lowered to DataFrame operations.
 
-    SELECT [DISTINCT] items FROM [OBJECTS] [INSTANCEOF] class | "pattern" | ids | (query) [alias] [WHERE condition] [UNION (query)]
+    SELECT [DISTINCT] items FROM [OBJECTS] [INSTANCEOF] class | "pattern" | ids | 0xaddresses | ${expression} | (query) [alias] [WHERE condition] [UNION (query)]
 
 Items are `*`, paths (`o.field.other`, `o.@retainedHeapSize`), `toString(o)`, `classof(o)`, `outbounds(o)`, `inbounds(o)`, `dominators(o)`,
 `dominatorof(o)`, literals, sums and products, and the aggregates count, sum, min and max. Conditions are comparisons, LIKE (a whole match), IN, AND, OR and
-NOT. A field path is a chain of left joins over all objects at once, never a call per object.
+NOT. Classes stand for their instances, after OBJECTS for the class objects themselves. Expressions are `snapshot.getClassesByName("name", subclasses too)` and
+`snapshot.getClasses()`. A field path is a chain of left joins over all objects at once, never a call per object.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .commands import of_class
+from .commands import classes_named, of_class
 from .graph import Graph
 
 REGISTERED = {
@@ -31,7 +32,9 @@ REGISTERED = {
     "oql_union": "SELECT o.@objectAddress AS address FROM db.geo.Region o UNION (SELECT o.@objectAddress AS address FROM db.geo.Nation o WHERE o.@objectAddress > 2199023255562)",
 }
 
-_TOKEN = re.compile(r'\s*(?:(?P<num>\d+(?:\.\d+)?)|(?P<str>"[^"]*"|\'[^\']*\')|(?P<name>@?[A-Za-z_$][\w$]*)|(?P<op><=|>=|!=|<>|[=<>(),.*+\-/\[\]]))')
+_TOKEN = re.compile(r'\s*(?:(?P<expr>\$\{[^}]*\})|(?P<num>0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)|(?P<str>"[^"]*"|\'[^\']*\')|(?P<name>@?[A-Za-z_$][\w$]*)|(?P<op><=|>=|!=|<>|[=<>(),.*+\-/\[\]]))')
+_BY_NAME = re.compile(r"""\$\{\s*snapshot\s*\.\s*getClassesByName\s*\(\s*(["'])(?P<name>[^"']+)\1\s*,\s*(?P<below>true|false)\s*\)\s*\}""")
+_ALL_CLASSES = re.compile(r"\$\{\s*snapshot\s*\.\s*getClasses\s*\(\s*\)\s*\}")
 _RESERVED = {"select", "distinct", "from", "where", "union", "and", "or", "not", "like", "in", "as", "instanceof", "objects", "null", "true", "false"}
 
 
@@ -55,6 +58,7 @@ class Query:
     alias: str
     where: Node | None
     union: Query | None = None
+    class_objects: bool = False
 
 
 class Parser:
@@ -99,9 +103,11 @@ class Parser:
             while self.take(","):
                 items.append(self.item())
         self.expect("from")
-        self.take("objects")
+        class_objects = self.take("objects")
         instance_of = self.take("instanceof")
         source = self.source()
+        if source[0] == "below":
+            source, instance_of = ("class", source[1]), True
         alias = "o"
         if self.at < len(self.tokens) and self.tokens[self.at][0] == "name" and self.tokens[self.at][1].lower() not in _RESERVED:
             alias = self.next()[1]
@@ -111,7 +117,7 @@ class Parser:
             self.expect("(")
             union = self.query()
             self.expect(")")
-        return Query(items, distinct, instance_of, source, alias, where, union)
+        return Query(items, distinct, instance_of, source, alias, where, union, class_objects)
 
     def source(self) -> tuple[str, object]:
         if self.take("("):
@@ -121,11 +127,21 @@ class Parser:
         kind, text = self.next()
         if kind == "str":
             return "pattern", text[1:-1]
+        if kind == "expr":
+            if _ALL_CLASSES.fullmatch(text):
+                return "pattern", ".*"
+            m = _BY_NAME.fullmatch(text)
+            if not m:
+                raise OqlError(f"unknown expression {text}")
+            return "below" if m["below"] == "true" else "class", m["name"]
         if kind == "num":
-            numbers = [int(text)]
+            texts = [text]
             while self.take(","):
-                numbers.append(int(self.next()[1]))
-            return "ids", numbers
+                texts.append(self.next()[1])
+            hexed = {t[:2].lower() == "0x" for t in texts}
+            if len(hexed) > 1 or any("." in t for t in texts):
+                raise OqlError(f"{', '.join(texts)} are not all ids or all addresses")
+            return ("addresses" if hexed.pop() else "ids"), [int(t, 0) if t[:2].lower() == "0x" else int(t) for t in texts]
         while self.take("."):
             text += "." + self.next()[1]
         while self.take("["):
@@ -198,7 +214,7 @@ class Parser:
             return Node("arithmetic", "-", (Node("literal", 0), self.operand()))
         kind, text = self.next()
         if kind == "num":
-            return Node("literal", float(text) if "." in text else int(text))
+            return Node("literal", int(text, 16) if text[:2].lower() == "0x" else float(text) if "." in text else int(text))
         if kind == "str":
             return Node("literal", text[1:-1])
         if kind != "name":
@@ -269,8 +285,8 @@ class Lowering:
             return Value(F.coalesce(self.attach(of.column, counted, "object_id", "n"), F.lit(0)))
         if attribute == "length":
             return Value(self.attach(of.column, self.lengths(), "object_id", "length"))
-        if attribute in ("displayName", "toString"):
-            return self.text(of)
+        if attribute in ("displayName", "toString", "technicalName", "classSpecificName"):
+            return {"displayName": self.display, "toString": self.text, "technicalName": self.technical, "classSpecificName": self.specific}[attribute](of)
         raise OqlError(f"unknown attribute {name}")
 
     def lengths(self) -> DataFrame:
@@ -278,14 +294,27 @@ class Lowering:
             raise OqlError("this heap has no array lengths")
         return self.graph.lengths
 
-    def text(self, of: Value) -> Value:
+    def technical(self, of: Value) -> Value:
+        """`class @ 0xaddress`."""
         g = self.graph
         named = g.objects.join(g.classes.select(F.col("object_id").alias("class_id"), "name"), "class_id")
-        shown = named.select("object_id", F.concat("name", F.lit(" @ 0x"), F.lower(F.hex("address"))).alias("shown"))
-        label = self.attach(of.column, shown, "object_id", "shown")
-        if getattr(g, "strings", None) is not None:
-            label = F.coalesce(self.attach(of.column, g.strings, "object_id", "value"), label)
-        return Value(label)
+        return Value(self.attach(of.column, named.select("object_id", F.concat("name", F.lit(" @ 0x"), F.lower(F.hex("address"))).alias("shown")), "object_id", "shown"))
+
+    def specific(self, of: Value) -> Value:
+        """What an object of some library classes stands for as text (views.shown), null for others."""
+        for table, column in (("shown", "shown"), ("strings", "value")):
+            if getattr(self.graph, table, None) is not None:
+                return Value(self.attach(of.column, getattr(self.graph, table), "object_id", column))
+        return Value(F.lit(None).cast("string"))
+
+    def text(self, of: Value) -> Value:
+        return Value(F.coalesce(self.specific(of).column, self.technical(of).column))
+
+    def display(self, of: Value) -> Value:
+        """The technical name and, where there is one, two spaces and the specific name, cut after 256 characters."""
+        specific = self.specific(of).column
+        cut = F.when(F.length(specific) > 256, F.concat(F.substring(specific, 1, 256), F.lit("..."))).otherwise(specific)
+        return Value(F.concat(self.technical(of).column, F.coalesce(F.concat(F.lit("  "), cut), F.lit(""))))
 
     def field(self, of: Value, name: str) -> Value:
         """A field's value; references lead to objects, so paths go on from there. Each kind of value has its column."""
@@ -378,12 +407,12 @@ AGGREGATES = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 def source_of(graph: Graph, q: Query) -> DataFrame:
     kind, what = q.source
-    if kind == "class":
-        return of_class(graph, what, q.instance_of)
-    if kind == "pattern":
-        return of_class(graph, what, q.instance_of, pattern=True)
-    if kind == "ids":
-        return graph.objects.where(F.col("object_id").isin(what))
+    if kind in ("class", "pattern"):
+        if q.class_objects:
+            return graph.objects.join(classes_named(graph, what, q.instance_of, kind == "pattern").select("object_id"), "object_id", "left_semi")
+        return of_class(graph, what, q.instance_of, kind == "pattern")
+    if kind in ("ids", "addresses"):
+        return graph.objects.where(F.col("object_id" if kind == "ids" else "address").isin(what))
     inner = lower(graph, what)
     return graph.objects.join(inner.select(F.col(f"`{inner.columns[0]}`").alias("object_id")).distinct(), "object_id", "left_semi")
 
@@ -426,3 +455,11 @@ def run(graph: Graph, text: str) -> DataFrame:
     if parser.at != len(parser.tokens):
         raise OqlError(f"unexpected {parser.tokens[parser.at][1]!r}")
     return lower(graph, q)
+
+
+def answered(graph: Graph, text: str) -> DataFrame:
+    """run(), or one row with the column `error` if the query cannot be answered."""
+    try:
+        return run(graph, text)
+    except OqlError as e:
+        return graph.objects.sparkSession.createDataFrame([(str(e),)], "error string")

@@ -160,6 +160,11 @@ ORACLE |= {
     "component_report": sql(TREE, """SELECT c.name, count(*) AS n_objects, sum(t.used_size)::BIGINT AS used_size, sum(CASE WHEN t.idom IN (SELECT id FROM n JOIN cls k ON k.address=n.class_address WHERE starts_with(k.name,'db.shared.')) THEN 0 ELSE t.retained END)::BIGINT AS retained
         FROM tree t JOIN cls c ON c.address=t.class_address WHERE starts_with(c.name,'db.shared.') GROUP BY 1"""),
     "list_objects": sql(TREE, "SELECT id AS object_id, t.address, 'db.geo.Nation' AS name, used_size, retained FROM tree t WHERE class_address=4*256"),
+    "list_objects_tree": sql(TREE, """SELECT path, level, nr, c.name, t.retained FROM (
+        SELECT id, id::VARCHAR AS path, 0 AS level, 0 AS nr FROM n WHERE class_address=4*256 UNION ALL
+        SELECT a.dst, a.src || '>' || a.dst, 1, a.seq FROM e a JOIN n ON n.id=a.src WHERE class_address=4*256 UNION ALL
+        SELECT b.dst, a.src || '>' || a.dst || '>' || b.dst, 2, b.seq FROM e a JOIN n ON n.id=a.src JOIN e b ON b.src=a.dst WHERE class_address=4*256) x
+        JOIN tree t USING (id) JOIN cls c ON c.address=t.class_address"""),
     "compare_dumps": sql(BASE, "SELECT 'b' AS side, count(*) AS n, sum(used_size)::BIGINT AS used_size FROM obj WHERE address NOT IN (SELECT address FROM reach)"),
     "snapshot_counts": sql(LIVE, """SELECT 'objects' AS name, count(*) AS n FROM n UNION ALL SELECT 'classes', count(*) FROM cls JOIN n USING (address) UNION ALL SELECT 'roots', count(DISTINCT address) FROM rts
         UNION ALL SELECT 'references', (SELECT count(*) FROM n) + (SELECT count(*) FROM held h JOIN n s ON s.address=h.s JOIN n t ON t.address=h.d)"""),

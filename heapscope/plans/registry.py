@@ -219,6 +219,12 @@ def listed_objects(spark, sf_dir):
     return commands.listed(g, commands.of_class(g, "db.geo.Nation"))
 
 
+def outbound_tree(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    rows = commands.outbound_tree(g, commands.of_class(g, "db.geo.Nation"), 2)
+    return rows.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "level", "nr", "name", "retained")
+
+
 def compared(spark, sf_dir):
     """Objects of the pruned graph against all: what is missing."""
     g = graph(spark, sf_dir)
@@ -294,6 +300,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shortest_paths": shortest_paths,
         "component_report": package_report,
         "list_objects": listed_objects,
+        "list_objects_tree": outbound_tree,
         "compare_dumps": compared,
         "snapshot_counts": with_graph(counts),
     }

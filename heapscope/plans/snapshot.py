@@ -20,6 +20,8 @@ from ..operators import aggregates
 from .graph import Graph
 
 TABLES = ("objects", "edges", "classes", "roots", "dominators", "class_retained", "unreachable_histogram")
+#: Of graphs with values (views.with_values), and how they lie: paths of fields read one field's rows.
+VALUES = {"fields": ["field", "object_id"], "strings": ["object_id"], "lengths": ["object_id"], "shown": ["object_id"]}
 MANIFEST = "manifest"
 VERSION = 1
 
@@ -42,21 +44,22 @@ def save(graph: Graph, folder: str, info: dict | None = None, overwrite: bool =
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = target.getFileSystem(spark._jsc.hadoopConfiguration())
     strange = [f.getPath().getName() for f in store.listStatus(target)] if store.exists(target) else []
-    strange = sorted(set(strange) - {*TABLES, MANIFEST})
+    strange = sorted(set(strange) - {*TABLES, *VALUES, MANIFEST})
     if strange:
         raise SnapshotError(f"{folder} holds other files: {strange[0]}")
     whole, folder = folder, f"{folder.rstrip('/')}.{uuid.uuid4().hex}.unfinished"
     counts = {}
-    for name in TABLES:
+    tables = [*TABLES, *(name for name in VALUES if getattr(graph, name, None) is not None)]
+    for name in tables:
         table = getattr(graph, name)
-        key = next((c for c in ("object_id", "src", "class_id") if c in table.columns), None)
+        key = VALUES.get(name) or next(([c] for c in ("object_id", "src", "class_id") if c in table.columns), None)
         if key:
-            table = table.repartitionByRange(key).sortWithinPartitions(*([key, "seq"] if key == "src" else [key]))
+            table = table.repartitionByRange(*key).sortWithinPartitions(*([*key, "seq"] if key == ["src"] else key))
         path = posixpath.join(folder, name)
         table.write.parquet(path)
         counts[name] = spark.read.parquet(path).count()
     facts = {
-        "version": VERSION, "id": uuid.uuid4().hex, "n_objects": counts["objects"], "n_classes": counts["classes"], "n_edges": counts["edges"],
+        "version": VERSION, "tables": tables, "id": uuid.uuid4().hex, "n_objects": counts["objects"], "n_classes": counts["classes"], "n_edges": counts["edges"],
         "n_references": graph.n_references, "n_roots": graph.roots.select("object_id").distinct().count(), "total_heap": graph.total, **(info or {}),
     }
     spark.createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.text(posixpath.join(folder, MANIFEST))
@@ -84,12 +87,12 @@ class Snapshot:
             raise SnapshotError(f"version {self.facts['version']}")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
+        if name in TABLES or (name in VALUES and name in self.facts.get("tables", ())):
             return self.spark.read.parquet(posixpath.join(self.folder, name))
         raise AttributeError(name)
 
     def views(self, prefix: str = "") -> None:
-        for name in TABLES:
+        for name in self.facts.get("tables", TABLES):
             getattr(self, name).createOrReplaceTempView(prefix + name)
 
     @property
@@ -171,13 +174,14 @@ class Descriptor:
 
 
 def open_or_ingest(spark: SparkSession, path: str) -> Snapshot:
-    """Opens the snapshot of a descriptor or dump, ingesting the dump first if there is none."""
+    """Opens the snapshot of a descriptor or dump, ingesting the dump with its values first if there is none."""
     from .ingest import ingest
+    from .views import with_values
 
     d = Descriptor.read(path)
     if not exists(spark, d.snapshot):
         if not d.dump:
             raise SnapshotError(f"{path} names no dump and holds no snapshot")
         dump = ingest(spark, d.dump)
-        save(Graph(dump.raw), d.snapshot, dump_info(dump), overwrite=True)
+        save(with_values(dump, Graph(dump.raw)), d.snapshot, dump_info(dump), overwrite=True)
     return Snapshot(spark, d.snapshot)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import staged
+from ..functions.staging import staged, unstage
 from ..functions.text import frame_line, string_constant
 from ..operators import asof, layout
 from ..operators.ids import first_records
@@ -87,10 +87,10 @@ def elements(arrays: DataFrame, first: int, count: int) -> DataFrame:
     return arrays.select("address", "kind", "data", "ids").mapInArrow(run, "address long, kind int, integers array<bigint>, reals array<double>, flags array<boolean>, refs array<bigint>")
 
 
-def java_strings(dump: Dump, fields: DataFrame) -> DataFrame:
-    """address, value of java.lang.String objects, by the arrays they refer to: characters, or bytes with a coder (0 Latin-1, 1 UTF-16);
-    an offset and a count, where there are any, cut out a part."""
-    strings = [a for a, c in dump.classes.items() if c.name == "java.lang.String"]
+def java_strings(dump: Dump, fields: DataFrame, names: tuple[str, ...] = ("java.lang.String",)) -> DataFrame:
+    """address, value of java.lang.String objects (or of string builders), by the arrays they refer to: characters, or bytes with a coder (0 Latin-1,
+    1 UTF-16); an offset and a count of code units, where there are any, cut out a part."""
+    strings = [a for a, c in dump.classes.items() if c.name in names]
     own = fields.join(dump.raw.objects.where(F.col("class_address").isin(strings or [-1])).select("address"), "address", "left_semi")
     wide = own.groupBy("address").agg(
         F.max(F.when(F.col("field") == "value", F.col("ref_address"))).alias("array"), F.max(F.when(F.col("field") == "coder", F.col("i"))).alias("coder"),
@@ -102,21 +102,68 @@ def java_strings(dump: Dump, fields: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for coder, offset, count, kind, data in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                text = (data or b"").decode("utf-16-be" if kind == 5 else "utf-16-le" if coder == 1 else "latin-1", "replace")
-                out.append(text if count is None else text[offset or 0 : (offset or 0) + count])
+                unit, low = 2 if kind == 5 or coder == 1 else 1, offset or 0
+                part = (data or b"")[low * unit :] if count is None else (data or b"")[low * unit : (low + count) * unit]
+                out.append(part.decode("utf-16-be" if kind == 5 else "utf-16-le" if coder == 1 else "latin-1", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["address", "value"])
 
     return wide.join(bodies, "array").select("address", "coder", "offset", "count", "kind", "data").mapInArrow(run, "address long, value string")
 
 
+#: Boxed values: their class and the column of the field table that holds them, cast as Java writes them.
+BOXES = {
+    "java.lang.Boolean": "cast(b AS string)", "java.lang.Byte": "cast(i AS string)", "java.lang.Short": "cast(i AS string)", "java.lang.Integer": "cast(i AS string)", "java.lang.Long": "cast(i AS string)",
+    "java.lang.Character": "text", "java.lang.Float": "cast(cast(f AS float) AS string)", "java.lang.Double": "cast(f AS string)",
+}
+BUILDERS = ("java.lang.StringBuilder", "java.lang.StringBuffer")
+
+
+def big_integers(dump: Dump, graph: Graph) -> DataFrame:
+    """object_id, shown of java.math.BigInteger objects: the digits of sign times magnitude, 32 bits an element from the highest."""
+    own = commands.of_class(graph, "java.math.BigInteger", subclasses=True).select("object_id")
+    wide = graph.fields.where("field in ('signum', 'mag') and not hidden").join(own, "object_id", "left_semi")
+    wide = wide.groupBy("object_id").agg(F.max("i").alias("signum"), F.max("ref_id").alias("mag"))
+    arrays = array_bodies(dump).where("kind = 10").join(graph.objects.select("address", F.col("object_id").alias("mag")), "address").select("mag", "data")
+
+    def run(batches):
+        import sys
+
+        sys.set_int_max_str_digits(0)
+        for batch in batches:
+            values = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            shown = [str((sign or 0) * int.from_bytes(data or b"", "big")) for sign, data in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown, pa.string())], names=["object_id", "shown"])
+
+    return wide.join(arrays, "mag").select("object_id", "signum", "data").mapInArrow(run, "object_id long, shown string")
+
+
+def shown_values(dump: Dump, graph: Graph, values: DataFrame) -> DataFrame:
+    """object_id, shown: what objects of library classes stand for as text: strings, string builders, big integers, boxed values, and threads and thread groups by
+    their names. values: the fields by address."""
+    here = graph.objects.select("address", "object_id")
+    builders = java_strings(dump, values, BUILDERS).join(here, "address").select("object_id", F.col("value").alias("shown"))
+    out = graph.strings.select("object_id", F.col("value").alias("shown")).unionAll(builders).unionAll(big_integers(dump, graph))
+    plain = graph.fields.where("not hidden")
+    named = graph.objects.join(graph.classes.select(F.col("object_id").alias("class_id"), "name"), "class_id")
+    boxes = plain.where("field = 'value'").join(named.where(F.col("name").isin(*BOXES)).select("object_id", "name"), "object_id")
+    out = out.unionAll(boxes.select("object_id", F.expr("CASE name " + " ".join(f"WHEN '{c}' THEN {e}" for c, e in BOXES.items()) + " END").alias("shown")))
+    for kind in ("java.lang.Thread", "java.lang.ThreadGroup"):
+        own = commands.of_class(graph, kind, subclasses=True).select("object_id")
+        names = plain.where("field = 'name'").join(own, "object_id", "left_semi").select("object_id", "ref_id")
+        out = out.unionAll(names.join(graph.strings.select(F.col("object_id").alias("ref_id"), F.col("value").alias("shown")), "ref_id").select("object_id", "shown"))
+    return out
+
+
 def with_values(dump: Dump, graph: Graph) -> Graph:
-    """graph with the tables that queries on values use: fields, strings and array lengths by object id."""
+    """graph with the tables that queries on values use: fields, strings, shown texts and array lengths by object id."""
     here = graph.objects.select("address", "object_id")
     target = here.select(F.col("address").alias("ref_address"), F.col("object_id").alias("ref_id"))
     values = staged(field_values(dump), "field-values")
     graph.fields = staged(values.join(here, "address").join(target, "ref_address", "left").select("object_id", "class_address", "field", "kind", "i", "f", "b", "text", "ref_id", "hidden"), "fields")
     graph.strings = staged(java_strings(dump, values).join(here, "address").select("object_id", "value"), "strings")
     graph.lengths = staged(array_bodies(dump).join(here, "address").select("object_id", F.col("length").cast("bigint").alias("length")), "lengths")
+    graph.shown = staged(shown_values(dump, graph, values), "shown")
+    unstage(values)
     return graph
 
 

@@ -172,7 +172,13 @@ def test_names_frames_and_sizes(spark):
 def test_comparison_and_estimate(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "x long"), spark.createDataFrame([(1,), (3,)], "x long")
     assert sorted((r["x"], r["side"]) for r in aggregates.differences(a, b).collect()) == [(1, "a"), (2, "a"), (3, "b")]
-    assert aggregates.estimate(1000, 2000, 10)["memory"] == int(44_000 * 1.35)
+    mb = 1 << 20
+    small = aggregates.estimate(1000, 2000, 10)
+    assert small["memory"] == int((44_000 + 66 * mb) * 1.35) and small["memory_tight"] == int((24_000 + 66 * mb) * 1.35)
+    assert small["heap"] == 512 * mb and small["disk"] == 135_000 + 10 * 1024 + 100 * mb
+    large = aggregates.estimate(47_900_000, None, 2000)
+    assert large["memory"] == int((48 * 47_900_000 + 66 * mb) * 1.35) and large["heap"] == 4096 * mb and large["heap_tight"] <= large["heap"]
+    assert aggregates.estimate(400_000_000, None, 1)["heap"] % (4096 * mb) == 0
 
 
 def test_reached_equals_search_on_lists_rings_and_random_graphs(spark):
