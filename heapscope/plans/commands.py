@@ -205,6 +205,26 @@ def tree_text(graph: Graph, top: int = 200, children: int = 40) -> DataFrame:
     return both.join(named, "object_id").select("top", "nr", line.alias("line")).orderBy("top", "nr")
 
 
+def components(graph: Graph, percent: float = 1.0, by: str = "loader_address") -> DataFrame:
+    """object_id, part: the instances of the classes of each component (a loader, or a package) whose top ones keep `percent` of the heap or more."""
+    key = F.regexp_replace("name", r"\.?[^.]*$", "") if by == "package" else F.col(by).cast("string")
+    members = staged(graph.objects.join(graph.classes.select(F.col("object_id").alias("class_id"), key.alias("part")), "class_id").select("object_id", "part"), "members")
+    held = dominators.below_another(graph.dominators, members)
+    top = members.join(held, ["object_id", "part"], "left_anti").join(graph.dominators.select("object_id", "retained"), "object_id")
+    large = top.groupBy("part").agg(F.sum("retained").alias("retained")).where(F.col("retained") * 100.0 >= F.lit(percent * graph.total))
+    return members.join(large, "part", "left_semi").select("object_id", "part")
+
+
+def kept_by(graph: Graph, members: DataFrame) -> DataFrame:
+    """object_id, part: what each part's members (object_id, part) keep: themselves and all below them in the dominator tree."""
+    if dominators.has_paths(graph.dominators):
+        below = graph.dominators.select("object_id", F.explode("path").alias("upper"))
+        return below.join(members.withColumnRenamed("object_id", "upper"), "upper").select("object_id", "part").distinct()
+    parts = [r["part"] for r in members.select("part").distinct().collect()]  # each keeps a share of the heap, so they are few
+    sets = [dominators.retained_set(graph.dominators, members.where(F.col("part") == p)).withColumn("part", F.lit(p)) for p in parts]
+    return reduce(DataFrame.unionAll, sets) if sets else members.limit(0)
+
+
 def component_report(graph: Graph, package: str) -> DataFrame:
     """name, n_objects, used_size, retained of the classes of a package: what its instances are, and what those of them that are dominated by no
     other object of the package keep."""

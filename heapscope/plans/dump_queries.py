@@ -187,6 +187,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: of_dump(f) for n, f in QUERIES.items()} | {n: of_dump(lambda d, g, text=text: oql.answered(g, text)) for n, text in OQL.items()}
 
 
+def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "dump_component_report_top": of_dump(lambda d, g: views.component_report_top(g)),
+        "dump_component_report_packages": of_dump(lambda d, g: views.component_report_top(g, by="package")),
+    }
+
+
 def _a(kind: int, key: str) -> str:
     return f"({kind * sample.KIND} + ({key})*{sample.KEY})"
 

@@ -324,4 +324,4 @@ def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_consumers_by_kind": with_graph(commands.consumers),
         "merged_class_paths": with_graph(lambda g: _merged_of_class(g, "db.sales.Customer")),
         "shortest_paths_of_class": with_graph(lambda g: _paths_of_class(g, "db.sales.Customer")),
-    }
+    } | dump_queries.whole_queries()

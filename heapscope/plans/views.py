@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -256,6 +257,46 @@ def constant_arrays(dump: Dump) -> DataFrame:
     return arrays.where(digits == F.repeat(unit, F.col("length").cast("int"))).select("address", "kind", "length")
 
 
+#: Sections of the component report on collections: class, fields of the size and of the table.
+COLLECTIONS = {"java.util.ArrayList": ("size", "elementData"), "java.util.HashMap": ("size", "table"), "java.util.Hashtable": ("count", "table"), "java.util.Vector": ("elementCount", "elementData")}
+REFERENCES = {"soft references": "java.lang.ref.SoftReference", "weak references": "java.lang.ref.WeakReference", "phantom references": "java.lang.ref.PhantomReference"}
+
+
+def component_report_top(graph: Graph, percent: float = 1.0, by: str = "loader_address") -> DataFrame:
+    """component, section, what, n_objects, used_size for the components (loaders, or packages) that keep `percent` of the heap or more. All sections but `instances` look at
+    everything a component keeps: `instances` (its own objects by class), `retained` (by class), `duplicate strings` (texts that several strings have), `collections` (by class and fifth of
+    their capacity in use: 0 empty, 5 over four fifths), `map collisions` (entries of maps that share a slot with another, by class of the map), soft, weak and phantom references (their
+    referents by class) and `finalizers` (referents by class). All components go through each section together."""
+    members = staged(commands.components(graph, percent, by), "components")
+    kept = staged(commands.kept_by(graph, members), "kept")
+    named = staged(graph.objects.join(graph.classes.select(F.col("object_id").alias("class_id"), "name"), "class_id").select("object_id", "name", "used_size"), "named")
+    there = set(r["name"] for r in graph.classes.select("name").where(F.col("name").isin(*COLLECTIONS)).collect())
+
+    def section(label: str, rows: DataFrame, what: Column) -> DataFrame:
+        """rows: part, used_size and what `what` needs."""
+        return rows.groupBy("part", what.alias("what")).agg(F.count("*").alias("n_objects"), F.sum("used_size").cast("bigint").alias("used_size")).select(F.col("part").alias("component"), F.lit(label).alias("section"), "what", "n_objects", "used_size")
+
+    inside = staged(kept.join(named, "object_id"), "kept-named")
+    out = [section("instances", members.join(named, "object_id"), F.col("name")), section("retained", inside, F.col("name"))]
+    out.append(section("duplicate strings", inside.join(graph.strings, "object_id"), F.col("value")).where("n_objects > 1"))
+    for kind, (size, table) in COLLECTIONS.items():
+        if kind in there:
+            fifth = F.when(F.col("capacity") > 0, F.least(F.lit(5), F.ceil(F.col("size") * 5 / F.col("capacity")))).otherwise(F.lit(0))
+            out.append(section("collections", inside.join(collections(graph, kind, size, table), "object_id"), F.concat(F.lit(kind + " "), fifth.cast("string"))))
+    for kind, node in (("java.util.HashMap", "java.util.HashMap$Node"), ("java.util.Hashtable", "java.util.Hashtable$Entry")):
+        if kind in there:
+            later = commands.collision_ratio(map_entries(graph, kind, node), "map_id", F.col("slot")).select(F.col("map_id").alias("object_id"), (F.col("n_entries") - F.col("n_slots")).alias("n"))
+            shared = inside.join(later, "object_id").groupBy("part", "name").agg(F.sum("n").alias("n_objects"), F.sum("used_size").cast("bigint").alias("used_size")).where("n_objects > 0")
+            out.append(shared.select(F.col("part").alias("component"), F.lit("map collisions").alias("section"), F.col("name").alias("what"), "n_objects", "used_size"))
+    for label, kind in REFERENCES.items():
+        aimed = referents(graph, kind).select(F.col("dst").alias("object_id")).distinct()
+        out.append(section(label, inside.join(aimed, "object_id"), F.col("name")))
+    if not graph.classes.where("name = 'java.lang.ref.Finalizer'").isEmpty():
+        waiting = finalizers(graph).select(F.col("referent").alias("object_id")).where("object_id is not null").distinct()
+        out.append(section("finalizers", inside.join(waiting, "object_id"), F.col("name")))
+    return reduce(DataFrame.unionAll, out)
+
+
 def system_properties(graph: Graph) -> DataFrame:
     """key, value of the string entries of all maps that java.lang.System holds."""
     holder = commands.of_class(graph, "java.util.Properties", subclasses=True).select(F.col("object_id").alias("map_id"))

@@ -108,7 +108,12 @@ def test_queries(rich):
     assert run(f"SELECT o.@objectAddress AS a FROM {at[0x7000]}, {at[0x8100]} o") == [(0x7000,), (0x8100,)]
     assert run("SELECT DISTINCT classof(o).@name AS n FROM OBJECTS (SELECT s.@objectId FROM java.lang.String s) o") == [("java.lang.String",)]
     assert run("SELECT o.@usedHeapSize * 2 - o.@usedHeapSize AS u FROM java.lang.Thread o WHERE NOT (o.@usedHeapSize IN (1, 2) OR o.@usedHeapSize < 0)") == run("SELECT o.@usedHeapSize AS u FROM java.lang.Thread o")
-    for wrong in ("SELECT", "SELECT o. FROM x", "SELECT o.nothing FROM java.lang.String o", "SELECT * FROM java.lang.String s extra words", "SELECT o.@nothing FROM java.lang.String o"):
+    assert run("SELECT c.@objectAddress AS a FROM OBJECTS INSTANCEOF java.lang.ref.Reference c") == [(REF,), (WEAK,)]
+    assert run('SELECT c.@objectAddress AS a FROM OBJECTS ${snapshot.getClassesByName("java.lang.ref.Reference", false)} c') == [(REF,)]
+    assert run("SELECT count(*) AS n FROM ${ snapshot.getClassesByName('java.lang.ref.Reference', true) } r") == [(1,)]
+    assert run("SELECT count(*) AS n FROM OBJECTS ${snapshot.getClasses()} c") == [(g.classes.count(),)]
+    assert run("SELECT s.@classSpecificName AS t, s.@technicalName AS n FROM 0x7000, 0x8100 s WHERE s.@objectAddress < 0x8000") == [("key-é", "java.lang.String @ 0x7000")]
+    for wrong in ("SELECT * FROM ${snapshot.delete()}", "SELECT * FROM 1, 0x10 s", "SELECT", "SELECT o. FROM x", "SELECT o.nothing FROM java.lang.String o", "SELECT * FROM java.lang.String s extra words", "SELECT o.@nothing FROM java.lang.String o"):
         with pytest.raises(oql.OqlError):
             oql.run(g, wrong).collect()
 
@@ -143,6 +148,14 @@ def test_snapshot(spark, rich, tmp_path):
     assert s.dominator(at[0x7100]) == at[0x7000] and s.retained_size(at[0x7100]) == s.objects.where(f"object_id = {at[0x7100]}").first()["used_size"]
     assert {r["object_id"] for r in s.instances(at[STR]).collect()} == {at[0x7000], at[0x7010]}
     assert oql.run(s, "SELECT count(*) AS n FROM java.lang.String s").first()["n"] == 2
+    # values are kept too, and asked for alike
+    texts = ["SELECT s.value.length AS n, toString(s) AS t FROM java.lang.String s WHERE s.hash = 9", "SELECT t.@displayName AS shown, t.name.@objectId AS name FROM java.lang.Thread t"]
+    assert [sorted(map(tuple, oql.run(s, t).collect())) for t in texts] == [sorted(map(tuple, oql.run(g, t).collect())) for t in texts]
+    assert oql.run(s, texts[1]).first()["shown"] == "java.lang.Thread @ 0x5000  key-é"
+    bare = snapshot.save(Graph(dump.raw), str(tmp_path / "bare"))
+    with pytest.raises(oql.OqlError):
+        oql.run(bare, texts[0])
+    assert oql.answered(bare, texts[0]).first()["error"] == "this heap has no field values"
     s.views("heap_")
     assert spark.sql("SELECT sum(used_size) AS s FROM heap_objects").first()["s"] == g.total
     assert s.overview().count() == len(s.facts)

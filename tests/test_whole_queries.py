@@ -2,7 +2,9 @@ from collections import defaultdict
 
 import __spark_entry__
 
-from heapscope.plans import commands, registry
+import pytest
+
+from heapscope.plans import commands, dump_queries, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +62,73 @@ def test_consumers_suspects_and_paths(spark):
         for n in range(1, len(p) + 1):
             merged[">".join(kinds["class"](x) for x in p[:n])] += 1
     assert {r["classes"]: r["n_objects"] for r in every["merged_class_paths"](spark, SF).collect()} == merged
+
+
+@pytest.mark.parametrize(("query", "by"), [("dump_component_report_top", "loader_address"), ("dump_component_report_packages", "package")])
+def test_component_reports(spark, query, by):
+    _, g = dump_queries.dump(spark, SF)
+    tree = {r["object_id"]: (r["idom"], r["retained"]) for r in g.dominators.collect()}
+    classes = {r["object_id"]: r for r in g.classes.collect()}
+    objects = {r["object_id"]: r for r in g.objects.collect()}
+    name = {i: classes[r["class_id"]]["name"] for i, r in objects.items()}
+    part = {i: name[i].rpartition(".")[0] if by == "package" else str(classes[r["class_id"]]["loader_address"]) for i, r in objects.items()}
+
+    def above(i):
+        while (i := tree[i][0]) >= 0:
+            yield i
+
+    kept, size = defaultdict(set), defaultdict(int)
+    for i in objects:
+        for p in {part[i], *(part[u] for u in above(i))}:
+            kept[p].add(i)
+        if part[i] not in {part[u] for u in above(i)}:
+            size[part[i]] += tree[i][1]
+    large = {p for p, n in size.items() if n * 100 >= g.total}
+    assert large and len(large) < len(size) or by == "loader_address"
+    want = defaultdict(lambda: [0, 0])
+
+    def add(p, section, what, i, n=1):
+        want[p, section, what][0] += n
+        want[p, section, what][1] += objects[i]["used_size"]
+
+    text = {r["object_id"]: r["value"] for r in g.strings.collect()}
+    fields = defaultdict(dict)
+    for r in g.fields.where("not hidden").collect():
+        fields[r["object_id"]][r["field"]] = r["i"] if r["kind"] == "integer" else r["ref_id"]
+    length = {r["object_id"]: r["length"] for r in g.lengths.collect()}
+    weak = {f["referent"] for i, f in fields.items() if name[i] == "java.lang.ref.WeakReference"}
+    final = {f["referent"] for i, f in fields.items() if name[i] == "java.lang.ref.Finalizer"}
+    later = defaultdict(int)  # entries that another one of the chain leads to
+    chained = {i: f["next"] for i, f in fields.items() if name[i] in ("java.util.HashMap$Node", "java.util.Hashtable$Entry") and f["next"]}
+    holders = {f["table"]: i for i, f in fields.items() if f.get("table")}
+    slots = defaultdict(set)
+    for r in g.edges.where("seq > 0").collect():
+        if r["src"] in holders:
+            slots[holders[r["src"]]].add(r["dst"])
+    for m, heads in slots.items():
+        for i in heads:
+            while i in chained:
+                i = chained[i]
+                later[m] += 1
+    tables = {"java.util.ArrayList": ("size", "elementData"), "java.util.HashMap": ("size", "table"), "java.util.Hashtable": ("count", "table")}
+    for p in large:
+        for i in kept[p]:
+            add(p, "retained", name[i], i)
+            if part[i] == p:
+                add(p, "instances", name[i], i)
+            if i in text:
+                add(p, "duplicate strings", text[i], i)
+            for kind in tables if name[i] in tables or name[i] == "java.util.Properties" else ():
+                if name[i] == kind or (kind, name[i]) == ("java.util.Hashtable", "java.util.Properties"):
+                    used, room = fields[i][tables[kind][0]], length.get(fields[i][tables[kind][1]], 0)
+                    add(p, "collections", f"{kind} {min(5, -(-used * 5 // room)) if room else 0}", i)
+            if later[i]:
+                add(p, "map collisions", name[i], i, later[i])
+            if i in weak:
+                add(p, "weak references", name[i], i)
+            if i in final:
+                add(p, "finalizers", name[i], i)
+    want = {k: tuple(v) for k, v in want.items() if k[1] != "duplicate strings" or v[0] > 1}
+    got = {(r["component"], r["section"], r["what"]): (r["n_objects"], r["used_size"]) for r in registry.whole_queries()[query](spark, SF).collect()}
+    assert got == want
+    assert {k[1] for k in got} >= {"instances", "retained", "collections", "finalizers"}
