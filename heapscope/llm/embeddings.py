@@ -8,8 +8,8 @@ only the later sends to the earlier, so each pair meets once, and cells are join
 
 Members within r/2 of their pivot are the cell's core. They are all linked with each other by the triangle inequality, so a
 crowd of near copies of a pivot is counted and never compared; others come to a core only from within 1.5 r. Members of equal vectors are one class with
-a multiplicity. Large cells are dealt into blocks of about BLOCK members, and each pair of blocks meets once. A block is compared by
-matrix products; of the links found only counts and, for connectivity, one edge a member are given on.
+a multiplicity. Large cells are dealt into blocks of about BLOCK members, and each pair of blocks meets once. Those that come to a block are dealt into chunks of
+about CHUNK, each of which meets a copy of the block's members in a task of its own. A block is compared by matrix products; of the links found only counts and, for connectivity, one edge a member are given on.
 
 The pivots are at most MAX_PIVOTS vectors (a bounded, hash-drawn sample that affects the work and never the result), held by every worker. Vectors without near ones (random directions)
 are far from all pivots, and then replication prunes little: each label's work grows with the square of such vectors, in blocks.
@@ -35,7 +35,7 @@ LEAST_COSINE = 0.93
 MAX_PIVOTS, MIN_PIVOTS, ROWS_A_PIVOT = 4096, 64, 2048
 #: So many units (three numbers and a label) are broadcast; more are joined by a shuffle.
 MAX_UNITS = 100_000
-BLOCK = 2048
+BLOCK, CHUNK = 2048, 8192
 #: Distances this near a bound are not decided by it but by the cosine.
 SLACK = 1e-7
 
@@ -143,7 +143,7 @@ class Roots:
 
 
 def compare(least: float):
-    """Joins blocks: rows come sorted by space, unit, block, members before visitors."""
+    """Joins blocks: rows come sorted by space, unit, block, chunk, members before visitors. The first chunk compares the members with each other too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = Sink(node=pa.int64(), links=pa.int64(), other=pa.int64())
@@ -154,7 +154,7 @@ def compare(least: float):
             ids = np.array([m[0] for m in members])
             u, mult = unit([m[2] for m in members]), np.array([m[1] for m in members])
             counts, roots = np.zeros(len(ids), np.int64), Roots(len(ids))
-            if now[1] % 2:
+            if now[1] % 2 and now[3] == 0:
                 for low in range(0, len(ids), 256):
                     linked = u[low : low + 256] @ u.T >= least
                     linked[np.arange(len(linked)), low + np.arange(len(linked))] = False
@@ -183,8 +183,8 @@ def compare(least: float):
 
         for batch in batches:
             waiting = []
-            for space, unit_no, block, visitor, node, mult, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (space, unit_no, block) != now:
+            for space, unit_no, block, chunk, visitor, node, mult, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (space, unit_no, block, chunk) != now:
                     if waiting:
                         yield from visited(waiting)
                         waiting = []
@@ -192,7 +192,7 @@ def compare(least: float):
                         home = settle()
                     if home is not None:
                         yield from close()
-                    now, members, home = (space, unit_no, block), [], None
+                    now, members, home = (space, unit_no, block, chunk), [], None
                 if not visitor:
                     members.append((node, mult, raw))
                 elif members:
@@ -222,17 +222,22 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFram
     homes = staged(placed(classes, pivots, r), "embeddings-homes")
 
     # at most two units for a pivot, and one for each space without pivots: counted, and only then broadcast
-    units = staged(homes.groupBy("space", "unit").agg(F.count("*").alias("n"), F.sum("mult").alias("crowd")), "embeddings-units")
+    called = homes.select("space", F.explode("visits").alias("unit")).groupBy("space", "unit").agg(F.count("*").alias("called"))
+    sizes = homes.groupBy("space", "unit").agg(F.count("*").alias("n"), F.sum("mult").alias("crowd"))
+    units = staged(sizes.join(called, ["space", "unit"], "left"), "embeddings-units")
     units = F.broadcast(units) if units.count() <= MAX_UNITS else units.hint("merge")
-    blocks = units.select("space", "unit", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    visitors = F.coalesce("called", F.lit(0)) + F.expr(f"if(unit % 2 = 1 and n > {BLOCK}, n, 0)")
+    blocks = units.select("space", "unit", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(visitors / CHUNK)).cast("int").alias("chunks"))
     crowd = units.where("unit % 2 = 0").select("space", "unit", "crowd")
     block_of = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
+    chunk_of = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int").alias("chunk")
     member = homes.join(blocks, ["space", "unit"]).withColumn("block", block_of)
-    stay = member.select("space", "unit", "block", F.lit(False).alias("visitor"), "node", "mult", "v")
-    within = member.where("unit % 2 = 1 and block > 0").select("space", "unit", F.explode(F.expr("sequence(0, block - 1)")).alias("block"), F.lit(True).alias("visitor"), "node", "mult", "v")
+    stay = member.select("space", "unit", "block", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(False).alias("visitor"), "node", "mult", "v")
+    within = member.where("unit % 2 = 1 and block > 0").select("space", "unit", F.explode(F.expr("sequence(0, block - 1)")).alias("block"), chunk_of, F.lit(True).alias("visitor"), "node", "mult", "v")
     calls = homes.select("space", F.explode("visits").alias("unit"), "node", "mult", "v").join(blocks, ["space", "unit"])
-    calls = calls.select("space", "unit", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("visitor"), "node", "mult", "v")
-    met = stay.union(within).union(calls).repartition(shuffle_partitions(spark), "space", "unit", "block").sortWithinPartitions("space", "unit", "block", "visitor")
+    calls = calls.select("space", "unit", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), chunk_of, F.lit(True).alias("visitor"), "node", "mult", "v")
+    place = ["space", "unit", "block", "chunk"]
+    met = stay.union(within).union(calls).repartition(shuffle_partitions(spark), *place).sortWithinPartitions(*place, "visitor")
     found = staged(map_arrow(met, compare(least), "node long, links long, other long"), "embeddings-links")
 
     stars = homes.where("pivot is not null and pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b"))

@@ -25,11 +25,12 @@ def brute(rows, least=0.93):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 2048])
-def test_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "chunk"), [(7, 4), (7, 8192), (2048, 5), (2048, 8192)])
+def test_equals_brute_force(spark, monkeypatch, block, chunk):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "CHUNK", chunk)
     monkeypatch.setattr(embeddings, "MIN_PIVOTS", 9)
-    rng = np.random.default_rng(block)
+    rng = np.random.default_rng(block + chunk)
     rows = []
     for centre in rng.normal(size=(12, 8)):
         for _ in range(rng.integers(1, 30)):
