@@ -21,12 +21,13 @@ def first_edge(edges: DataFrame) -> DataFrame:
 
 
 def normalized(edges: DataFrame) -> DataFrame:
-    """The first reference stays first; the others follow ascending, each once and without the first's target."""
-    pairs = edges.groupBy("src", "dst").agg(F.min("seq").alias("seq"))
-    lead = Window.partitionBy("src")
-    marked = pairs.withColumn("later", (F.col("seq") != F.min("seq").over(lead)).cast("int"))
-    order = Window.partitionBy("src").orderBy("later", "dst")
-    return marked.select("src", (F.row_number().over(order) - 1).cast("bigint").alias("seq"), "dst")
+    """The first reference stays first; the others follow ascending, each once and without the first's target. One shuffle and one sort: a reference's place
+    is its place among the targets in order, and those before the first's target move on by one."""
+    pairs = edges.repartition("src").groupBy("src", "dst").agg(F.min("seq").alias("seq"))
+    ascending, whole = Window.partitionBy("src").orderBy("dst"), Window.partitionBy("src")
+    placed = pairs.select("src", "dst", F.row_number().over(ascending).cast("bigint").alias("place"), F.min_by("dst", "seq").over(whole).alias("first"))
+    seq = F.when(F.col("dst") == F.col("first"), F.lit(0).cast("bigint")).when(F.col("dst") < F.col("first"), F.col("place")).otherwise(F.col("place") - 1)
+    return placed.select("src", seq.alias("seq"), "dst")
 
 
 def with_class_first(edges: DataFrame, objects: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ from ..functions.staging import ship, staged
 
 
 def ranked(addresses: DataFrame, partitions: int | None = None) -> DataFrame:
-    """address, object_id: ids from 0 in ascending order of the distinct addresses. Rows are range partitioned
-    and sorted once; ranks are positions within partitions plus the sizes of those before, one number a partition."""
+    """address, object_id: ids from 0 in ascending order of the distinct addresses. Rows are range partitioned, made distinct
+    and sorted in one shuffle; ranks are positions within partitions plus the sizes of those before, one number a partition."""
     spark = addresses.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = addresses.select("address").where("address is not null").distinct().repartitionByRange(n, "address").sortWithinPartitions("address")
+    rows = addresses.select("address").where("address is not null").repartitionByRange(n, "address").distinct().sortWithinPartitions("address")
     # one number holds the partition (upper 31 bits) and the place in it (lower 33)
     placed = staged(rows.select("address", F.monotonically_increasing_id().alias("place")), "ids")
     placed = placed.select("address", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("place"))

@@ -121,12 +121,13 @@ def marked(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def compacted(objects: DataFrame, edges: DataFrame, reachable: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Objects and edges that stay, numbered anew in the old order, and the map old_id -> object_id."""
-    kept = objects.join(reachable.select("object_id"), "object_id", "left_semi")
-    numbers = ranked(kept.select(F.col("object_id").alias("address"))).select(F.col("address").alias("old_id"), "object_id")
+    """Objects and edges that stay, numbered anew in the old order, and the map old_id -> object_id. reachable: ids of objects."""
+    numbers = ranked(reachable.select(F.col("object_id").alias("address"))).select(F.col("address").alias("old_id"), "object_id")
     numbers = staged(numbers, "numbers")
-    new = kept.withColumnRenamed("object_id", "old_id").join(numbers, "old_id")
-    of_class = numbers.select(F.col("old_id").alias("class_id"), F.col("object_id").alias("new_class"))
+    new = objects.withColumnRenamed("object_id", "old_id").join(numbers, "old_id")
+    # looked up once a class, as in Graph.all_objects
+    of_class = objects.select(F.col("class_id").alias("old_id")).distinct().join(numbers, "old_id").select(F.col("old_id").alias("class_id"), F.col("object_id").alias("new_class"))
+    of_class = staged(of_class, "class-numbers")
     new = new.join(of_class, "class_id", "left").withColumn("class_id", F.col("new_class")).select("object_id", "address", "class_id", "used_size", "is_array")
     src = numbers.select(F.col("old_id").alias("src"), F.col("object_id").alias("new_src"))
     dst = numbers.select(F.col("old_id").alias("dst"), F.col("object_id").alias("new_dst"))

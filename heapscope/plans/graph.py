@@ -34,7 +34,9 @@ class Graph:
     def all_objects(self) -> DataFrame:
         """With ids before pruning. An object of an unknown class is one of java.lang.Class."""
         fallback = self.raw.classes.where(F.col("name") == JAVA_CLASS).agg(F.min("address")).first()[0]
-        of_class = self.all_ids.select(F.col("address").alias("class_address"), F.col("object_id").alias("class_id"))
+        # looked up once a class, so that the objects of a common class are not dealt by it
+        here = self.all_ids.withColumnRenamed("address", "class_address")
+        of_class = staged(self.records.select("class_address").distinct().join(here, "class_address").select("class_address", F.col("object_id").alias("class_id")), "class-ids")
         known = self.records.join(self.all_ids, "address").join(of_class, "class_address", "left")
         unknown = self.all_ids.where(F.col("address") == F.lit(fallback)).agg(F.min("object_id")).first()[0]
         return staged(known.select("object_id", "address", F.coalesce("class_id", F.lit(unknown)).cast("bigint").alias("class_id"), "used_size", "is_array"), "all-objects")
