@@ -16,6 +16,7 @@ them (the forward sum over a run of unseen words), so no spelling or language is
 Word and class-bigram counts cover all training texts. Only the bigrams of the core's units and tables of classes reach the driver. Each task writes the texts it reads as
 blocks: the block's distinct words, and its texts as numbers of them. The vocabulary stays a table: in each round the words of all
 blocks are joined with their classes, and a block gets the classes of its own words, so no task ever holds the whole vocabulary.
+Numbers of words and classes lie and travel packed, words travel with their block only where their spelling is asked for, and shuffle files go with the table they were made for.
 
 Tokens: A-Z lower-cased, words [^\\x20\\x09-\\x0D]+, then one end. The baseline is an add-one unigram model.
 
@@ -67,7 +68,22 @@ def likelihood(pair: np.ndarray) -> float:
 # ---- blocks
 
 
-BLOCKS = "part int, seq int, words array<binary>, n array<int>, doc_ids array<bigint>, held array<boolean>, sizes array<int>, ids binary"
+BLOCKS = "part int, seq int, words array<binary>, width int, n array<int>, doc_ids array<bigint>, held array<boolean>, sizes array<int>, ids binary"
+ENTRY = np.dtype([("step", "<i4"), ("n", "<i8"), ("class", "u1")])
+
+
+def packed(values: np.ndarray) -> bytes:
+    """How many, then their first bytes, their second bytes and so on, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind: np.dtype | str) -> np.ndarray:
+    kind, count = np.dtype(kind), int.from_bytes(raw[:8], "little")
+    if not count:
+        return np.empty(0, kind)
+    planes = np.frombuffer(pa.decompress(raw[8:], count * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, count).T).view(kind).ravel()
 
 
 class Index(dict):
@@ -79,8 +95,8 @@ class Index(dict):
 
 
 def blocks_of(source: DataFrame) -> DataFrame:
-    """source: doc_id, held_out, text. A written table of blocks: block (a number from 0), words (distinct), n (their counts in the block's training
-    texts), doc_ids, held, sizes (words of each text), ids (places in words, of one text after the other)."""
+    """source: doc_id, held_out, text. A written table of blocks: block (a number from 0), words (distinct), width (how many), n (their counts in the
+    block's training texts), doc_ids, held, sizes (words of each text), ids (places in words, of one text after the other, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -90,9 +106,9 @@ def blocks_of(source: DataFrame) -> DataFrame:
             sizes = np.array([len(r) for r in rows], np.int32)
             ids = np.concatenate(rows)
             known = ids[np.repeat(~np.array(held, bool), sizes)]
-            columns = [[part], [seq], [list(index)], [np.bincount(known, minlength=len(index)).astype(np.int32)], [doc_ids], [held], [sizes], [ids.astype("<i4").tobytes()]]
-            types = [pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "seq", "words", "n", "doc_ids", "held", "sizes", "ids"])
+            columns = [[part], [seq], [list(index)], [len(index)], [np.bincount(known, minlength=len(index)).astype(np.int32)], [doc_ids], [held], [sizes], [packed(ids.astype("<i4"))]]
+            types = [pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "seq", "words", "width", "n", "doc_ids", "held", "sizes", "ids"])
 
         for batch in batches:
             for doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -113,22 +129,22 @@ def blocks_of(source: DataFrame) -> DataFrame:
         offsets.append((r["part"], first))
         first += r["last"] + 1
     offsets = F.broadcast(source.sparkSession.createDataFrame(offsets or [(0, 0)], "part int, first long"))  # a row for each partition of the input
-    out = written.join(offsets, "part").select((F.col("first") + F.col("seq")).alias("block"), "words", "n", "doc_ids", "held", "sizes", "ids")
+    out = written.join(offsets, "part").select((F.col("first") + F.col("seq")).alias("block"), "words", "width", "n", "doc_ids", "held", "sizes", "ids")
     out._staged_path, out.count_of_blocks = written._staged_path, first
     return out
 
 
 def postings(blocks: DataFrame) -> DataFrame:
-    """block, local, word, n: each word of each block."""
+    """at, word, n: each word of each block; at: the block's number, 32 bits of the word's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, n in zip(*batch.columns, strict=True):
                 for low in range(0, len(words.values), 1 << 16):
                     part, counts = words.values.slice(low, 1 << 16), n.values.slice(low, 1 << 16)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block.as_py())), pa.array(np.arange(low, low + len(part), dtype=np.int32)), part, counts], names=["block", "local", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array((block.as_py() << 32) + np.arange(low, low + len(part))), part, counts], names=["at", "word", "n"])
 
-    return map_arrow(blocks.select("block", "words", "n"), run, "block long, local int, word binary, n int")
+    return map_arrow(blocks.select("block", "words", "n"), run, "at long, word binary, n int")
 
 
 def sequence(ids: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, end: int) -> np.ndarray:
@@ -154,7 +170,7 @@ def count_units(blocks: DataFrame, core: list[bytes]) -> np.ndarray:
         for batch in batches:
             for words, held, sizes, ids in zip(*batch.columns, strict=True):
                 unit = np.array([*(get(w, size - 1) for w in words.values.to_pylist()), 0], np.int64)
-                codes = np.r_[0, unit[sequence(np.frombuffer(ids.as_py(), "<i4"), sizes.values.to_numpy(), ~np.array(held.as_py(), bool), len(unit) - 1)]]
+                codes = np.r_[0, unit[sequence(unpacked(ids.as_py(), "<i4"), sizes.values.to_numpy(), ~np.array(held.as_py(), bool), len(unit) - 1)]]
                 total += np.bincount(codes[:-1] * size + codes[1:], minlength=size * size)
         at = np.nonzero(total)[0]
         for low in range(0, len(at), 1 << 16):
@@ -315,7 +331,7 @@ def first_neighbours(blocks: DataFrame, core: list[bytes], label: np.ndarray, cl
         for batch in batches:
             for words, held, sizes, ids in zip(*batch.columns, strict=True):
                 found = np.array([*(get(w, -1) for w in words.values.to_pylist()), 0], np.int64)
-                texts = sequence(np.frombuffer(ids.as_py(), "<i4"), sizes.values.to_numpy(), ~np.array(held.as_py(), bool), len(found) - 1)
+                texts = sequence(unpacked(ids.as_py(), "<i4"), sizes.values.to_numpy(), ~np.array(held.as_py(), bool), len(found) - 1)
                 yield from counted.block(words.values, np.full(len(found), -1), np.where(found < 0, classes - 1, found), texts, found < 0)
         yield from counted.end()
 
@@ -399,9 +415,10 @@ def moved(counted: DataFrame, classes: int) -> tuple[DataFrame, np.ndarray]:
 # ---- classes to blocks
 
 
-def with_classes(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """Blocks and, before each, the classes and counts of its words, a block's rows together. known: word, n, class."""
-    found = postings(blocks).select("block", "local", "word").join(known.hint("merge"), "word").select("block", "local", "n", "class")
+def with_classes(blocks: DataFrame, known: DataFrame, spelled: bool) -> DataFrame:
+    """Blocks and, before each, the classes and counts of its words, a block's rows together. known: word, n, class; spelled: the blocks keep their
+    words."""
+    found = postings(blocks).select("at", "word").join(known.hint("merge"), "word").select("at", "n", "class")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -409,13 +426,16 @@ def with_classes(blocks: DataFrame, known: DataFrame) -> DataFrame:
         def drain():
             if not held:
                 return
-            block, local, n, kind = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
-            order = np.argsort(block, kind="stable")
-            cuts = np.r_[0, np.nonzero(np.diff(block[order]))[0] + 1, len(order)]
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                at = order[low:high]
-                payload = local[at].astype("<i4").tobytes() + n[at].astype("<i8").tobytes() + kind[at].astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([int(block[at[0]])], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
+            at, n, kind = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+            order = np.argsort(at)
+            at = at[order]
+            block, local = at >> 32, at & 0xFFFFFFFF
+            cuts = np.r_[0, np.nonzero(np.diff(block))[0] + 1, len(at)]
+            entries = np.empty(len(at), ENTRY)
+            entries["n"], entries["class"] = n[order], kind[order]
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                entries["step"][low:high] = np.diff(local[low:high], prepend=0)
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[low])], pa.int64()), pa.array([packed(entries[low:high])], pa.binary())], names=["block", "payload"])
             held.clear()
 
         count = 0
@@ -429,17 +449,19 @@ def with_classes(blocks: DataFrame, known: DataFrame) -> DataFrame:
 
     none = F.lit(None)
     entries = map_arrow(found, pack, "block long, payload binary").select(
-        "block", F.lit(0).alias("kind"), "payload", none.cast("array<binary>").alias("words"), none.cast("array<bigint>").alias("doc_ids"),
-        none.cast("array<boolean>").alias("held"), none.cast("array<int>").alias("sizes"), none.cast("binary").alias("ids"),
+        "block", F.lit(0).alias("kind"), "payload", none.cast("array<binary>").alias("words"), none.cast("int").alias("width"),
+        none.cast("array<bigint>").alias("doc_ids"), none.cast("array<boolean>").alias("held"), none.cast("array<int>").alias("sizes"), none.cast("binary").alias("ids"),
     )
-    whole = blocks.select("block", F.lit(1).alias("kind"), none.cast("binary").alias("payload"), "words", "doc_ids", "held", "sizes", "ids")
+    words = F.col("words") if spelled else none.cast("array<binary>").alias("words")
+    whole = blocks.select("block", F.lit(1).alias("kind"), none.cast("binary").alias("payload"), words, "width", "doc_ids", "held", "sizes", "ids")
     parts = min(MOST_PARTS, max(1, blocks.count_of_blocks))
     met = entries.union(whole).repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int"))
     return met.sortWithinPartitions("block", "kind")
 
 
 def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """words, kind, n, doc_ids, held, sizes, ids of each block of with_classes(); kind and n by place in words, the end last (n: 0)."""
+    """words (None if not spelled), kind, n, doc_ids, held, sizes, ids of each block of with_classes(); kind and n by place in words, the end last
+    (n: 0)."""
     now, entries = None, []
     for batch in batches:
         for i, (block, what) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
@@ -448,14 +470,14 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             if what == 0:
                 entries.append(batch.column(2)[i].as_py())
                 continue
-            words, doc_ids, held, sizes, ids = (batch.column(c)[i] for c in range(3, 8))
-            kind, n = np.full(len(words.values) + 1, UNSEEN, np.int64), np.zeros(len(words.values) + 1, np.int64)
+            words, width, doc_ids, held, sizes, ids = (batch.column(c)[i] for c in range(3, 9))
+            kind, n = np.full(width.as_py() + 1, UNSEEN, np.int64), np.zeros(width.as_py() + 1, np.int64)
             kind[-1] = 0
             for raw in entries:
-                m = len(raw) // 13
-                local = np.frombuffer(raw, "<i4", m)
-                n[local], kind[local] = np.frombuffer(raw, "<i8", m, 4 * m), np.frombuffer(raw, np.uint8, m, 12 * m)
-            yield words.values, kind, n, doc_ids.values, np.array(held.as_py(), bool), sizes.values.to_numpy(), np.frombuffer(ids.as_py(), "<i4")
+                entry = unpacked(raw, ENTRY)
+                local = np.cumsum(entry["step"], dtype=np.int64)
+                n[local], kind[local] = entry["n"], entry["class"]
+            yield words.values, kind, n, doc_ids.values, np.array(held.as_py(), bool), sizes.values.to_numpy(), unpacked(ids.as_py(), "<i4")
             entries = []
 
 
@@ -470,7 +492,7 @@ def next_neighbours(blocks: DataFrame, known: DataFrame, core: list[bytes], clas
             yield from counted.block(words, in_core, kind, sequence(ids, sizes, ~held, len(kind) - 1), movable)
         yield from counted.end()
 
-    return map_arrow(with_classes(blocks, known), run, NEIGHBOURS)
+    return map_arrow(with_classes(blocks, known, True), run, NEIGHBOURS)
 
 
 # ---- the model
@@ -508,7 +530,7 @@ def clustered(blocks: DataFrame, vocabulary: DataFrame, core_words: int = CORE,
     best: list[tuple[float, DataFrame]] = []
     for r in range(max(1, rounds)):
         met = first_neighbours(blocks, core, label, classes) if not r else next_neighbours(blocks, best[0][1], core, classes)
-        counted = staged(met, "brown-neighbours")
+        counted = staged(met, "brown-neighbours", once=True)
         after, pair = moved(counted, classes)
         if r:
             best[0] = (likelihood(pair), best[0][1])
@@ -516,7 +538,7 @@ def clustered(blocks: DataFrame, vocabulary: DataFrame, core_words: int = CORE,
             after = vocabulary.join(of_core, "word").select("word", "n", "class").union(after)
         if r:  # words met once stay where they are
             after = after.union(best[0][1].where("n = 1").select("word", "n", "class"))
-        known = staged(after, "brown-classes")
+        known = staged(after, "brown-classes", once=True)
         unstage(counted)
         best = [(-math.inf, known), *sorted(best, key=lambda b: -b[0])]
         unstage(*(b[1] for b in best[2:]))
@@ -551,7 +573,7 @@ def as_classes(blocks: DataFrame, known: DataFrame, model: Model) -> DataFrame:
                 columns.append(pa.array([raw[a : a + s + 1] for a, s in zip(starts.tolist(), part.tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "known_base", "kept", "classes"])
 
-    return map_arrow(with_classes(blocks, known), run, TEXTS)
+    return map_arrow(with_classes(blocks, known, False), run, TEXTS)
 
 
 def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
@@ -634,16 +656,17 @@ def class_model(docs: DataFrame, held_out: Column, core_words: int = CORE) -> tu
     if not ends:
         unstage(blocks)
         return None
-    vocabulary = staged(postings(blocks).where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "brown-vocabulary")
+    vocabulary = staged(postings(blocks).where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "brown-vocabulary", once=True)
     total = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
     n1, n2 = total["n1"], total["n2"]
     discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
     model = Model((total["n"] or 0) + ends, total["v"] + 1, ends, discount, max(1.0, n1 * n1 / (2 * n2) if n2 else n1 * (n1 - 1) / 2))
     tables, before = clustered(blocks, vocabulary, core_words)
+    unstage(vocabulary)
     texts, pair = None, None
     while True:
         known = tables.pop(0)
-        texts = staged(as_classes(blocks, known, model), "brown-texts")
+        texts = staged(as_classes(blocks, known, model), "brown-texts", once=True)
         pair = class_bigrams(texts.where("not held_out"), CLASSES)
         if not tables or likelihood(pair) >= before:
             break
@@ -652,7 +675,7 @@ def class_model(docs: DataFrame, held_out: Column, core_words: int = CORE) -> tu
     for r in known.groupBy("class").count().collect():
         types[r["class"]] = r["count"]
     model.log_next, model.class_tokens, model.unseen = probabilities(pair, types, discount)
-    unstage(blocks, vocabulary, *tables)
+    unstage(blocks, *tables)
     return texts, model, known
 
 

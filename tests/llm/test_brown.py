@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -243,3 +244,59 @@ def test_very_long_text_and_other_columns(spark, monkeypatch):
     only_empty = spark.createDataFrame([(1, None), (2, ""), (3, "x y")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in brown.class_model_scores(only_empty, F.col("doc_id") == 3).collect()}
     assert math.isfinite(got[3]["score"]) and got[3]["n_known"] == 1 and got[1]["n_tokens"] == 1
+
+
+def many_words(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(40_000 * rng.random() ** 2)}" for _ in range(500))) for i in range(400)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_shuffle_files_go_with_the_tables_they_were_made_for(spark):
+    def shuffled():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f: f.stat().st_size for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    docs, setting = many_words(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    docs = docs.localCheckpoint()
+    set_before, before = spark.conf.get(setting, None), shuffled()
+    texts, model, _ = brown.class_model(docs, F.col("doc_id") % 7 == 2, core_words=5)
+    left = sum(n for f, n in shuffled().items() if f not in before)
+    assert left < 300_000, left  # sums by class; with those of postings, neighbours and blocks it was 868 kB
+    assert spark.conf.get(setting, None) == set_before
+    assert brown.score(texts, model).count() == brown.score(texts, model).count() == 400
+
+
+def test_blocks_with_and_without_their_words(spark, monkeypatch):
+    monkeypatch.setattr(brown, "BLOCK_BYTES", 200_000)
+    source = many_words(spark).withColumn("held_out", F.col("doc_id") % 7 == 2)
+    blocks = brown.blocks_of(source)
+    known = brown.postings(blocks).where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    known = brown.staged(known.withColumn("class", (1 + F.crc32("word") % 62).cast("int")), "test-known", once=True)
+    want = {bytes(r["word"]): (r["n"], r["class"]) for r in known.collect()}
+    assert blocks.count_of_blocks > 3 and {bytes(r["word"]): r["n"] for r in known.collect()} == Counter(
+        w for r in source.where("not held_out").collect() for w in r["text"].encode().split()
+    )
+    moved = {}
+    for spelled in (True, False):
+        rows = brown.with_classes(blocks, known, spelled)
+        moved[spelled] = rows.toArrow()
+        met = 0
+        for words, kind, n, _, _, _, ids in brown.each_block(moved[spelled].to_batches()):
+            assert (words is None) != spelled and ids.max() == len(kind) - 2 and (kind[-1], n[-1]) == (0, 0)
+            if spelled:
+                assert [(int(a), int(b)) for a, b in zip(n, kind[:-1], strict=False)] == [want.get(w, (0, brown.UNSEEN)) for w in words.to_pylist()]
+            met += len(ids)
+        assert met == 400 * 500
+    payloads = [b for b in moved[False].column("payload").to_pylist() if b]
+    entries = sum(len(brown.unpacked(b, brown.ENTRY)) for b in payloads)
+    assert sum(map(len, payloads)) < 6 * entries  # 13 bytes an entry before
+    assert sum(map(len, filter(None, moved[False].column("ids").to_pylist()))) < 3 * 400 * 500  # 4 bytes a token before
+
+
+@pytest.mark.parametrize("kind", ["<i4", "<i8", "u1", brown.ENTRY])
+def test_packed(kind):
+    raw = np.random.default_rng(7).integers(0, 256, 999 * np.dtype(kind).itemsize, np.uint8).view(kind)
+    for n in (0, 1, 2, 999):
+        got = brown.unpacked(brown.packed(raw[:n]), kind)
+        assert got.dtype == np.dtype(kind) and got.tobytes() == raw[:n].tobytes()
