@@ -87,3 +87,28 @@ def test_differences_count_repeated_rows(spark):
     a = spark.createDataFrame([(1, 2), (1, 2), (1, 2), (3, 4)], "x int, y int")
     b = spark.createDataFrame([(1, 2), (5, 6), (5, 6)], "x int, y int")
     assert sorted(tuple(r) for r in aggregates.differences(a, b).collect()) == [(1, 2, "a"), (1, 2, "a"), (3, 4, "a"), (5, 6, "b"), (5, 6, "b")]
+
+
+def test_dump_tables_are_written_by_executors(spark, tmp_path):
+    """Rows go to files in the order of their key, and the driver gets one name a task."""
+    from heapscope.sources import sample
+
+    rows = spark.range(5000).select((4999 - F.col("id")).alias("k"))
+    names = sample.written(rows, lambda k: sample.instance(sample.at(12, k), 25, sample.ids(k, 0)), str(tmp_path / "x.hprof"))
+    assert len(names) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = b"".join(open(n, "rb").read() for n in names)
+    one = sample.instance(sample.at(12, 0), 25, sample.ids(0, 0))
+    bodies, at = b"", 0
+    while at < len(whole):
+        size = int.from_bytes(whole[at + 5 : at + 9], "big")
+        bodies, at = bodies + whole[at + 9 : at + 9 + size], at + 9 + size
+    assert bodies == b"".join(sample.instance(sample.at(12, k), 25, sample.ids(k, 0)) for k in range(5000)) and len(bodies) == 5000 * len(one)
+
+
+def test_values_are_made_when_asked_for(spark):
+    from heapscope.plans import dump_queries
+
+    d, g = dump_queries.dump(spark, "/root/testdata/sf0.001")
+    made = set(g.__dict__)
+    dump_queries.queries()["dump_array_fill_ratios"](spark, "/root/testdata/sf0.001").collect()
+    assert "objects" not in set(g.__dict__) - made and "fields" not in set(g.__dict__) - made
